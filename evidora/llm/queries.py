@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evidora.scratch import table
 
@@ -20,5 +21,30 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "documents"), percent=limit(spark, sf_dir, "near_dup_percent"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found}
-SQL: dict[str, str] = {}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidora.llm.splitting import oversized
+
+    return oversized(table(spark, sf_dir, "pages"), limit(spark, sf_dir, "piece_chars"), limit(spark, sf_dir, "piece_overlap_chars"), "page_id")
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidora.llm.splitting import with_pieces
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "page", "text")
+    pieces = with_pieces(pages, limit(spark, sf_dir, "piece_chars"), limit(spark, sf_dir, "piece_overlap_chars"))
+    return pieces.select("page_id", "page", F.inline("pieces"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidora.llm.leaks import leaked_items
+
+    fields = ["pergunta", "resposta_esperada", "trecho"]
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"), fields, limit(spark, sf_dir, "leak_words"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p7_found, p7_pieces, p9_found)}
+SQL: dict[str, str] = {
+    "p7_found": """
+        SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: length(x))) > lim THEN 'forced' ELSE 'natural' END AS cut
+        FROM pages, (SELECT amount AS lim FROM limits WHERE name = 'piece_chars') WHERE length(text) > lim""",
+}
