@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from evidora import queries_rows
+
+_MODULES = (queries_rows,)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
 FLAGSHIP = "p5_found"
