@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidora.operators import bad_rows
+from evidora.operators import bad_rows, units
 from evidora.scratch import table
 
 
@@ -18,6 +18,14 @@ def p5_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad_rows.typed_rows(raw, layouts, 1).withColumn("valor", F.col("valor").cast("double"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nodes").where("chunk_strategy = 'row_per_chunk'")
+    registry = table(spark, sf_dir, "unit_registry")
+    out = units.common_values(rows, registry, "node_id", F.try_element_at("metadata.cells", F.lit(-1)), F.col("metadata.table_descricao"), F.col("metadata.ontology_facets"))
+    changed = (F.col("scale") != 1) | (F.col("unit_id") != F.col("common_unit"))
+    return out.where(F.col("common_value").isNotNull() & changed).select("node_id", "common_unit", "common_value").distinct()
+
+
 _FIELDS = " UNION ALL ".join(
     f"""SELECT raw_id, layout_id, regexp_full_match(cells, '({f})({x}({f}))*', 's') AS ok, regexp_extract_all({q} || cells, '{x}({f})', 1) AS fields
         FROM r WHERE delimiter = {q}"""
@@ -43,7 +51,7 @@ _PARSED = f"""
                        WHEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_strptime(v, '%Y-%m-%d') IS NULL ELSE true END
                   ELSE false END)"""
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_typed)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_typed)}
 SQL = {
     "p5_found": f"""{_PARSED}
     SELECT raw_rows.raw_id, CASE WHEN NOT coalesce(ok, true) THEN 'quoting' WHEN fields IS NULL OR len(fields) <> n THEN 'column_count' ELSE 'invalid_value' END AS reason
