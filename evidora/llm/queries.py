@@ -21,6 +21,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "documents"), percent=limit(spark, sf_dir, "near_dup_percent"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidora.llm.vector_graph import neighbour_pairs
+
+    return neighbour_pairs(table(spark, sf_dir, "chunk_vectors"), limit(spark, sf_dir, "neighbours_k"), limit(spark, sf_dir, "neighbour_floor_percent") / 100)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidora.llm.splitting import oversized
 
@@ -42,7 +48,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"), fields, limit(spark, sf_dir, "leak_words"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p7_found, p7_pieces, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p6_found, p7_found, p7_pieces, p9_found)}
 SQL: dict[str, str] = {
     "p7_found": """
         SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: length(x))) > lim THEN 'forced' ELSE 'natural' END AS cut
