@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,6 +164,14 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
 
 
+def _lists(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Slices of values as a list array."""
+    size = end - begin
+    to = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(begin - to[:-1], size) + np.arange(to[-1])
+    return pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(values[at]))
+
+
 def nearest_vectors(df: DataFrame, k: int, floor: float, id_col: str = "vec_id", vector_col: str = "vector", dim: int = 64) -> DataFrame:
     """(id, neighbour, cosine, rank) of up to k most similar other vectors with a cosine of at least `floor`.
 
@@ -205,7 +214,7 @@ def nearest_vectors(df: DataFrame, k: int, floor: float, id_col: str = "vec_id",
             new = np.ones(len(ids), dtype=bool)
             new[1:] = (cls[1:] != cls[:-1]).any(axis=1)
             first = np.flatnonzero(new)
-            least = [ids[i : min(j, i + k + 1)].tolist() for i, j in zip(first, np.append(first[1:], len(ids)), strict=True)]  # the smallest ids answer ties
+            last = np.minimum(np.append(first[1:], len(ids)), first + k + 1)  # the smallest ids answer ties
             v, cls = v[first], cls[first]
             near = unit_rows(v).astype(np.float32) @ shared.value.T
             home = near.argmax(axis=1)
@@ -221,14 +230,13 @@ def nearest_vectors(df: DataFrame, k: int, floor: float, id_col: str = "vec_id",
                     use = (asks | own) & (q < blocks[c])
                     rows.append((x[use], c[use], np.full(use.sum(), p), np.full(use.sum(), q), own[use], asks[use]))
             x, c, p, q, own, asks = (np.concatenate(z) for z in zip(*rows, strict=True))
-            arrays = [pa.array(c.astype(np.int64)), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(own), pa.array(asks), pa.array(cls[x, 0].view(np.int64)), pa.array(cls[x, 1].view(np.int64)), pa.array([least[i] for i in x], pa.list_(pa.int64())), pa.array([v[i].tobytes() for i in x], pa.binary())]
+            arrays = [pa.array(c.astype(np.int64)), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(own), pa.array(asks), pa.array(cls[x, 0].view(np.int64)), pa.array(cls[x, 1].view(np.int64)), _lists(ids, first[x], np.where(own, last[x], first[x])), pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(v[x]))]).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["cell", "part", "block", "own", "asks", "hi", "lo", "ids", "v"])
 
     def answer(group: pa.Table) -> pa.Table:
         hi, lo = group.column("hi").to_numpy(), group.column("lo").to_numpy()
         own, asks = group.column("own").to_numpy(), group.column("asks").to_numpy()
         v = np.frombuffer(b"".join(group.column("v").to_pylist()), dtype=np.float32).reshape(-1, dim)
-        lists = group.column("ids").to_pylist()
         order = np.lexsort((lo, hi))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
@@ -239,31 +247,40 @@ def nearest_vectors(df: DataFrame, k: int, floor: float, id_col: str = "vec_id",
         none = pa.table({"hi": pa.array([], pa.int64()), "lo": pa.array([], pa.int64()), "found": pa.array([], kind)})
         if not len(base) or not len(ask):
             return none
-        ids: dict[int, list[int]] = {}
-        for i in np.flatnonzero(own).tolist():
-            ids.setdefault(int(cls[i]), []).extend(lists[i])
+        mine = np.flatnonzero(own)
+        many = pa.compute.list_value_length(group.column("ids")).to_numpy()[mine]
+        owner, every = np.repeat(np.searchsorted(base, cls[mine]), many), group.column("ids").filter(pa.array(own)).combine_chunks().flatten().to_numpy()
+        order = np.lexsort((every, owner))  # ids of each base class, the k + 1 smallest of all tasks that met it
+        owner, every = owner[order], every[order]
+        keep = np.arange(len(owner)) - np.searchsorted(owner, owner) <= k
+        owner, every = owner[keep], every[keep]
+        first, size = np.searchsorted(owner, np.arange(len(base))), np.bincount(owner, minlength=len(base))
         exact = unit_rows(v[rep])
         u = exact.astype(np.float32)
         ub = np.ascontiguousarray(u[base])
         graph, seeds = build_graph(ub)
-        found: list[list[dict]] = []
-        smallest = [sorted(ids[c])[: k + 1] for c in base.tolist()]
+        answers = []
         for i in range(0, len(ask), 512):
             part = ask[i : i + 512]
             to, sim = _search(ub, graph, seeds, u[part], max(BEAM, 2 * k + 2))
             here = np.minimum(np.searchsorted(base, part), len(base) - 1)
-            here = np.where(base[here] == part, here, -1)  # the query's own class needs no search
-            near = (to >= 0) & (sim >= floor - 1e-4) & (to != here[:, None])
-            r, c = np.nonzero(near)
+            r, c = np.nonzero((to >= 0) & (sim >= floor - 1e-4) & ((to != here[:, None]) | (base[here] != part)[:, None]))
             cosine = np.round(np.einsum("ij,ij->i", exact[part[r]], exact[base[to[r, c]]]), 9)
-            of: list[list[tuple[float, int]]] = [[(-1.0, x) for x in smallest[c]] if c >= 0 else [] for c in here.tolist()]
-            for j, node, s in zip(r.tolist(), to[r, c].tolist(), cosine.tolist(), strict=True):
-                if s >= floor:
-                    of[j].extend((-s, x) for x in smallest[node])
-            found.extend([{"s": -s, "id": x} for s, x in sorted(y)[: k + 1]] for y in of)
-        keep = [j for j, f in enumerate(found) if f]
-        at = rep[ask[keep]]
-        return pa.table({"hi": pa.array(hi[at]), "lo": pa.array(lo[at]), "found": pa.array([found[j] for j in keep], kind)})
+            known = np.flatnonzero(base[here] == part)  # the query's own class needs no search
+            asked, node = np.concatenate([known, r[cosine >= floor]]), np.concatenate([here[known], to[r, c][cosine >= floor]])
+            cosine = np.concatenate([np.ones(len(known)), cosine[cosine >= floor]])
+            asked, cosine = np.repeat(asked, size[node]), np.repeat(cosine, size[node])
+            within = np.arange(len(asked)) - np.repeat(np.cumsum(size[node]) - size[node], size[node])
+            answers.append((asked + i, cosine, every[np.repeat(first[node], size[node]) + within]))
+        asked, cosine, ids = (np.concatenate(x) for x in zip(*answers, strict=True))
+        order = np.lexsort((ids, -cosine, asked))
+        asked, cosine, ids = asked[order], cosine[order], ids[order]
+        keep = np.arange(len(asked)) - np.searchsorted(asked, asked) <= k
+        asked, cosine, ids = asked[keep], cosine[keep], ids[keep]
+        have, begin = np.unique(asked, return_index=True)
+        found = pa.ListArray.from_arrays(pa.array(np.append(begin, len(asked)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(cosine), pa.array(ids)], names=["s", "id"]))
+        at = rep[ask[have]]
+        return pa.table({"hi": pa.array(hi[at]), "lo": pa.array(lo[at]), "found": found})
 
     kind = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))
     routed = vectors.mapInArrow(route, "cell long, part int, block int, own boolean, asks boolean, hi long, lo long, ids array<long>, v binary")
