@@ -15,6 +15,28 @@ def limit(spark: SparkSession, sf_dir: str, name: str) -> int:
     return table(spark, sf_dir, "limits").where(f"name = '{name}'").first()["amount"]
 
 
+def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, rec, field, source, text) of all texts and cells; the cells of a record are lines."""
+    nodes, docs = table(spark, sf_dir, "nodes"), table(spark, sf_dir, "documents")
+    rec = F.col("node_id").alias("rec")
+    text = nodes.select(F.lit("nodes").alias("tbl"), rec, F.lit("text").alias("field"), F.col("source_file").alias("source"), "text")
+    cells = nodes.select(F.lit("nodes").alias("tbl"), rec, F.lit("cells").alias("field"), F.col("source_file").alias("source"), F.array_join("metadata.cells", "\n").alias("text"))
+    docs = docs.select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec"), F.lit("text").alias("field"), "source", "text")
+    return text.union(cells).union(docs)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidora.llm.encodings import garbled_fields
+
+    return garbled_fields(text_fields(spark, sf_dir))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidora.llm.encodings import repaired_fields
+
+    return repaired_fields(text_fields(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidora.llm.near_duplicates import near_duplicate_pairs
 
@@ -48,7 +70,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"), fields, limit(spark, sf_dir, "leak_words"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p6_found, p7_found, p7_pieces, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p6_found, p7_found, p7_pieces, p9_found)}
 SQL: dict[str, str] = {
     "p7_found": """
         SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: length(x))) > lim THEN 'forced' ELSE 'natural' END AS cut
