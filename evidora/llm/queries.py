@@ -70,7 +70,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"), fields, limit(spark, sf_dir, "leak_words"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p6_found, p7_found, p7_pieces, p9_found)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidora.llm.truncation import cut_texts
+
+    return cut_texts(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidora.llm.truncation import cut_rates
+
+    return cut_rates(table(spark, sf_dir, "documents"), F.col("source"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p6_found, p7_found, p7_pieces, p9_found, p10_found, p10_rates)}
 SQL: dict[str, str] = {
     "p7_found": """
         SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: length(x))) > lim THEN 'forced' ELSE 'natural' END AS cut
