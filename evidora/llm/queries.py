@@ -37,6 +37,18 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_fields(text_fields(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidora.llm.scans import page_defects
+
+    return page_defects(table(spark, sf_dir, "pages"))
+
+
+def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidora.llm.scans import continuous_text
+
+    return continuous_text(table(spark, sf_dir, "pages"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidora.llm.near_duplicates import near_duplicate_pairs
 
@@ -82,7 +94,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_rates(table(spark, sf_dir, "documents"), F.col("source"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p6_found, p7_found, p7_pieces, p9_found, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_text, p4_found, p6_found, p7_found, p7_pieces, p9_found, p10_found, p10_rates)}
 SQL: dict[str, str] = {
     "p7_found": """
         SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: length(x))) > lim THEN 'forced' ELSE 'natural' END AS cut
