@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from evidora.scratch import stored
 
 #: Characters of ordinary text beside ASCII.
-USUAL = "áàâãäéêèíóôõöúüçñÁÀÂÃÄÉÊÈÍÓÔÕÖÚÜÇÑºª°–—“”‘’…•²³‰€½±§©®£™× "
+USUAL = "áàâãäéêèíóôõöúüçñÁÀÂÃÄÉÊÈÍÓÔÕÖÚÜÇÑºª°–—“”‘’…•²³‰€½±§©®£™×⁄\u00a0"
 _TAIL = "\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 #: Evidence: an unusual character, a lower-case letter before an accented capital, a lead byte before a continuation byte,
 #: a sign that is glued to letters on both sides, or a lone accented capital.
@@ -91,25 +92,71 @@ CHAINS |= {f"{a} as {b}": _swapped(a, b) for a, b in (("cp1252", "cp850"), ("cp1
 NAMES = list(CHAINS)
 
 
-def letter_pairs(texts: DataFrame) -> np.ndarray:
-    """Log probabilities of a character after another (256 classes, 0 for all beyond Latin-1) in texts without evidence."""
+@lru_cache(1)
+def _flags() -> np.ndarray:
+    """What EVIDENCE asks of each code point, as bits."""
+    f = np.zeros(0x110000, dtype=np.uint8)
+    f[128:] |= 1
+    for c in USUAL:
+        f[ord(c)] &= 0xFE
+    f[[ord(c) for c in map(chr, range(0x250)) if re.match("[a-zß-ÿ]", c)]] |= 2
+    f[ord("À") : ord("Þ") + 1] |= 4
+    f[[ord(c) for c in "ÃÂâ"]] |= 8
+    f[[cp for cp in range(0x3000) if re.match(f"[{_TAIL}]", chr(cp))]] |= 16
+    f[[ord(c) for c in "½±§©®£¶™×²³"]] |= 32
+    f[[cp for cp in range(0x250) if re.match("[A-Za-zÀ-ÿ]", chr(cp))]] |= 64
+    return f
+
+
+def with_evidence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which texts have EVIDENCE; the code points of all, joined by line ends, and the text of each."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    f = _flags()[codes]
+    hit = (f & 1).astype(bool)
+    hit[1:] |= (f[:-1] & 2).astype(bool) & (f[1:] & 4).astype(bool)
+    hit[1:] |= (f[:-1] & 8).astype(bool) & (f[1:] & 16).astype(bool)
+    hit[2:] |= (f[:-2] & 64).astype(bool) & (f[1:-1] & 32).astype(bool) & (f[2:] & 2).astype(bool)
+    sizes = np.array([len(t) + 1 for t in texts])
+    begin = np.cumsum(sizes) - sizes
+    some = np.zeros(len(texts), dtype=bool)
+    some[np.searchsorted(begin, np.flatnonzero(hit), side="right") - 1] = True
+    return some, codes, np.repeat(~some, sizes)[: len(codes)]
+
+
+def suspects_and_pairs(fields: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(tbl, rec, field, source, word) of all suspect words, and log probabilities of a character after another.
+
+    The second is a table of 256 classes (0 for all beyond Latin-1) of the texts without evidence.  Both come from one pass.
+    """
+    names = ["tbl", "rec", "field", "source", "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(65536, dtype=np.int64)
         for b in batches:
+            out: list[tuple] = []
             for i in range(0, b.num_rows, 512):
-                joined = " ".join(t for t in b.column(0).slice(i, 512).to_pylist() if t)
-                c = np.frombuffer((" " + joined + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                c = np.where(c == 10, 32, np.where(c < 256, c, 0)).astype(np.int64)
-                total += np.bincount(c[:-1] * 256 + c[1:], minlength=65536)
+                part = b.slice(i, 512)
+                texts = [t or "" for t in part.column(4).to_pylist()]
+                some, codes, clean = with_evidence(texts)
+                c = np.where(codes == 10, 32, np.where(codes < 256, codes, 0)).astype(np.int64)
+                both = clean[:-1] & clean[1:]
+                total += np.bincount((c[:-1] * 256 + c[1:])[both], minlength=65536)
+                if some.any():
+                    rows = part.take(pa.array(np.flatnonzero(some)))
+                    for tbl, rec, field, source, text in zip(*(x.to_pylist() for x in rows.columns), strict=True):
+                        out.extend((tbl, rec, field, source, w) for w in {w for w in _WORD.findall(text) if _EVIDENCE.search(w)})
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in cols), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.int64())], names=[*names, "pair", "n"])
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), pa.string()) for _ in names), pa.array(at.astype(np.int32)), pa.array(total[at])], names=[*names, "pair", "n"])
 
+    ready = fields.select("tbl", "rec", "field", F.coalesce("source", F.lit("")).alias("source"), "text")
+    seen = stored(ready.mapInArrow(run, "tbl string, rec string, field string, source string, word string, pair int, n long"), "suspects")
     counts = np.zeros(65536)
-    for r in texts.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 65536 rows
+    for r in seen.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 65536 rows
         counts[r["pair"]] = r["n"]
     counts = counts.reshape(256, 256)
-    return np.log((counts + 0.02) / (counts.sum(axis=1, keepdims=True) + 0.02 * 256))
+    return seen.where("pair is null").select(names).distinct(), np.log((counts + 0.02) / (counts.sum(axis=1, keepdims=True) + 0.02 * 256))
 
 
 def _plausible(word: str, pairs: np.ndarray) -> float:
@@ -123,17 +170,8 @@ def garbled_words(fields: DataFrame, rounds: int = 3) -> DataFrame:
     fixed is null for words that lost characters to U+FFFD.  Null texts have no words.
     """
     spark = fields.sparkSession
-    suspect = F.col("text").rlike(EVIDENCE)
-    pairs = spark.sparkContext.broadcast(letter_pairs(fields.where(~suspect)))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for tbl, rec, field, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = {w for w in _WORD.findall(text) if _EVIDENCE.search(w)}
-                out.extend((tbl, rec, field, source, w) for w in found)
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["tbl", "rec", "field", "source", "word"])
+    places, table = suspects_and_pairs(fields)
+    pairs = spark.sparkContext.broadcast(table)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[float]] = {}
@@ -146,7 +184,6 @@ def garbled_words(fields: DataFrame, rounds: int = 3) -> DataFrame:
                 rows.append(known[w])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.float64()))], names=[*b.schema.names, "gain"])
 
-    places = stored(fields.where(suspect).select("tbl", "rec", "field", F.coalesce("source", F.lit("")).alias("source"), "text").mapInArrow(words, "tbl string, rec string, field string, source string, word string").distinct(), "suspects")
     lost = F.contains("word", F.lit("�"))
     distinct = places.where(~lost).groupBy("source", "field", "word").agg(F.count("*").alias("n"))
     evidence = stored(distinct.mapInArrow(judge, "source string, field string, word string, n long, gain array<double>"), "evidence")
@@ -220,5 +257,5 @@ def repaired_fields(fields: DataFrame) -> DataFrame:
                 out.append(_WORD.sub(lambda m, to=to: to.get(m[0], m[0]), text))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tbl", "rec", "field", "text")), pa.array(out, pa.string())], names=["tbl", "rec_id", "field", "text", "repaired"])
 
-    rows = fields.where(F.col("text").rlike(EVIDENCE)).select("tbl", "rec", "field", "text").join(found, ["tbl", "rec", "field"])
+    rows = fields.select("tbl", "rec", "field", "text").join(found, ["tbl", "rec", "field"])
     return rows.mapInArrow(run, "tbl string, rec_id string, field string, text string, repaired string").distinct()
