@@ -23,14 +23,14 @@ from evidora.scratch import stored
 EDGES = ".,;:()“”\"–"
 DIVIDERS = "¬\u00ad-"
 #: Shapes that scanning confuses, as read and as printed; fixed values of the data description's kind of noise.
-CONFUSED = (("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("0", "o"), ("c", "e"), ("e", "c"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("li", "h"), ("6", "b"), ("9", "g"), ("5", "s"), ("8", "b"), ("vv", "w"), ("ri", "n"), ("in", "m"), ("u", "ii"), ("m", "rn"), ("d", "cl"), ("h", "li"), ("lí", "h"))
-IN_NUMBERS = str.maketrans("OolIiSsBZz", "0011155822")
+CONFUSED = (("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("0", "o"), ("c", "e"), ("e", "c"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("li", "h"), ("6", "b"), ("9", "g"), ("5", "s"), ("8", "b"), ("vv", "w"), ("ri", "n"), ("in", "m"), ("u", "ii"), ("m", "rn"), ("d", "cl"), ("h", "li"), ("n", "ri"), ("nn", "rm"), ("6", "ó"))
+IN_NUMBERS = str.maketrans("OolIiSsBbZzgq", "0011155862299")
 #: A correction must be so many times as frequent as what was read, and occur so often.
 TIMES, LEAST = 8, 3
 TRIE = 20_000
 
-_NUMBER = re.compile(r"\d{1,3}(?:\.\d{3})+(?:,\d+)?%?|\d+,\d+%?|\d{1,3}%|(?:19|20)\d\d|\d[ºª]")
-_NUMERIC = re.compile(r"[\dOolIiSsBZz.,]*[\dOolIiSsBZz][%ºª]?")
+_NUMBER = re.compile(r"\d{1,3}(?:\.\d{3})+(?:,\d+)?%?|\d+,\d+%?|\d{1,3}%?|(?:19|20)\d\d|\d[ºª]")
+_NUMERIC = re.compile(r"[\dOolIiSsBbZzgq.,]*[\dOolIiSsBbZzgq][%ºª]?")
 _DIGIT = r"[0-9OolI]"
 _PAGE_NO = re.compile(rf"\s*(?:(?P<dash>[-–—]\s*{_DIGIT}{{1,4}}\s*[-–—])|(?P<square>\[\s*{_DIGIT}{{1,4}}\s*\])|(?P<of>(?:p\.|p[áa]g(?:ina|\.)?|fl\.)?\s*{_DIGIT}{{1,4}}\s*(?:/|de)\s*{_DIGIT}{{1,4}})|(?P<page>(?:p\.|p[áa]g(?:ina|\.)?|fl\.)\s*{_DIGIT}{{1,4}})|(?P<plain>\d{{1,4}}))\s*", re.I)
 _DIVIDED = re.compile(rf"([^\W\d_]+(?:-[^\W\d_]+)*)[{DIVIDERS}][ \t]*\n[ \t]*([^\W\d_][\w{DIVIDERS}]*)")
@@ -290,6 +290,8 @@ def _body_words(rows):
                 words = words[:-1]
             for i, w in enumerate(words):
                 w = w.strip(EDGES).lower()
+                if w[-1:] == "o" and w[:-1].isdigit() and i + 1 < len(words) and words[i + 1].startswith("tri"):
+                    continue  # an ordinal
                 if w == "0" and i + 1 < len(words) and words[i + 1][:1].isalpha() and words[i + 1] != "mil":
                     w = "0 "
                 seen.add(w)
