@@ -75,6 +75,12 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("page_id", "page", F.inline("pieces"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidora.llm.containers import packed
+
+    return packed(table(spark, sf_dir, "documents"), limit(spark, sf_dir, "container_tokens"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidora.llm.leaks import leaked_items
 
@@ -94,7 +100,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_rates(table(spark, sf_dir, "documents"), F.col("source"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_text, p4_found, p6_found, p7_found, p7_pieces, p9_found, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_text, p4_found, p6_found, p7_found, p7_pieces, p8_containers, p9_found, p10_found, p10_rates)}
 SQL: dict[str, str] = {
     "p7_found": """
         SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: length(x))) > lim THEN 'forced' ELSE 'natural' END AS cut
