@@ -37,7 +37,8 @@ def page_boundaries(chunks: DataFrame, source: str = "source_file", page: str =
 
 def mentions(nodes: DataFrame, dims: Column, id_col: str = "node_id", dimensions: tuple[str, ...] = ("indicator", "region", "sector", "source")) -> DataFrame:
     """(id, entity): the entities that the facets of a node name."""
-    each = F.array(*(F.transform(dims[d], lambda v, d=d: F.concat(F.lit(d + ":"), v)) for d in dimensions))
+    named = lambda d: F.transform(dims[d], lambda v: F.concat(F.lit(d + ":"), v))
+    each = F.array(*(named(d) for d in dimensions))
     return nodes.select(F.col(id_col).alias("id"), F.explode(F.flatten(each)).alias("entity")).distinct()
 
 

@@ -73,7 +73,7 @@ def periods_found(spark, d):
 
 def period_granularity(spark, d):
     cell = F.get("metadata.cells", F.lit(2))
-    return nodes_once(spark, d).where("type = 'table'").select(pe.granularity(cell).alias("granularity"), F.length(cell).alias("size")).groupBy("granularity", "size").agg(F.count("*").alias("n"))
+    return nodes_once(spark, d).where("type = 'table'").where(cell.isNotNull()).select(pe.granularity(cell).alias("granularity"), F.length(cell).alias("size")).groupBy("granularity", "size").agg(F.count("*").alias("n"))
 
 
 def facets_found(spark, d):
@@ -202,6 +202,7 @@ QUERIES = {
     )
 }
 
+_FROM, _TO = (x.replace("'", "''") for x in tx._letters("NFKD"))
 _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 _KEYS = ", ".join(f'"{x}":["VARCHAR"]' for x in fc.DIMENSIONS)
 _DIMS = f"from_json(metadata.ontology_facets, '{{{_KEYS}}}')"
@@ -243,7 +244,7 @@ def _facet(dimension: str) -> str:
 SQL = {
     "fold_text": "SELECT doc_id, md5(strip_accents(lower(title))) AS folded FROM documents",
     "bm25_tokens": f"""SELECT item_id, len(t) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT item_id, list_filter(regexp_extract_all(
-        strip_accents(replace(replace(lower(pergunta), 'º', 'o'), 'ª', 'a')), '[0-9]+(?:[.,/-][0-9]+)*|[a-z]+'), lambda x: x NOT IN ({_STOP})) AS t FROM test_items)""",
+        translate(lower(pergunta), '{_FROM}', '{_TO}'), '[0-9]+(?:[.,/-][0-9]+)*|[a-z]+'), lambda x: x NOT IN ({_STOP})) AS t FROM test_items)""",
     "rare_terms": f"""SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(strip_accents(lower(resposta_esperada)),
         '[0-9]+(?:[.,/-][0-9]+)*[a-z]?|[a-z]{{3,}}'), lambda x: x NOT IN ({_STOP})))), ' ') AS terms FROM test_items""",
     "control_chars": "SELECT page_id, length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) AS n FROM pages WHERE text IS NOT NULL",
@@ -251,7 +252,7 @@ SQL = {
     "claim_split": "SELECT item_id, trim(c) AS claim FROM (SELECT item_id, unnest(regexp_split_to_array(regexp_replace(resposta_esperada, '([!?;])\\s+', '\\1' || chr(10), 'g'), '\\n+')) AS c FROM test_items) WHERE trim(c) <> ''",
     "excerpts": "SELECT doc_id, md5(CASE WHEN length(text) > 4000 THEN text[:4000] || '…' ELSE text END) AS excerpt FROM documents",
     "ptbr_numbers": f"WITH {_ONCE} SELECT node_id, {_plain(_CELL)} AS plain, CAST({_literal(_CELL)} AS DOUBLE) AS value FROM once WHERE chunk_strategy = 'row_per_chunk'",
-    "period_granularity": f"""WITH {_ONCE}, c AS (SELECT metadata.cells[3] AS c FROM once WHERE type = 'table')
+    "period_granularity": f"""WITH {_ONCE}, c AS (SELECT metadata.cells[3] AS c FROM once WHERE type = 'table' AND metadata.cells[3] IS NOT NULL)
         SELECT CASE WHEN regexp_full_match(c, '[0-9]{{4}}') THEN 'year' WHEN regexp_full_match(c, '[0-9]{{4}}-Q[1-4]') THEN 'quarter' WHEN regexp_full_match(c, '[0-9]{{4}}-[0-9]{{2}}') THEN 'month'
         WHEN regexp_full_match(c, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'day' ELSE 'unknown' END AS granularity, length(c) AS size, count(*) AS n FROM c GROUP BY ALL""",
     "facets_found": f"""WITH t AS (SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)^Fonte:')),

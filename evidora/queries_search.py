@@ -17,7 +17,7 @@ from evidora.operators import graph as gr
 from evidora.operators import lookup as lk
 from evidora.operators import ranking as rk
 from evidora.operators import validation as va
-from evidora.queries_corpus import _DIMS, _ONCE, _STOP, nodes_once
+from evidora.queries_corpus import _DIMS, _FROM, _ONCE, _STOP, _TO, nodes_once
 from evidora.scratch import stored, table
 
 _MENTIONS = ("indicator", "unit", "period")
@@ -246,7 +246,7 @@ _LISTS = f"""{_COS}, lab AS (SELECT q.vec_id AS query_id, c.vec_id AS id, row_nu
     lists AS (SELECT query_id, 'dense' AS list, id, position FROM dense WHERE position <= 30 UNION ALL SELECT query_id, 'label', id, position FROM lab WHERE position <= 30)"""
 _FUSED = f"""{_LISTS}, f0 AS (SELECT query_id, id, sum(1.0 / (60 + position)) AS score, count(*) AS lists, min({{'l': list, 'p': position}}) AS first FROM lists GROUP BY 1, 2),
     fused AS (SELECT f0.*, label AS table_key, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, id) AS position FROM f0 JOIN embeddings e ON e.vec_id = f0.id)"""
-_TOK = "list_filter(regexp_extract_all(strip_accents(replace(replace(lower({c}), 'º', 'o'), 'ª', 'a')), '[0-9]+(?:[.,/-][0-9]+)*|[a-z]+'), lambda x: x NOT IN ({s}))"
+_TOK = "list_filter(regexp_extract_all(translate(lower({c}), '" + _FROM + "', '" + _TO + "'), '[0-9]+(?:[.,/-][0-9]+)*|[a-z]+'), lambda x: x NOT IN ({s}))"
 _EDGES = f"""{_ONCE}, nx AS (SELECT node_id, lead(node_id) OVER w AS n, chunk_id AS o, lead(chunk_id) OVER w AS p FROM once WINDOW w AS (PARTITION BY source_file, page, type ORDER BY chunk_id NULLS FIRST, node_id)),
     nxt AS (SELECT node_id AS source_id, n AS target_id FROM nx WHERE p = o + 1),
     pg AS (SELECT source_file, TRY_CAST(page AS INTEGER) AS p, max_by(node_id, {{'o': chunk_id, 'n': node_id}}) AS l, min_by(node_id, {{'o': chunk_id, 'n': node_id}}) AS f FROM once WHERE type = 'text' AND TRY_CAST(page AS INTEGER) IS NOT NULL GROUP BY 1, 2),

@@ -22,11 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df to the shared folder and returns it as read from there: the lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
+    spark = prepared(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the planner's claim about the partitioning of unions off.
+
+    With it on, Spark 4.1.2 joins a union of differently coalesced shuffles without an exchange and loses rows (see
+    tests/test_core.py).
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
