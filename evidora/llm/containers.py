@@ -134,7 +134,7 @@ def packed(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str
     histogram[0] = 0
     bounds = best_bounds(histogram, buckets)
     cuts = np.concatenate([[0], np.cumsum(histogram)])
-    each = [int(cuts[hi + 1] - cuts[lo + 1]) for lo, hi in zip([0, *bounds[:-1]], bounds, strict=True)]
+    each = [int(cuts[hi + 1] - cuts[lo + 1]) for lo, hi in zip([0, *bounds], bounds, strict=False)]
     runs, _ = container_plan(bounds, each, capacity)
     chunks = max(1, total // CHUNK)
     limits = np.array(bounds)

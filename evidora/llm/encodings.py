@@ -116,7 +116,7 @@ def with_evidence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     hit[1:] |= (f[:-1] & 2).astype(bool) & (f[1:] & 4).astype(bool)
     hit[1:] |= (f[:-1] & 8).astype(bool) & (f[1:] & 16).astype(bool)
     hit[2:] |= (f[:-2] & 64).astype(bool) & (f[1:-1] & 32).astype(bool) & (f[2:] & 2).astype(bool)
-    sizes = np.array([len(t) + 1 for t in texts])
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     begin = np.cumsum(sizes) - sizes
     some = np.zeros(len(texts), dtype=bool)
     some[np.searchsorted(begin, np.flatnonzero(hit), side="right") - 1] = True

@@ -23,6 +23,7 @@ SEPARATORS = (
     ("sentence", re.compile(r"(?<=[.!?…;])[\"”)]?\s+")),
     ("word", re.compile(r"\s+")),
 )
+_STRETCH, _BLANK = re.compile(r"\S*"), re.compile(r"\s")
 PIECE = "struct<piece_no:int, begin_char:int, end_char:int, level:string, piece:string>"
 
 
@@ -47,21 +48,18 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
                     break
             if cut:
                 break
-        begin = cut - overlap
+        if not cut and text[s + limit].isspace():
+            cut, level = s + limit, "word"
         if not cut:
-            blanks = ends[-1][1]
-            k = bisect_right(blanks, s + overlap)
-            stretch = blanks[k - 1] if k else 0
-            m = re.compile(r"\S*").match(text, stretch)
-            if m and m.end() - stretch <= limit and stretch > s:
-                cut, level = stretch, "word"
-                begin = max(cut - overlap, m.end() - limit, s + 1)
-            else:
-                after = re.compile(r"\s").search(text, s + overlap + 1)
-                long_from = max(stretch, s)
-                forced = (after.start() if after else n) - stretch > limit
-                cut, level = s + limit, "character" if forced else "word"
-                begin = cut - overlap if long_from < cut - overlap or forced else long_from
+            k = bisect_right(ends[-1][1], s + overlap)
+            stretch = max(ends[-1][1][k - 1] if k else 0, s)
+            after = _BLANK.search(text, s + overlap + 1)
+            forced = (after.start() if after else n) - stretch > limit
+            cut, level = s + limit, "character" if forced else "word"
+        begin = cut - overlap
+        ahead = _STRETCH.match(text, cut).end()
+        if ahead - begin > limit >= ahead - cut:
+            begin = ahead - limit  # the next stretch fits only with less overlap
         out.append((s, cut, level))
         s = begin
     out.append((s, n, "end"))
@@ -69,7 +67,11 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
 
 
 def with_pieces(df: DataFrame, limit: int, overlap: int, text_col: str = "text") -> DataFrame:
-    """Adds `pieces`, the array of the pieces of each text: one piece if it fits, none if it is null or empty."""
+    """Adds `pieces`, the array of the pieces of each text: one piece if it fits, none if it is null or empty.
+
+    A column of that name is replaced; all others stay.
+    """
+    df = df.drop("pieces")
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half of the limit")
 

@@ -207,6 +207,8 @@ def nearest_vectors(df: DataFrame, k: int, floor: float, id_col: str = "vec_id",
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, blocks = plan.value
         for b in batches:
+            if not b.num_rows:
+                continue
             ids, v = b.column("id").to_numpy(), _matrix(b.column("v"), dim)
             cls = _classes(v)
             order = np.lexsort((ids, cls[:, 1], cls[:, 0]))
