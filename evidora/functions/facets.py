@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidora.functions.periods import periods
@@ -66,24 +69,35 @@ PUBLICATION = r"\b(publicacao|publicado|edicao|divulgacao|divulgado|atualizacao|
 
 def reference_text(c: Column) -> Column:
     """The folded text without source lines and lines about publication."""
-    lines = F.filter(F.split(c, "\n"), lambda x: ~x.rlike("(?i)^Fonte:"))
-    return F.array_join(F.filter(F.transform(lines, fold), lambda x: ~x.rlike(PUBLICATION)), "\n")
+    return F.array_join(F.filter(F.split(fold(c), "\n"), lambda x: ~x.rlike(rf"^fonte:|{PUBLICATION}")), "\n")
+
+
+def _occurs(folded: Column, pattern: str) -> Column:
+    """Whether a pattern occurs; alternatives that are plain words are searched as bytes, without a regular expression."""
+    plain = [p.replace("\\$", "$") for p in pattern.split("|")]
+    if all(re.fullmatch(r"[a-z0-9 %$]+", p) for p in plain):
+        return reduce(lambda a, b: a | b, (F.contains(folded, F.lit(p)) for p in plain))
+    return folded.rlike(pattern)
 
 
 def found(folded: Column, dimension: str, vocabulary=VOCABULARY) -> Column:
     """Sorted ids of a dimension whose pattern occurs in the folded text."""
-    return F.array_compact(F.array(*(F.when(folded.rlike(p), F.lit(i)) for d, i, p in sorted(vocabulary) if d == dimension)))
+    return F.array_compact(F.array(*(F.when(_occurs(folded, p), F.lit(i)) for d, i, p in sorted(vocabulary) if d == dimension)))
 
 
-def facets(c: Column) -> Column:
-    """Struct of ten sorted arrays; an unknown dimension is empty.  A sector hides the sector it belongs to."""
-    folded = reference_text(c)
+def facets(folded: Column) -> Column:
+    """Struct of ten sorted arrays of a reference text; an unknown dimension is empty.  A sector hides the sector it belongs to."""
     parts = {d: periods(folded) if d == "period" else found(folded, d) for d in DIMENSIONS}
     for child, parent in SECTOR_PARENTS.items():
         parts["sector"] = F.when(F.array_contains(parts["sector"], child), F.array_remove(parts["sector"], parent)).otherwise(parts["sector"])
     return F.struct(*(F.coalesce(v, F.array().cast("array<string>")).alias(d) for d, v in parts.items()))
 
 
+def with_facets(df: DataFrame, text_col: str, name: str = "dims") -> DataFrame:
+    """Adds the facets of a text.  The reference text is a projection of its own: every pattern reads it, none folds again."""
+    return df.withColumn("_reference", reference_text(F.col(text_col))).withColumn(name, facets(F.col("_reference"))).drop("_reference")
+
+
 def stored_facets(json: Column) -> Column:
     """Facets kept as JSON text; unknown dimensions and unreadable texts are empty arrays."""
     read = F.from_json(json, ", ".join(f"{d} array<string>" for d in DIMENSIONS))

@@ -77,8 +77,8 @@ def period_granularity(spark, d):
 
 
 def facets_found(spark, d):
-    f = fc.facets(F.col("text"))
-    return table(spark, d, "documents").where("lang = 'pt'").select("doc_id", f.alias("f")).select("doc_id", *(F.array_join(F.col("f")[x], ",").alias(x) for x in ("indicator", "unit", "scale", "sector", "basis", "kind")))
+    docs = fc.with_facets(table(spark, d, "documents").where("lang = 'pt'").select("doc_id", "text"), "text", "f")
+    return docs.select("doc_id", *(F.array_join(F.col("f")[x], ",").alias(x) for x in ("indicator", "unit", "scale", "sector", "basis", "kind")))
 
 
 def dimension_histogram(spark, d):

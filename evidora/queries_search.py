@@ -98,7 +98,7 @@ def contained_once(spark, d):
 def bm25_search(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), tx.tokens(F.col("text")).alias("tokens")).where("tokens is not null")
     q = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), tx.tokens(F.col("title")).alias("tokens"))
-    return rk.bm25(q, docs, "tokens", 10).select("query_id", "id", F.round("score", 4).alias("score"))
+    return rk.bm25(q, docs, "tokens", 10).select("query_id", "id", F.round("score", 3).alias("score"))
 
 
 def structural_edges(spark, d):
@@ -280,7 +280,7 @@ SQL = {
         raw AS (SELECT term, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM df, st), idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
         q0 AS (SELECT doc_id AS query_id, unnest({_TOK.format(c='title', s=_STOP)}) AS term FROM documents WHERE doc_id % 100 = 0), q AS (SELECT query_id, term, count(*) AS times FROM q0 GROUP BY ALL),
         s AS (SELECT query_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean_size))), 6) AS score FROM tf JOIN q USING (term) JOIN idf USING (term), st GROUP BY ALL),
-        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM s WHERE score > 0) SELECT query_id, id, round(score, 4) AS score FROM k WHERE position <= 10""",
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM s WHERE score > 0) SELECT query_id, id, round(score, 3) AS score FROM k WHERE position <= 10""",
     "structural_edges": f"WITH {_EDGES}, {_STRUCT} SELECT * FROM all_edges",
     "page_boundary_edges": f"WITH {_EDGES} SELECT * FROM bound",
     "entity_mentions": f"WITH {_MENT} SELECT entity, count(*) AS n FROM m GROUP BY 1",
@@ -293,6 +293,8 @@ SQL = {
     "context_reach": f"""WITH {_EDGES}, e AS (SELECT * FROM nxt UNION ALL SELECT * FROM bound), b AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e),
         s AS (SELECT vec_id AS query_id, node_id AS id FROM chunk_vectors WHERE vec_id % 100 = 0 AND node_id IS NOT NULL), h1 AS (SELECT query_id, b.b AS id FROM s JOIN b ON b.a = s.id), h2 AS (SELECT query_id, b.b AS id FROM h1 JOIN b ON b.a = h1.id)
         SELECT query_id, id, min(h) AS hops FROM (SELECT *, 0 AS h FROM s UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY 1, 2""",
+    "text_chains": f"""WITH RECURSIVE {_EDGES}, e AS (SELECT * FROM nxt UNION ALL SELECT * FROM bound), b AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e),
+        r AS (SELECT a AS id, a AS m FROM b UNION SELECT b.b, r.m FROM r JOIN b ON b.a = r.id AND b.b > r.m), c AS (SELECT id, min(m) AS component FROM r GROUP BY 1) SELECT component, count(*) AS n FROM c GROUP BY 1""",
     "personal_rank": f"""WITH {_EDGES.replace('FROM nodes QUALIFY', 'FROM nodes QUALIFY')}, tx AS (SELECT * FROM once WHERE type = 'text'),
         ed AS (SELECT node_id AS s, 1.0 AS w, concat_ws('::', source_file, page) AS t FROM tx UNION ALL SELECT DISTINCT concat_ws('::', source_file, page), 0.4, source_file FROM tx UNION ALL SELECT source_id, 1.0, target_id FROM nxt WHERE source_id IN (SELECT node_id FROM tx)),
         b AS (SELECT s AS a, t AS b, w FROM ed UNION ALL SELECT t, s, w FROM ed), dg AS (SELECT b, count(*) AS d FROM b GROUP BY 1), ww AS (SELECT a, b, sum(w / log2(d + 2)) AS w FROM b JOIN dg USING (b) GROUP BY 1, 2),

@@ -140,7 +140,7 @@ def test_periods(spark, phrase, found):
 
 
 def test_facets(spark):
-    f = one(spark, facets.facets(F.col("x")), x="Taxa de desocupação na indústria de transformação, em percentual, 2023\nFonte: IBGE 2020\nPublicado em 2024")
+    f = one(spark, facets.facets(facets.reference_text(F.col("x"))), x="Taxa de desocupação na indústria de transformação, em percentual, 2023\nFonte: IBGE 2020\nPublicado em 2024")
     assert (f.indicator, f.sector, f.unit, f.period, f.source, f.kind) == (["desocupacao"], ["industria_transformacao"], ["percentual"], ["2023"], [], ["taxa"])
     assert one(spark, facets.stored_facets(F.col("x")), x="not json").indicator == []
 
