@@ -134,3 +134,28 @@ def descendants(parents: DataFrame, child: str = "child", parent: str = "parent"
             break
         known = known.union(frontier)
     return known
+
+
+def communities(weighted: DataFrame, rounds: int = 5) -> DataFrame:
+    """(id, community): synchronous label propagation over edges (a, b, weight) for a fixed number of rounds.
+
+    A node takes the label with the most weight among its neighbours and itself (its own label weighs half of its heaviest edge,
+    which stops labels from swapping); ties go to the least label.
+    """
+    both = stored(weighted.select("a", "b", "weight").union(weighted.select("b", "a", "weight")), "weights")
+    own = both.groupBy("a").agg((F.max("weight") / 2).alias("weight"))
+    now = own.select(F.col("a").alias("id"), F.col("a").alias("community"))
+    for _ in range(rounds):
+        heard = both.join(now, F.col("b") == F.col("id")).select("a", "community", "weight")
+        kept = own.join(now, F.col("a") == F.col("id")).select("a", "community", "weight")
+        votes = heard.union(kept).groupBy("a", "community").agg(F.sum("weight").alias("w"))
+        top = votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("t"))
+        now = stored(top.select(F.col("a").alias("id"), F.col("t.community").alias("community")), "labels")
+    return now
+
+
+def comparison_graph(plans: DataFrame) -> DataFrame:
+    """(source_id, label, target_id) of calculations (plan_id, operation, operand_no, cell_id): which cells enter which result."""
+    binary = F.col("operation").isin("difference", "percent_change", "percentage_points")
+    label = F.when(binary & (F.col("operand_no") == 1), "BASE_DE").when(binary & (F.col("operand_no") == 2), "FINAL_DE").otherwise("OPERANDO_DE")
+    return plans.select(F.col("cell_id").alias("source_id"), label.alias("label"), F.col("plan_id").alias("target_id")).distinct()
