@@ -243,7 +243,7 @@ _SHAPES = re.compile("|".join(re.escape(a) for a, _ in CONFUSED))
 
 
 def corrections(asked: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, correct) of the distinct words of `asked` (word, n) that are confusions of a far more frequent word.
+    """(word, correct, cost, n) of the distinct words of `asked` (word, n) that are confusions of a far more frequent word.
 
     The vocabulary lies in tries by length, of at most about TRIE words; each word is looked up in those of its length and two
     more or less.
@@ -252,7 +252,7 @@ def corrections(asked: DataFrame, words: DataFrame) -> DataFrame:
     sizes = usable.groupBy("len").count().collect()  # a row per length
     parts = {r["len"]: -(-r["count"] // TRIE) for r in sizes}
     if not parts:
-        return asked.select("word", F.col("word").alias("correct")).limit(0)
+        return asked.select("word", F.col("word").alias("correct"), F.lit(0).alias("cost"), F.col("n")).limit(0)
     many = F.create_map(*(F.lit(x) for kv in sorted(parts.items()) for x in kv))
     shelf = usable.withColumn("part", F.pmod(F.xxhash64("word"), many[F.col("len")]).cast("int"))
     reach = F.filter(F.sequence(F.length("word") - 2, F.length("word") + 2), lambda x: F.array_contains(F.lit(sorted(parts)), x))
@@ -272,7 +272,33 @@ def corrections(asked: DataFrame, words: DataFrame) -> DataFrame:
 
     keys = ["len", "part", "block"]
     near = looked.groupBy(keys).cogroup(shelf.groupBy(keys)).applyInPandas(look, "word string, correct string, cost int, n long")
-    return near.groupBy("word").agg(F.max_by("correct", F.struct(-F.col("cost"), "n")).alias("correct"))
+    least = near.groupBy("word").agg(F.min("cost").alias("cost"))
+    return near.join(least, ["word", "cost"]).select("word", "correct", "cost", "n")
+
+
+def _pairs(rows):
+    n: Counter[tuple[str, str]] = Counter()
+    for r in rows:
+        before = ""
+        for w in _words_of(_body(r["text"], r["header"], r["number"])):
+            w = w.strip(EDGES).lower()
+            if w and len(w) <= 64:
+                n[before, w] += 1
+            before = w
+    yield from ((a, b, k) for (a, b), k in n.items())
+
+
+def in_context(read: DataFrame, candidates: DataFrame, laid: DataFrame) -> DataFrame:
+    """(word, before, correct): the candidate for each word after the word before it: the one seen there most often, then the
+    most frequent."""
+    asked = read.select("word", "before").distinct()
+    met = asked.join(candidates, "word")
+    several = candidates.groupBy("word").count().where("count > 1").select("word")
+    open_ = met.join(several, "word", "left_semi").select("before", "correct").distinct()
+    seen = laid.mapInArrow(_rows(_pairs, [("before", pa.string()), ("correct", pa.string()), ("times", pa.int64())]), "before string, correct string, times long")
+    times = seen.join(open_, ["before", "correct"], "left_semi").groupBy("before", "correct").agg(F.sum("times").alias("times"))
+    ranked = met.join(times, ["before", "correct"], "left")
+    return ranked.groupBy("word", "before").agg(F.max_by("correct", F.struct(F.coalesce("times", F.lit(0)), "n", "correct")).alias("correct"))
 
 
 def _body_words(rows):
@@ -294,16 +320,16 @@ def _body_words(rows):
                     continue  # an ordinal
                 if w == "0" and i + 1 < len(words) and words[i + 1][:1].isalpha() and words[i + 1] != "mil":
                     w = "0 "
-                seen.add(w)
-        for w in seen:
+                seen.add((w, words[i - 1].strip(EDGES).lower() if i else ""))
+        for w, before in seen:
             if w == "0 ":
-                yield (r["page_id"], r["file"], "0", "o", None)
+                yield (r["page_id"], "0", "o", None, before)
             elif _NUMERIC.fullmatch(w) and any(c.isdigit() for c in w):
                 right = w.translate(IN_NUMBERS)
                 if right != w and _NUMBER.fullmatch(right):
-                    yield (r["page_id"], r["file"], w, right, None)
+                    yield (r["page_id"], w, right, None, before)
             elif len(w) > 1 and len(w) <= 64 and _SHAPES.search(w) and any(c.isalpha() for c in w):
-                yield (r["page_id"], r["file"], w, None, w)
+                yield (r["page_id"], w, None, w, before)
 
 
 def with_furniture(pages: DataFrame, id_col: str = "page_id", file_col: str = "source_file", page_col: str = "page", text_col: str = "text", kind_col: str = "extraction") -> DataFrame:
@@ -321,14 +347,16 @@ def page_defects(pages: DataFrame) -> DataFrame:
     header = scanned.where("header >= 0").select("page_id", F.lit("header").alias("defect"), F.get(lines, F.col("header").cast("int")).alias("value"))
     number = scanned.where("number >= 0").select("page_id", F.lit("page_number").alias("defect"), F.get(lines, F.col("number").cast("int")).alias("value"))
     divided = stored(divided_words(scanned, words), "divided")
-    kinds = [("page_id", pa.int64()), ("file", pa.string()), ("word", pa.string()), ("correct", pa.string()), ("ask", pa.string())]
-    read = stored(scanned.mapInArrow(_rows(_body_words, kinds), "page_id long, file string, word string, correct string, ask string"), "read")
+    kinds = [("page_id", pa.int64()), ("word", pa.string()), ("correct", pa.string()), ("ask", pa.string()), ("before", pa.string())]
+    read = stored(scanned.mapInArrow(_rows(_body_words, kinds), "page_id long, word string, correct string, ask string, before string"), "read")
     unknown = divided.where("unknown").select(F.col("whole").alias("word"))
     asked = read.where("ask is not null").select(F.col("ask").alias("word")).union(unknown).distinct().join(words, "word", "left").fillna(1, ["n"])
-    right = stored(corrections(asked, words), "corrections")
-    whole = divided.join(right.withColumnRenamed("word", "whole"), "whole", "left")
+    near = stored(corrections(asked, words), "corrections")
+    placed = in_context(read.where("ask is not null").select("word", "before"), near, laid)
+    best = near.groupBy("word").agg(F.max_by("correct", F.struct("n", "correct")).alias("correct"))
+    whole = divided.join(best.withColumnRenamed("word", "whole"), "whole", "left")
     hyphen = whole.select("page_id", F.lit("hyphen").alias("defect"), F.coalesce("correct", "whole").alias("value"))
-    glyph = read.where("correct is not null").select("page_id", "correct").union(read.where("ask is not null").drop("correct").join(right, "word").select("page_id", "correct"))
+    glyph = read.where("correct is not null").select("page_id", "correct").union(read.where("ask is not null").drop("correct").join(placed, ["word", "before"]).select("page_id", "correct"))
     return header.union(number).union(hyphen).union(glyph.select("page_id", F.lit("glyph"), "correct")).distinct()
 
 
@@ -341,10 +369,12 @@ def continuous_text(pages: DataFrame) -> DataFrame:
     words = stored(vocabulary(laid), "vocabulary")
     laid = laid.where("scanned")
     divided = stored(divided_words(laid, words), "divided")
-    kinds = [("page_id", pa.int64()), ("file", pa.string()), ("word", pa.string()), ("correct", pa.string()), ("ask", pa.string())]
-    read = stored(laid.mapInArrow(_rows(_body_words, kinds), "page_id long, file string, word string, correct string, ask string"), "read")
-    right = stored(corrections(read.where("ask is not null").select(F.col("ask").alias("word")).distinct().join(words, "word", "left").fillna(1, ["n"]), words), "corrections")
-    fixes = read.where("correct is not null").select("page_id", "word", "correct").union(read.where("ask is not null").select("page_id", "word").join(right, "word").select("page_id", "word", "correct"))
+    kinds = [("page_id", pa.int64()), ("word", pa.string()), ("correct", pa.string()), ("ask", pa.string()), ("before", pa.string())]
+    read = stored(laid.mapInArrow(_rows(_body_words, kinds), "page_id long, word string, correct string, ask string, before string"), "read")
+    asked = read.where("ask is not null").select(F.col("ask").alias("word")).distinct().join(words, "word", "left").fillna(1, ["n"])
+    placed = in_context(read.where("ask is not null").select("word", "before"), stored(corrections(asked, words), "corrections"), laid)
+    fixes = read.where("correct is not null").select("page_id", "word", "correct").union(read.where("ask is not null").drop("correct").join(placed, ["word", "before"]).select("page_id", "word", "correct"))
+    fixes = fixes.groupBy("page_id", "word").agg(F.min("correct").alias("correct"))
     fixes = fixes.groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "correct"))).alias("fixes"))
     joins = divided.groupBy("page_id").agg(F.collect_set(F.struct("left", "right", "whole", "place")).alias("joins"))
     order = Window.partitionBy("file", "page").orderBy("page_id")
