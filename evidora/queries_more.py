@@ -45,8 +45,8 @@ def comparison_issues(spark, d):
 
 def missing_values(spark, d):
     obs = nodes_once(spark, d).where("type = 'table'").select(fc.stored_facets(F.col("metadata.ontology_facets")).alias("dims"))
-    q = fc.with_facets(table(spark, d, "test_items").select("item_id", "pergunta"), "pergunta").select("item_id", F.explode("dims.indicator").alias("indicator"), F.regexp_extract_all("pergunta", F.lit(r"\b(?:19|20)[0-9]{2}\b"), F.lit(0)).alias("p"))
-    return ob.missing_values(q.select("item_id", "indicator", F.explode("p").alias("period")), obs, "item_id")
+    q = fc.with_facets(table(spark, d, "documents").select("doc_id", "title"), "title").select("doc_id", F.explode("dims.indicator").alias("indicator"), F.regexp_extract_all("title", F.lit(r"\b(?:19|20)[0-9]{2}\b"), F.lit(0)).alias("p"))
+    return ob.missing_values(q.select("doc_id", "indicator", F.explode("p").alias("period")), obs, "doc_id")
 
 
 def relation_rules(spark, d):
@@ -68,7 +68,7 @@ def round_robin_sample(spark, d):
 
 def skill_scores(spark, d):
     skills = table(spark, d, "region").limit(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("skill"), F.lit(b).alias("keyword"), F.lit(p).alias("priority")) for a, b, p in SKILLS))))
-    return rg.keyword_scores(table(spark, d, "test_items"), skills, "item_id", "pergunta")
+    return rg.keyword_scores(table(spark, d, "documents"), skills, "doc_id", "title")
 
 
 def question_routes(spark, d):
@@ -186,17 +186,17 @@ SQL = {
         SELECT table_key, array_to_string(list_filter([CASE WHEN count(DISTINCT indicator) > 1 OR bool_or(len(indicator) <> 1) THEN 'indicator' END, CASE WHEN count(DISTINCT unit) > 1 OR bool_or(len(unit) <> 1) THEN 'unit' END,
             CASE WHEN count(DISTINCT scale) > 1 THEN 'scale' END, CASE WHEN count(DISTINCT sector) > 1 THEN 'sector' END, CASE WHEN bool_or(len(period) <> 1) OR count(DISTINCT period) < count(*) THEN 'period' END], lambda x: x IS NOT NULL), ',') AS issues FROM f GROUP BY 1""",
     "missing_values": f"""WITH {_ONCE}, f AS (SELECT {_DIMS} AS f FROM once WHERE type = 'table'), h0 AS (SELECT unnest(f.indicator) AS indicator, f.period AS p FROM f), h AS (SELECT DISTINCT indicator, unnest(p) AS period FROM h0),
-        q0 AS (SELECT item_id, pergunta, array_to_string(list_filter(string_split({_T.format(c='pergunta')}, chr(10)), lambda x: NOT regexp_matches(x, '^fonte:|{fc.PUBLICATION}')), chr(10)) AS raw FROM test_items WHERE pergunta IS NOT NULL),
-        q1 AS (SELECT item_id, pergunta, unnest({_listed('indicator').rpartition(' AS ')[0]}) AS indicator FROM q0), q AS (SELECT DISTINCT item_id, indicator, unnest(regexp_extract_all(pergunta, '\\b(?:19|20)[0-9]{{2}}\\b')) AS period FROM q1)
-        SELECT q.item_id, q.indicator, q.period FROM q ANTI JOIN h ON h.indicator = q.indicator AND h.period = q.period""",
+        q0 AS (SELECT doc_id, title, array_to_string(list_filter(string_split({_T.format(c='title')}, chr(10)), lambda x: NOT regexp_matches(x, '^fonte:|{fc.PUBLICATION}')), chr(10)) AS raw FROM documents WHERE title IS NOT NULL),
+        q1 AS (SELECT doc_id, title, unnest({_listed('indicator').rpartition(' AS ')[0]}) AS indicator FROM q0), q AS (SELECT DISTINCT doc_id, indicator, unnest(regexp_extract_all(title, '\\b(?:19|20)[0-9]{{2}}\\b')) AS period FROM q1)
+        SELECT q.doc_id, q.indicator, q.period FROM q ANTI JOIN h ON h.indicator = q.indicator AND h.period = q.period""",
     "relation_rules": f"WITH c(k, o) AS (VALUES {_CLOSURE}), r(relation, a, b) AS (VALUES {_RULES}) SELECT DISTINCT x.k AS subject_type, relation, y.k AS object_type FROM r JOIN c x ON x.o = a JOIN c y ON y.o = b",
     "relation_polarity": f"""WITH {_ONCE}, t AS (SELECT node_id, {_T.format(c='text')} AS t FROM once WHERE type = 'text') SELECT node_id, CASE WHEN regexp_matches(regexp_replace(t, '{rg.NOT_NEGATION}', '#', 'g'), '{rg.NEGATION}') THEN 'negated' ELSE 'affirmed' END AS polarity,
         CASE WHEN regexp_matches(t, '{rg.CAUSE}') THEN 'causal' WHEN regexp_matches(t, '{rg.ASSOCIATION}') THEN 'association' ELSE 'none' END AS kind,
         CASE WHEN regexp_matches(t, '{rg.CONDITION}') THEN 'conditional' WHEN regexp_matches(t, '{rg.UNCERTAIN}') THEN 'uncertain' ELSE 'asserted' END AS modality FROM t""",
     "round_robin_sample": f"""WITH {_ONCE}, t AS (SELECT node_id, source_file, type, row_number() OVER (PARTITION BY source_file, type ORDER BY chunk_id NULLS FIRST, node_id) AS turn FROM once WHERE source_file IS NOT NULL AND type IS NOT NULL)
         SELECT node_id, turn FROM t ORDER BY turn, source_file, type LIMIT 12""",
-    "skill_scores": f"""WITH k(skill, keyword, priority) AS (VALUES {', '.join(f"('{a}', '{b}', {p})" for a, b, p in SKILLS)}), t AS (SELECT item_id, ' ' || regexp_replace({_T.format(c='pergunta')}, '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM test_items),
-        s AS (SELECT item_id AS id, skill, priority, sum(1 + length(keyword) - length(replace(keyword, ' ', ''))) AS score FROM t JOIN k ON contains(t, ' ' || keyword || ' ') GROUP BY ALL),
+    "skill_scores": f"""WITH k(skill, keyword, priority) AS (VALUES {', '.join(f"('{a}', '{b}', {p})" for a, b, p in SKILLS)}), t AS (SELECT doc_id, ' ' || regexp_replace({_T.format(c='title')}, '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM documents),
+        s AS (SELECT doc_id AS id, skill, priority, sum(1 + length(keyword) - length(replace(keyword, ' ', ''))) AS score FROM t JOIN k ON contains(t, ' ' || keyword || ' ') GROUP BY ALL),
         p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, priority DESC, skill) AS position FROM s) SELECT id, skill, CAST(score AS BIGINT) AS score, position FROM p WHERE position <= 2""",
     "question_routes": f"SELECT item_id, {', '.join(f"regexp_matches({_T.format(c='pergunta')}, '{p}') AS {r}" for r, p in ROUTES)} FROM test_items WHERE pergunta IS NOT NULL",
     "output_quality": f"""WITH w AS (SELECT doc_id, length(regexp_replace(text, '[^�]', '', 'g')) AS lost, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), e AS (SELECT *, len(list_filter(w, lambda x: x IN ({', '.join(f"'{x}'" for x in ENGLISH)}))) AS english FROM w)
