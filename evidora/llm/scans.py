@@ -315,18 +315,19 @@ def _body_words(rows):
             if words and words[-1][-1] in DIVIDERS:
                 words = words[:-1]
             for i, w in enumerate(words):
-                w = w.strip(EDGES).lower()
+                bare = w.strip(EDGES)
+                w = bare.lower()
                 if w[-1:] == "o" and w[:-1].isdigit() and i + 1 < len(words) and words[i + 1].startswith("tri"):
                     continue  # an ordinal
                 if w == "0" and i + 1 < len(words) and words[i + 1][:1].isalpha() and words[i + 1] != "mil":
                     w = "0 "
-                seen.add((w, words[i - 1].strip(EDGES).lower() if i else ""))
-        for w, before in seen:
+                seen.add((w, bare, words[i - 1].strip(EDGES).lower() if i else ""))
+        for w, bare, before in seen:
             if w == "0 ":
                 yield (r["page_id"], "0", "o", None, before)
             elif _NUMERIC.fullmatch(w) and any(c.isdigit() for c in w):
-                right = w.translate(IN_NUMBERS)
-                if right != w and _NUMBER.fullmatch(right):
+                right = bare.translate(IN_NUMBERS)  # capitals and small letters look like different digits
+                if right != bare and _NUMBER.fullmatch(right):
                     yield (r["page_id"], w, right, None, before)
             elif len(w) > 1 and len(w) <= 64 and _SHAPES.search(w) and any(c.isalpha() for c in w):
                 yield (r["page_id"], w, None, w, before)
