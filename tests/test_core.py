@@ -309,3 +309,66 @@ def test_stream_upserts_by_source(spark, tmp_path):
 def test_stored_table_is_read_back(spark):
     df = stored(spark.range(10).select("id", F.array("id").alias("x")))
     assert df.count() == 10 and not df.filter("x is null").count()
+
+
+@given(st.lists(st.sampled_from(["Uma frase curta.", "Outra! ", "sem fim ", "\n", "x" * 70]), max_size=25), st.integers(30, 90), st.integers(0, 25))
+@settings(max_examples=80, deadline=None)
+def test_sentence_chunks_are_literal_and_bounded(parts, size, overlap):
+    from evidora.operators.expansion import sentence_chunks
+
+    t = "".join(parts)
+    chunks = sentence_chunks(t, size, overlap)
+    assert all(len(c) <= size and c in t for c in chunks)
+    at = 0
+    for c in chunks:
+        found = t.find(c)
+        assert found >= 0
+        at = max(at, found + len(c)) if t.find(c, max(0, at - size)) >= 0 else at
+    assert set("".join(t.split())) <= set("".join("".join(chunks).split()))
+
+
+def test_parents_stand_for_their_children(spark):
+    from evidora.operators.expansion import expand_parents
+
+    hits = spark.createDataFrame([(1, "a", 1, "p"), (1, "b", 2, "q"), (1, "c", 3, "p"), (1, "d", 4, None)], "query_id long, id string, position int, parent_id string")
+    parents = spark.createDataFrame([("p", "short"), ("q", "x" * 4000)], "parent_id string, text string")
+    assert [(r.id, r.position, r.children) for r in expand_parents(hits, parents, 100).orderBy("position").collect()] == [("p", 1, 2), ("b", 2, 1), ("d", 3, 1)]
+
+
+def test_context_links(spark):
+    from evidora.operators.expansion import context_links, table_captions
+
+    t = spark.createDataFrame([("t", "f", "1", "Tabela 3 – Produção de café", ["Nota: frete", "curta"])], "id string, source_file string, page string, title string, notes array<string>")
+    x = spark.createDataFrame([("a", "f", "1", "Ver a Tabela 3 – Produção de café."), ("b", "f", "1", "Como mostra a TABELA 3, houve alta. Nota: frete"), ("c", "f", "2", "Tabela 3 – Produção de café"), ("d", "f", "1", None)], "id string, source_file string, page string, text string")
+    assert {(r.label, r.target_id) for r in context_links(t, x).collect()} == {("TEM_TITULO", "a"), ("TEM_NOTA", "b"), ("DESCRITA_EM", "b")}
+    tables = spark.createDataFrame([("t", 1, 10.0, 100.0, 90.0, 200.0), ("u", 2, 0.0, 0.0, 1.0, 1.0)], "table_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    blocks = spark.createDataFrame([(1, 10.0, 60.0, 80.0, 70.0, "Tabela 1: longe"), (1, 10.0, 80.0, 80.0, 95.0, "Tabela 2: perto"), (1, 10.0, 205.0, 80.0, 210.0, "Fonte: x"), (1, 95.0, 205.0, 99.0, 210.0, "Nota: ao lado")], "page int, x0 double, y0 double, x1 double, y1 double, text string")
+    assert {(r.table_id, r.title, tuple(r.notes or ())) for r in table_captions(tables, blocks).collect()} == {("t", "Tabela 2: perto", ("Fonte: x",)), ("u", None, ())}
+
+
+def test_registry(spark):
+    from evidora.operators import registry
+
+    t = spark.createDataFrame([("Estado", "PARTE_DE", "Territorio"), ("Estado", "PARTE_DE", "Setor"), ("Indicador", "CAUSA", "Indicador"), ("Chunk", "CAUSA", "Chunk"), ("Comparacao", "APLICA_SE_A", "Municipio"), (None, "CAUSA", None)], "subject_type string, relation string, object_type string")
+    assert [r.valid for r in registry.valid_relations(t).orderBy("relation", "subject_type", "object_type").collect()] == [True, False, False, True, False, True]
+    a = one(spark, registry.relation_attributes(F.col("x")), x="O frete não caiu por causa do câmbio, segundo a projeção.")
+    assert tuple(a) == ("negated", "causal", "uncertain")
+    assert one(spark, registry.relation_attributes(F.col("x")), x="Não só o frete caiu.").polarity == "affirmed"
+    nodes = spark.createDataFrame([("n", "O emprego cresceu em 2020 no porto.")], "node_id string, text string")
+    reply = 'Claro: {"triples": [{"subject": {"name": "emprego", "type": "Indicador"}, "relation": "CRESCEU_EM", "object": {"name": "2020", "type": "Período"}, "evidence": "emprego cresceu em 2020"}, {"subject": {"name": "x"}, "relation": "R", "object": {"name": "y"}, "evidence": "inventada aqui"}, {"subject": {"name": "saldo"}, "relation": "R", "object": {"name": "2020"}, "evidence": "emprego cresceu em 2020"}]} fim'
+    got = registry.checked_triples(spark.createDataFrame([("n", reply), ("n", "nada"), ("n", None)], "node_id string, response string"), nodes)
+    assert sorted((r.position, r.rejected) for r in got.collect()) == [(0, None), (1, "evidence_not_literal"), (2, "names_not_in_evidence")]
+
+
+def test_narrative_observations(spark):
+    from evidora.operators.observations import narrative_observations
+
+    df = spark.createDataFrame([("n", "A taxa de desocupação foi de 8,2% em 2020. O porto cresceu 3. Nada."), ("m", None)], "node_id string, text string")
+    got = narrative_observations(df, "node_id", "text").collect()
+    assert [(r.id, r.claim_no, r.value, r.dims.indicator, r.dims.period, r.issues) for r in got] == [("n", 0, "8,2", ["desocupacao"], ["2020"], ["region"])]
+
+
+def test_communities_separate_cliques(spark):
+    edges = [(a, b, 5) for g in ("abc", "xyz") for a in g for b in g if a < b] + [("c", "x", 1)]
+    got = graph.communities(spark.createDataFrame(edges, "a string, b string, weight long"))
+    assert {r.id: r.community for r in got.collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x"}
