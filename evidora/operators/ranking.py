@@ -23,39 +23,39 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vector_col: str, per_block: int = 2000) -> DataFrame:
-    """(query_id, id, score, position): exact cosine of every query with every row, the k best.
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vector_col: str, query_block: int = 4096, corpus_block: int = 16_384) -> DataFrame:
+    """(query_id, id, score, position): exact cosine of every query with every other row, the k best; ties go to the smaller id.
 
-    The corpus is read in blocks that multiply with all queries as matrices; each block keeps its k best per query, so only
-    blocks x queries x k rows are shuffled.  The query set must fit an executor: it is a stated set, not the corpus.
+    A stated query set meets all rows in blocks: a task multiplies one block of queries with one block of rows and keeps its k
+    best per query, so its memory is bounded and only k rows per query and block leave it.  Vectors without direction take no part.
     """
     import numpy as np
     import pandas as pd
 
-    spark = corpus.sparkSession
-    asked = queries.select(F.col(id_col).cast("long"), unit_vector(F.col(vector_col)).alias("u")).where("u is not null").toPandas()
-    q = np.array(asked["u"].tolist()) if len(asked) else np.empty((0, 0))
-    shared = spark.sparkContext.broadcast((asked.iloc[:, 0].to_numpy(dtype=np.int64), q))
-
-    def best(frames):
-        ids_q, q = shared.value
-        for f in frames:
-            for i in range(0, len(f), per_block):
-                part = f.iloc[i : i + per_block]
-                if not len(ids_q) or not len(part):
-                    continue
-                m = np.array(part["u"].tolist())
-                ids = part["id"].to_numpy(dtype=np.int64)
-                s = np.round(q @ m.T, 9)
-                s[ids_q[:, None] == ids[None, :]] = -9
-                n = min(k, len(ids))
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]
-                r = np.arange(len(ids_q))[:, None]
-                out = pd.DataFrame({"query_id": np.repeat(ids_q, n), "id": ids[order].ravel(), "score": s[r, order].ravel()})
-                yield out[out.score > -9]
-
-    rows = corpus.select(F.col(id_col).cast("long").alias("id"), unit_vector(F.col(vector_col)).alias("u")).where("u is not null")
-    found = rows.mapInPandas(best, "query_id long, id long, score double")
+    unit = lambda df, name: df.select(F.col(id_col).cast("long").alias(name), unit_vector(F.col(vector_col)).alias("u")).where("u is not null")
+    asked, rows = unit(queries, "query_id"), unit(corpus, "id")
+    n_asked, n_rows = max(1, -(-asked.count() // query_block)), max(1, -(-rows.count() // corpus_block))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = asked.select("*", block("query_id", n_asked).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("cb"))
+    rows = rows.select("*", block("id", n_rows).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("qb"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        b = b.sort_values("id")
+        ids, ids_q = b["id"].to_numpy(dtype=np.int64), a["query_id"].to_numpy(dtype=np.int64)
+        m, q = np.array(b["u"].tolist()), np.array(a["u"].tolist())
+        out = []
+        for i in range(0, len(q), 512):
+            s = np.round(q[i : i + 512] @ m.T, 9)
+            s[ids_q[i : i + 512, None] == ids[None, :]] = -9
+            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            top = np.take_along_axis(s, order, axis=1)
+            out.append(pd.DataFrame({"query_id": np.repeat(ids_q[i : i + 512], order.shape[1]), "id": ids[order].ravel(), "score": top.ravel()}))
+        f = pd.concat(out)
+        return f[f.score > -9]
+
+    found = asked.groupBy("qb", "cb").cogroup(rows.groupBy("qb", "cb")).applyInPandas(best, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def admit(times: list[float], before: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:
@@ -22,16 +23,30 @@ def admit(times: list[float], before: list[float], limit: int, window: float) ->
 
 
 def rate_limited(events: DataFrame, limit: int, window: float, client: str = "user_id", ts: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """(client, id, admitted) over a finished table.  A client's requests are one group, in order of time."""
-    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    """(client, id, admitted) over a finished table.
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["s", id_col])
-        return pd.DataFrame({client: f[client], id_col: f[id_col], "admitted": admit(f["s"].tolist(), [], limit, window)[0]})
+    After a pause longer than the window nothing is remembered, so a client's requests are divided at such pauses and each run of
+    requests is judged on its own, in order of time.  Rows without client or time are left out.
+    """
+    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    w = Window.partitionBy(client).orderBy("s", id_col)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, []
+        for f in frames:
+            out = []
+            for key in zip(f[client], f["_run"], f["s"], strict=True):
+                if key[:2] != now:
+                    now, kept = key[:2], []
+                ok, kept = admit([key[2]], kept, limit, window)
+                out.extend(ok)
+            yield pd.DataFrame({client: f[client], id_col: f[id_col], "admitted": out})
 
     kinds = dict(events.dtypes)
     rows = events.select(client, id_col, seconds.alias("s")).where(F.col(client).isNotNull() & F.col("s").isNotNull())
-    return rows.groupBy(client).applyInPandas(run, f"{client} {kinds[client]}, {id_col} {kinds[id_col]}, admitted boolean")
+    rows = rows.withColumn("_new", (F.col("s") - F.lag("s").over(w) > window).cast("int")).withColumn("_run", F.coalesce(F.sum("_new").over(w), F.lit(0)))
+    ordered = rows.repartition(client, "_run").sortWithinPartitions(client, "_run", "s", id_col)
+    return ordered.mapInPandas(run, f"{client} {kinds[client]}, {id_col} {kinds[id_col]}, admitted boolean")
 
 
 def rate_limited_stream(stream: DataFrame, limit: int, window: float, client: str = "user_id", ts: str = "ts", id_col: str = "event_id") -> DataFrame:
