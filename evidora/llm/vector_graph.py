@@ -76,10 +76,12 @@ def _search(u: np.ndarray, graph: np.ndarray, seeds: np.ndarray, q: np.ndarray,
         near.sort(axis=1)
         bad = near < 0
         bad[:, 1:] |= near[:, 1:] == near[:, :-1]
-        near = np.where(bad, 0, near)
         bad |= seen[on[:, None], near]
-        seen[on[:, None], near] |= ~bad
-        s = np.where(bad, -8, np.matmul(u[near], q[on][:, :, None])[:, :, 0])
+        qr, at = np.nonzero(~bad)
+        node = near[qr, at]
+        seen[on[qr], node] = True
+        s = np.full(near.shape, -8, dtype=np.float32)
+        s[qr, at] = np.einsum("ij,ij->i", u[node], q[on[qr]])  # only nodes that are new to the query
         all_ids, all_sim = np.concatenate([ids[on], near], axis=1), np.concatenate([sim[on], s], axis=1)
         all_fresh = np.concatenate([fresh[on], ~bad], axis=1)
         k = min(beam, all_sim.shape[1])
@@ -99,7 +101,7 @@ def _pruned(u: np.ndarray, node: np.ndarray, cand: np.ndarray, sims: np.ndarray)
     between = 1 - np.matmul(v, v.transpose(0, 2, 1))
     own = 1 - sims
     alive = (cand >= 0) & (cand != node[:, None])
-    out = np.full((len(node), DEGREE), -1, dtype=np.int64)
+    out = np.full((len(node), DEGREE), -1, dtype=np.int32)
     r = np.arange(len(node))
     for k in range(DEGREE):
         first = alive.argmax(axis=1)
@@ -117,7 +119,7 @@ def build_graph(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(u)
     rng = np.random.default_rng(n)
     seeds = rng.permutation(n)[:SEEDS]
-    graph = rng.integers(0, n, (n, DEGREE)) if n > 1 else np.full((n, DEGREE), -1)
+    graph = rng.integers(0, n, (n, DEGREE), dtype=np.int32) if n > 1 else np.full((n, DEGREE), -1, dtype=np.int32)
     room = DEGREE * 2
     for beam in (BEAM, BEAM):
         found = [_search(u, graph, seeds, u[i : i + 512], beam) for i in range(0, n, 512)]
@@ -127,10 +129,11 @@ def build_graph(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keep = (dst >= 0) & (dst != src)
         src, dst, s = src[keep], dst[keep], s[keep]
         a, b, s = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([s, s])
-        edge, first = np.unique(a * n + b, return_index=True)
-        a, b, s = edge // n, edge % n, s[first]
-        order = np.lexsort((-s, a))
+        order = np.argsort(a * 4.0 - s)  # by node, the nearest first
         a, b, s = a[order], b[order], s[order]
+        keep = np.ones(len(a), dtype=bool)
+        keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])  # found from both ends
+        a, b, s = a[keep], b[keep], s[keep]
         start = np.searchsorted(a, np.arange(n))
         rank = np.arange(len(a)) - start[a]
         keep = rank < room
