@@ -101,8 +101,29 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_text, p4_found, p6_found, p7_found, p7_pieces, p8_containers, p9_found, p10_found, p10_rates)}
+def _folded(column: str) -> str:
+    """Folded words of a column in SQL: one-to-one decompositions as a table, vulgar fractions spelled out."""
+    from evidora.functions.text import _letters
+
+    a, b = (x.replace("'", "''") for x in _letters("NFKD"))
+    text = column
+    for sign, spelled in (("½", "1 2"), ("¼", "1 4"), ("¾", "3 4")):
+        text = f"replace({text}, '{sign}', '{spelled}')"
+    return f"regexp_extract_all(translate(lower({text}), '{a}', '{b}'), '[a-z0-9]+')"
+
+
+_WINDOWS = "SELECT {id}, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) AS s FROM ({rows}) WHERE len(w) >= {n}"
+_DOC_WORDS = f"SELECT doc_id, {_folded('text')} AS w FROM documents WHERE text IS NOT NULL"
+_ITEM_WORDS = " UNION ALL ".join(f"SELECT item_id, {_folded(c)} AS w FROM test_items WHERE {c} IS NOT NULL" for c in ("pergunta", "resposta_esperada", "trecho"))
 SQL: dict[str, str] = {
     "p7_found": """
         SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: length(x))) > lim THEN 'forced' ELSE 'natural' END AS cut
         FROM pages, (SELECT amount AS lim FROM limits WHERE name = 'piece_chars') WHERE length(text) > lim""",
+    "p4_found": f"""
+        WITH s AS (SELECT DISTINCT * FROM ({_WINDOWS.format(id='doc_id', n=3, rows=_DOC_WORDS)})), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        j AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)
+        SELECT doc_a, doc_b FROM j JOIN z x ON x.doc_id = doc_a JOIN z y ON y.doc_id = doc_b, (SELECT amount FROM limits WHERE name = 'near_dup_percent')
+        WHERE j.n * 100 >= amount * (x.n + y.n - j.n)""",
+    "p9_found": f"""
+        SELECT DISTINCT d.doc_id, i.item_id FROM ({_WINDOWS.format(id='doc_id', n=10, rows=_DOC_WORDS)}) d JOIN ({_WINDOWS.format(id='item_id', n=10, rows=_ITEM_WORDS)}) i ON d.s = i.s""",
 }
