@@ -51,6 +51,23 @@ _PARSED = f"""
                        WHEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_strptime(v, '%Y-%m-%d') IS NULL ELSE true END
                   ELSE false END)"""
 
+#: (unit, names as a pattern) on text whose brackets and commas are blanks; the order matters where names contain others.
+_UNITS = (
+    ("saca_60kg", "sacas de 60 kg|sacas 60 kg"), ("por_mil", "‰|por mil"), ("percentual", "%|por cento|percentual"), ("fracao", "fração da unidade"), ("ponto_base", "pontos-base"), ("dolar", "us\\$|dólares"), ("real", "r\\$|reais"),
+    ("quilograma", "kg|quilogramas"), ("tonelada", "t|toneladas"), ("arroba", "@|arrobas"), ("quilometro_quadrado", "km²|km2|quilômetros quadrados"), ("metro_quadrado", "m²|m2|metros quadrados"), ("hectare", "ha|hectares"),
+    ("alqueire_paulista", "alqueires paulistas"), ("quilowatt_hora", "kwh"), ("megawatt_hora", "mwh"), ("gigawatt_hora", "gwh|gigawatts-hora"), ("hectolitro", "hl|hectolitros"), ("litro", "l|litros"), ("metro_cubico", "m³|m3|metros cúbicos"), ("pessoa", "pessoas"),
+)
+
+
+def _unit_sql(text: str, name: str) -> str:
+    """Unit and scale of a phrase in SQL, name by name: an independent reading of what the alias dictionary finds."""
+    flat = f"(' ' || regexp_replace(regexp_replace(lower({text}), 'com mais de [0-9]+ mil habitantes', '', 'g'), 'unidade:|[\\s(),;:]+', ' ', 'g') || ' ')"
+    unit = "CASE " + " ".join(f"WHEN regexp_matches({flat}, ' ({p}) ') THEN '{u}'" for u, p in _UNITS) + " END"
+    scale = f"""CASE WHEN regexp_matches({flat}, ' (por mil|‰) ') THEN 1 WHEN regexp_matches({flat}, ' (mil|milhares|1.000) ') THEN 1000 WHEN regexp_matches({flat}, ' (milhões|mi|1.000.000) ') THEN 1000000
+        WHEN regexp_matches({flat}, ' (bilhões|bi) ') THEN 1000000000 ELSE 1 END"""
+    return f"{unit} AS {name}_unit, {scale} AS {name}_scale"
+
+
 QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_typed)}
 SQL = {
     "p5_found": f"""{_PARSED}
@@ -65,4 +82,13 @@ SQL = {
            CAST(TRY_CAST(replace(replace(e, '.', ''), ',', '.') AS DECIMAL(38,6)) AS DOUBLE) AS valor,
            CAST(coalesce(try_strptime(f, '%d/%m/%Y'), try_strptime(f, '%Y-%m-%d')) AS DATE) AS publicado_em
     FROM g""",
+    "p3_found": f"""
+    WITH n AS (SELECT DISTINCT node_id, trim(list_last(metadata.cells)) AS cell, regexp_replace(coalesce(metadata.table_descricao, ''), '^Tabela de \\S+ com ', '') AS d,
+                      from_json(metadata.ontology_facets, '{{"unit":["VARCHAR"],"scale":["VARCHAR"]}}') AS f FROM nodes WHERE chunk_strategy = 'row_per_chunk'),
+    v AS (SELECT *, regexp_extract(cell, '-?[0-9][0-9. \\x{{a0}}]*(?:,[0-9]+)?(?:E[+-]?[0-9]+)?') AS x FROM n),
+    u AS (SELECT node_id, TRY_CAST(replace(replace(replace(replace(x, '.', ''), ' ', ''), chr(160), ''), ',', '.') AS DOUBLE) AS value, {_unit_sql("replace(cell, x, ' ')", "c")}, {_unit_sql("d", "t")},
+                 f.unit[1] AS f_unit, CASE f.scale[1] WHEN 'mil' THEN 1000 WHEN 'milhao' THEN 1000000 WHEN 'bilhao' THEN 1000000000 ELSE 1 END AS f_scale FROM v WHERE x <> ''),
+    s AS (SELECT node_id, value, coalesce(c_unit, t_unit, f_unit) AS unit, CASE WHEN c_unit IS NOT NULL THEN c_scale WHEN t_unit IS NOT NULL THEN t_scale ELSE f_scale END AS scale FROM u)
+    SELECT DISTINCT node_id, common_unit, CAST(round(value * scale * factor) AS BIGINT) AS common_value FROM s JOIN unit_registry r ON r.unit_id = s.unit
+    WHERE factor IS NOT NULL AND (scale <> 1 OR s.unit <> common_unit)""",
 }
