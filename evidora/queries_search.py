@@ -255,6 +255,8 @@ _STRUCT = """all_edges AS (SELECT node_id AS source_id, 'CONTIDA_EM' AS label, c
     SELECT DISTINCT concat_ws('::', source_file, page), 'PERTENCE_A_DOC', source_file FROM once UNION ALL SELECT source_id, 'NEXT_CHUNK', target_id FROM nxt)"""
 _MENT = f"""{_ONCE}, f AS (SELECT node_id, {_DIMS} AS f FROM once), m AS (SELECT DISTINCT * FROM ({' UNION ALL '.join(f"SELECT node_id AS id, '{x}:' || unnest(f.{x}) AS entity FROM f" for x in _MENTIONS)}))"""
 
+_RARE = "list_distinct(list_filter(regexp_extract_all(strip_accents(lower({c})), '[0-9]+(?:[.,/-][0-9]+)*[a-z]?|[a-z]{{3,}}'), lambda x: x NOT IN (" + _STOP + ")))"
+
 SQL = {
     "cosine_search": f"WITH {_COS} SELECT query_id, id, round(score, 6) AS score, position FROM dense WHERE position <= 10",
     "rrf_fusion": f"WITH {_FUSED} SELECT query_id, id, round(score, 6) AS score, lists FROM fused",
@@ -322,4 +324,15 @@ SQL = {
         n AS (SELECT source_file, TRY_CAST(page AS INTEGER) AS page, text FROM once)
         SELECT question, count(*) AS gold, sum(CASE WHEN CASE WHEN page IS NOT NULL THEN EXISTS (SELECT 1 FROM n WHERE n.source_file = g.file AND n.page = g.page)
             ELSE passage IS NOT NULL AND EXISTS (SELECT 1 FROM n WHERE n.source_file = g.file AND n.page IS NOT NULL AND contains(n.text, g.passage)) END THEN 1 ELSE 0 END) AS covered FROM g GROUP BY 1""",
+    "structured_lookup": f"""WITH {_ONCE}, r AS (SELECT node_id AS id, source_file, metadata.cells AS cells, metadata.cells[2] AS code, metadata.cells[1] AS name FROM once WHERE chunk_strategy = 'row_per_chunk'),
+        rt AS (SELECT DISTINCT id, source_file, unnest({_RARE.format(c="array_to_string(cells, ' ')")}) AS term FROM r), q AS (SELECT item_id AS query_id, pergunta AS question, {_RARE.format(c='pergunta')} AS t FROM test_items),
+        a AS (SELECT DISTINCT query_id, unnest(t) AS term FROM q), us AS (SELECT term FROM rt GROUP BY 1 HAVING count(*) <= greatest(100, CAST(floor(0.05 * (SELECT count(*) FROM r)) AS BIGINT))),
+        m AS (SELECT query_id, id, source_file, count(*) AS terms FROM rt JOIN us USING (term) JOIN a USING (term) GROUP BY ALL),
+        s AS (SELECT m.query_id, m.id, m.source_file, terms + CASE WHEN length(code) >= 4 AND contains(question, code) THEN 100 ELSE 0 END + CASE WHEN length(name) >= 4 AND contains(strip_accents(lower(question)), strip_accents(lower(name))) THEN 40 ELSE 0 END AS score
+              FROM m JOIN r ON r.id = m.id JOIN q ON q.query_id = m.query_id),
+        f AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_file ORDER BY score DESC, id) AS n FROM s), p AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM f WHERE n <= 3)
+        SELECT * FROM p WHERE position <= 8""",
+    "covered_first": f"""WITH {_FUSED}, w AS (SELECT query_id, id, position, CAST(table_key AS VARCHAR) AS source, CASE WHEN id % 5 IN (1, 3, 4) THEN row_number() OVER (PARTITION BY query_id, CASE WHEN id % 5 IN (1, 3, 4) THEN id % 5 ELSE -1 END ORDER BY position) END AS n FROM fused),
+        c AS (SELECT *, n = 1 AS chosen FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY coalesce(chosen, false) DESC, position) AS k FROM c),
+        o AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN chosen THEN 0 WHEN k <= 3 THEN 1 ELSE 2 END, position) AS place FROM r) SELECT * FROM o WHERE place <= 12""",
 }
