@@ -372,3 +372,21 @@ def test_communities_separate_cliques(spark):
     edges = [(a, b, 5) for g in ("abc", "xyz") for a in g for b in g if a < b] + [("c", "x", 1)]
     got = graph.communities(spark.createDataFrame(edges, "a string, b string, weight long"))
     assert {r.id: r.community for r in got.collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x"}
+
+
+def test_selection(spark):
+    from evidora.operators import selection
+
+    units_ = spark.createDataFrame([(1, "a", 1, 50, ["x"]), (1, "b", 2, 60, []), (1, "c", 3, 40, ["y", "x"]), (1, "d", 4, 500, ["y"]), (1, "e", 5, 10, None)], "query_id long, id string, position int, size long, carried array<string>")
+    wanted = spark.createDataFrame([(1, ["x", "y"])], "query_id long, wanted array<string>")
+    assert [(r.id, r.size) for r in selection.pack_context(units_, wanted, 110).orderBy("place").collect()] == [("c", 40), ("a", 50), ("e", 10)]
+    blocks = spark.createDataFrame([("g", i, n) for i, n in enumerate([4, 5, 3, 20, 1, 1])] + [("h", 0, 9)], "g string, i int, n long")
+    assert [(r.g, r.i, r.batch) for r in selection.batches(blocks, "g", ["i"], "n", 10).orderBy("g", "i").collect()] == [("g", 0, 1), ("g", 1, 1), ("g", 2, 2), ("g", 3, 3), ("g", 4, 4), ("g", 5, 4), ("h", 0, 1)]
+
+
+def test_cosine_blocks_agree_with_one_block(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(120)] + [(500, [0.0] * 8), (501, None)], "id long, v array<double>")
+    q = df.where("id % 10 = 0")
+    one_block = rows(ranking.cosine_topk(q, df, 4, "id", "v"))
+    assert one_block == rows(ranking.cosine_topk(q, df, 4, "id", "v", query_block=5, corpus_block=17)) and len(one_block) == 48
