@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidora.llm.folding import folded_words, mix, shingles
+from evidora.operators.graph import components
 from evidora.scratch import stored
 
 COORDINATES, ROWS = 48, 4
@@ -153,3 +154,18 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     copies = members.join(several, "cls", "left_semi")
     within = copies.alias("l").join(copies.alias("r"), "cls").where("l.doc < r.doc").select(F.col("l.doc").alias("doc_a"), F.col("r.doc").alias("doc_b"))
     return between.union(within)
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 60, words: int = 3) -> DataFrame:
+    """(id, class_id, group_id, links): one row per document with shingles.
+
+    class_id is the least id among its exact copies, links the number of other classes it is linked to, group_id the least id
+    of its connected component.  Nothing is expanded to pairs of documents.
+    """
+    members, pairs = near_duplicate_classes(docs, id_col, text_col, percent, words)
+    linked = components(pairs, "cls_a", "cls_b").select(F.col("id").alias("cls"), "component")
+    links = pairs.select(F.col("cls_a").alias("cls")).union(pairs.select("cls_b")).groupBy("cls").agg(F.count("*").alias("links"))
+    least = members.groupBy("cls").agg(F.min("doc").alias("class_id"))
+    named = least.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls")).join(links, "cls", "left")
+    groups = named.groupBy("component").agg(F.min("class_id").alias("group_id"))
+    return members.join(named.join(groups, "component"), "cls").select(F.col("doc").alias(id_col), "class_id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))

@@ -55,6 +55,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, sf_dir, "documents"), percent=limit(spark, sf_dir, "near_dup_percent"))
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidora.llm.near_duplicates import near_duplicate_groups
+
+    return near_duplicate_groups(table(spark, sf_dir, "documents"), percent=limit(spark, sf_dir, "near_dup_percent"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidora.llm.vector_graph import neighbour_pairs
 
@@ -100,7 +106,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_rates(table(spark, sf_dir, "documents"), F.col("source"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_text, p4_found, p6_found, p7_found, p7_pieces, p8_containers, p9_found, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_text, p4_found, p4_groups, p6_found, p7_found, p7_pieces, p8_containers, p9_found, p10_found, p10_rates)}
 def _folded(column: str) -> str:
     """Folded words of a column in SQL: one-to-one decompositions as a table, vulgar fractions spelled out."""
     from evidora.functions.text import _letters
@@ -124,6 +130,13 @@ SQL: dict[str, str] = {
         j AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)
         SELECT doc_a, doc_b FROM j JOIN z x ON x.doc_id = doc_a JOIN z y ON y.doc_id = doc_b, (SELECT amount FROM limits WHERE name = 'near_dup_percent')
         WHERE j.n * 100 >= amount * (x.n + y.n - j.n)""",
+    "p4_groups": f"""
+        WITH RECURSIVE s AS (SELECT DISTINCT * FROM ({_WINDOWS.format(id='doc_id', n=3, rows=_DOC_WORDS)})), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        w AS (SELECT doc_id, array_to_string(w, ' ') AS t FROM ({_DOC_WORDS}) WHERE len(w) >= 3), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS class_id FROM w),
+        j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id WHERE a.doc_id IN (SELECT class_id FROM c) AND b.doc_id IN (SELECT class_id FROM c) GROUP BY 1, 2),
+        p AS (SELECT a, b FROM j JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b, (SELECT amount FROM limits WHERE name = 'near_dup_percent') WHERE j.n * 100 >= amount * (x.n + y.n - j.n)),
+        r AS (SELECT class_id AS id, class_id AS m FROM c UNION SELECT p.b, r.m FROM r JOIN p ON p.a = r.id AND p.b > r.m), g AS (SELECT id, min(m) AS group_id FROM r GROUP BY 1), k AS (SELECT a, count(*) AS links FROM p GROUP BY 1)
+        SELECT c.doc_id, class_id, group_id, coalesce(links, 0) AS links FROM c JOIN g ON g.id = class_id LEFT JOIN k ON k.a = class_id""",
     "p9_found": f"""
         SELECT DISTINCT d.doc_id, i.item_id FROM ({_WINDOWS.format(id='doc_id', n=10, rows=_DOC_WORDS)}) d JOIN ({_WINDOWS.format(id='item_id', n=10, rows=_ITEM_WORDS)}) i ON d.s = i.s""",
 }

@@ -61,6 +61,11 @@ def test_near_duplicates_match_brute_force(spark):
     got = rows(near_duplicates.near_duplicate_pairs(df, percent=60, words=3))
     want = jaccard_pairs([(i, t) for i, t in docs if i != 505], 3, 60)
     assert got == want
+    groups = near_duplicates.near_duplicate_groups(df, percent=60, words=3).toPandas().set_index("doc_id")
+    assert set(groups.index) == {i for i, t in docs if len(words(t)) >= 3}
+    for a, b in want:
+        assert groups.group_id[a] == groups.group_id[b]
+    assert groups.class_id[500] == groups.class_id[501] == groups.class_id[0] and all(g <= i for i, g in groups.group_id.items())
     assert not rows(near_duplicates.near_duplicate_pairs(df.limit(0)))
 
 
