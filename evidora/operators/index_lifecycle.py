@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def latest_rows(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """One row per key, the one with the greatest order; map-side combined."""
     rest = [c for c in df.columns if c not in key]
-    top = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.to_json(F.struct(*rest)))).alias("_x"))
+    top = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*rest))).alias("_x"))
     return top.select(*key, *(F.col("_x")[c].alias(c) for c in rest)).select(df.columns)
 
 
