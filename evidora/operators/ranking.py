@@ -32,7 +32,9 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vect
     import numpy as np
     import pandas as pd
 
-    unit = lambda df, name: df.select(F.col(id_col).cast("long").alias(name), unit_vector(F.col(vector_col)).alias("u")).where("u is not null")
+    unit = lambda df, name: df.select(F.col(id_col).cast(kind).alias(name), unit_vector(F.col(vector_col)).alias("u")).where("u is not null")
+    kind = dict(corpus.dtypes)[id_col]
+    kind = "bigint" if kind in ("int", "bigint", "smallint", "tinyint") else kind
     asked, rows = unit(queries, "query_id"), unit(corpus, "id")
     n_asked, n_rows = max(1, -(-asked.count() // query_block)), max(1, -(-rows.count() // corpus_block))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -43,7 +45,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vect
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         b = b.sort_values("id")
-        ids, ids_q = b["id"].to_numpy(dtype=np.int64), a["query_id"].to_numpy(dtype=np.int64)
+        ids, ids_q = b["id"].to_numpy(), a["query_id"].to_numpy()
         m, q = np.array(b["u"].tolist()), np.array(a["u"].tolist())
         out = []
         for i in range(0, len(q), 512):
@@ -55,7 +57,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vect
         f = pd.concat(out)
         return f[f.score > -9]
 
-    found = asked.groupBy("qb", "cb").cogroup(rows.groupBy("qb", "cb")).applyInPandas(best, "query_id long, id long, score double")
+    found = asked.groupBy("qb", "cb").cogroup(rows.groupBy("qb", "cb")).applyInPandas(best, f"query_id {kind}, id {kind}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
