@@ -5,6 +5,8 @@ Every operator works on many queries at once; ties are broken by position or id.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,24 +64,57 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str, vect
     return found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, tokens_col: str, k: int) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, tokens_col: str, k: int, query_block: int = 2048, doc_block: int = 16_384) -> DataFrame:
     """(query_id, id, score, position) of the k best documents by Okapi BM25.
 
     queries has (query_id, tokens), docs (id, tokens).  A query term counts as often as it occurs.  Terms in more than half of
-    the documents would weigh negatively: they weigh EPSILON of the mean weight.
+    the documents would weigh negatively: they weigh EPSILON of the mean weight.  Frequencies come from map-side combined
+    counts; then blocks of weighted queries meet blocks of documents, each keeping its k best per query, so that common terms
+    emit no rows.
     """
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens_col)).alias("mean_size"))
-    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    postings = docs.select("id", F.size(tokens_col).alias("size"), F.explode(tokens_col).alias("term")).groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
-    raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    import numpy as np
+    import pandas as pd
+
+    docs = docs.select("id", F.col(tokens_col).alias("tokens")).where("tokens is not null")
+    stats = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.size("tokens")), F.lit(1.0)).alias("mean_size")).first()
+    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.select("term", (F.log(stats["n_docs"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "mean_size", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    hits = postings.join(asked, "term").join(idf, "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).join(idf, "term")
+    n_q, n_d = max(1, -(-queries.count() // query_block)), max(1, -(-stats["n_docs"] // doc_block))
+    mean_size = float(stats["mean_size"]) or 1.0
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = asked.select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"), block("query_id", n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).alias("db"))
+    rows = docs.select("id", "tokens", block("id", n_d).alias("db"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": [], "id": [], "score": []})
+        if not len(a) or not len(b):
+            return empty
+        names, at = np.unique(a["query_id"].to_numpy(), return_inverse=True)
+        index = {t: (g["at"].to_numpy(), g["weight"].to_numpy()) for t, g in a.assign(at=at).groupby("term")}
+        b = b.sort_values("id")
+        ids = b["id"].to_numpy()
+        best: list[pd.DataFrame] = []
+        for i in range(0, len(b), 512):
+            m = np.zeros((min(512, len(b) - i), len(names)))
+            for j, tokens in enumerate(b["tokens"].iloc[i : i + 512]):
+                long = K1 * (1 - B + B * len(tokens) / mean_size)
+                for t, tf in Counter(tokens).items():
+                    if (hit := index.get(t)) is not None:
+                        m[j, hit[0]] += hit[1] * (tf * (K1 + 1) / (tf + long))
+            m = np.round(m, 6)
+            order = np.argsort(-m, axis=0, kind="stable")[:k]
+            top = np.take_along_axis(m, order, axis=0)
+            doc, q = np.nonzero(top > 0)
+            best.append(pd.DataFrame({"query_id": names[q], "id": ids[i + order[doc, q]], "score": top[doc, q]}))
+        return pd.concat(best).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+    kinds = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["id"]
+    found = asked.groupBy("qb", "db").cogroup(rows.groupBy("qb", "db")).applyInPandas(score, f"query_id {kinds[0]}, id {kinds[1]}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+    return found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:

@@ -390,3 +390,44 @@ def test_cosine_blocks_agree_with_one_block(spark):
     q = df.where("id % 10 = 0")
     one_block = rows(ranking.cosine_topk(q, df, 4, "id", "v"))
     assert one_block == rows(ranking.cosine_topk(q, df, 4, "id", "v", query_block=5, corpus_block=17)) and len(one_block) == 48
+
+
+def test_bm25_matches_the_formula(spark):
+    from math import log
+
+    docs = {1: ["a", "b", "a"], 2: ["b", "c"], 3: ["c", "d", "d", "d"], 4: [], 5: ["b"]}
+    asked = {10: ["a", "d", "d"], 11: ["b"], 12: ["zz"], 13: []}
+    mean = sum(map(len, docs.values())) / len(docs)
+    df = Counter(t for d in docs.values() for t in set(d))
+    raw = {t: log(len(docs) - n + 0.5) - log(n + 0.5) for t, n in df.items()}
+    idf = {t: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, x in raw.items()}
+    want = {}
+    for q, terms in asked.items():
+        for i, d in docs.items():
+            s = sum(idf[t] * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for t in terms if t in d)
+            if round(s, 6) > 0:
+                want[q, i] = round(s, 6)
+    d = spark.createDataFrame(list(docs.items()) + [(6, None)], "id long, tokens array<string>")
+    q = spark.createDataFrame(list(asked.items()), "query_id long, tokens array<string>")
+    for blocks in ({}, {"query_block": 1, "doc_block": 2}):
+        assert {(r.query_id, r.id): r.score for r in ranking.bm25(q, d, "tokens", 9, **blocks).collect()} == pytest.approx(want)
+    assert ranking.bm25(q, d.limit(0), "tokens", 9).count() == 0
+
+
+def test_plans(spark):
+    from evidora.plans import indexing, retrieval
+
+    chunks = spark.createDataFrame([("a", "safra de café", "t"), ("b", "safra de cana", "t"), ("c", "café do porto", "t"), ("d", "frete", None)], "id string, text string, table_key string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0]), ("d", [0.5, 0.5])], "id string, vector array<double>")
+    q = chunks.join(vectors, "id").where("id = 'a'").select(F.col("id").alias("query_id"), "text", "vector")
+    p = retrieval.Profile(per_table=1)
+    got = retrieval.initial_ranking(q, chunks, vectors, p)
+    assert [r.id for r in got.orderBy("position").collect()] == ["b", "d"]
+    assert retrieval.packed_contexts(got, chunks, p).first().context == "safra de cana\n\nfrete"
+    pages = spark.createDataFrame([("f.pdf", 1, "1 Produção\n\nA safra cresceu. " * 80), ("f.pdf", 1, "curto"), ("g.pdf", 1, "Outro texto."), ("g.pdf", 2, None)], "source_file string, page int, text string")
+    index = indexing.text_index(pages)
+    one_ = {(r.source_file, r.page): r for r in index.where("ordinal = 1").collect()}
+    assert one_["f.pdf", 1].section == "1 Produção" and one_["f.pdf", 1].on_page > 1 and set(one_) == {("f.pdf", 1), ("g.pdf", 1)}
+    snap = lambda *x: spark.createDataFrame(list(x), "path string, sha256 string")
+    new = indexing.updated_index(index, snap(("f.pdf", "1"), ("g.pdf", "1")), snap(("g.pdf", "2")), pages.where("source_file = 'g.pdf'").withColumn("text", F.concat("text", F.lit(" Novo."))))
+    assert [(r.source_file, r.text) for r in new.collect()] == [("g.pdf", "Outro texto. Novo.")]
