@@ -301,4 +301,15 @@ SQL = {
             OR (length(regexp_replace(x, '[^\\pL]', '', 'g')) > 0 AND length(regexp_replace(x, '[^\\p{Lu}]', '', 'g')) > 0.6 * length(regexp_replace(x, '[^\\pL]', '', 'g')))
             OR (length(x) <= 60 AND regexp_matches(strip_accents(lower(x)), '^(introducao|conclusao|consideracoes|metodologia|resultados|anexo|nota|sumario)'))))[1] AS found FROM l)
         SELECT * FROM f WHERE found IS NOT NULL""",
+    "periods_found": f"""WITH {_ONCE}, a AS (SELECT node_id, strip_accents(lower(text)) AS t0 FROM once WHERE type = 'text'),
+        b AS (SELECT *, regexp_replace(t0, '{pe.DAY_ISO}', ' # ', 'g') AS t1 FROM a), c AS (SELECT *, regexp_replace(t1, '{pe.DAY}', ' # ', 'g') AS t2 FROM b), d AS (SELECT *, regexp_replace(t2, '{pe.MONTH_ISO}', ' # ', 'g') AS t3 FROM c),
+        e AS (SELECT *, regexp_replace(t3, '{pe.MONTH}', ' # ', 'g') AS t4 FROM d), f AS (SELECT *, regexp_replace(t4, '{pe.QUARTER}', ' # ', 'g') AS t5 FROM e), g AS (SELECT *, regexp_replace(t5, '{pe.NAMED}', ' # ', 'g') AS t6 FROM f)
+        SELECT node_id, array_to_string(list_sort(list_distinct(list_filter(list_concat(
+            list_transform(regexp_extract_all(t0, '{pe.DAY_ISO}'), lambda x: strftime(try_strptime(x, '%Y-%m-%d'), '%Y-%m-%d')),
+            list_transform(regexp_extract_all(t1, '{pe.DAY}'), lambda x: strftime(try_strptime(replace(x, '-', '/'), '%d/%m/%Y'), '%Y-%m-%d')),
+            regexp_extract_all(t2, '{pe.MONTH_ISO}'),
+            list_transform(regexp_extract_all(t3, '{pe.MONTH}'), lambda x: regexp_extract(x, '{pe.MONTH}', 2) || '-' || lpad(regexp_extract(x, '{pe.MONTH}', 1), 2, '0')),
+            list_transform(regexp_extract_all(t4, '{pe.QUARTER}'), lambda x: regexp_extract(x, '{pe.QUARTER}', 2) || '-Q' || x[1]),
+            list_transform(regexp_extract_all(t5, '{pe.NAMED}'), lambda x: regexp_extract(x, '{pe.NAMED}', 2) || '-' || lpad(CAST(list_position([{', '.join(f"'{m[:3]}'" for m in pe.MONTHS)}], x[:3]) AS VARCHAR), 2, '0')),
+            regexp_extract_all(t6, '{pe.YEAR}')), lambda x: x IS NOT NULL))), ',') AS periods FROM g""",
 }
