@@ -55,7 +55,8 @@ def header_key(line: str) -> str:
     low = re.sub(r"^[-–\[(]?\s*\d{1,4}\s*[-–\])|]?\s{0,5}(?=\D)|\s{1,9}[-–|\[(]?\s*\d{1,4}\s*[-–\])]?$", "", low) if not re.search(r"cap[ií1l]tu[l1i]o \S+$", low) else re.sub(r"^\d{1,4}\s+", "", low)
     for read, printed in (("0", "o"), ("1", "i"), ("l", "i"), ("rn", "m"), ("ii", "u"), ("ci", "d"), ("c", "e"), ("6", "b"), ("9", "g"), ("5", "s"), ("8", "b")):
         low = low.replace(read, printed)
-    return low.strip() if 3 <= len(low.strip()) <= 120 and not line.rstrip().endswith((".", ",", ";")) else ""
+    prose = re.search(r"[.;!?,]\s|[.,;]$|%", line.strip()) or line.rstrip()[-1:] in DIVIDERS
+    return low.strip() if 3 <= len(low.strip()) <= 120 and not prose else ""
 
 
 def _rows(run, schema: list[tuple[str, pa.DataType]]):
@@ -93,15 +94,15 @@ def page_furniture(pages: DataFrame) -> DataFrame:
     first = edges.where("place in ('first', 'none')")
     files = first.groupBy("file").agg(F.sum("divided").alias("divided"), F.avg(F.coalesce(F.col("ocr").cast("int"), F.lit(0))).alias("ocr"))
     headers = edges.where("place in ('first', 'second') and key <> ''").groupBy("file", "key").agg(F.countDistinct("page").alias("times"))
-    start = lambda c: F.substring_index(c, " ", 1)
-    # words that begin (or close) recurring headers of several files tell a header that stands on one page only
-    common = headers.where("times >= 2").select(F.explode(F.array(start(F.col("key")), F.regexp_replace("key", r"^.*(?= – )", ""))).alias("mark"), "file").groupBy(F.regexp_replace("mark", r"\d+$|\s\S$", "").alias("mark")).agg(F.countDistinct("file").alias("files")).where("files >= 3 and length(mark) > 2")
+    # what closes recurring headers of several files after a dash, or begins those without one, tells a header of one page only
+    dash = F.contains("key", F.lit(" – "))
+    mark = F.when(dash, F.concat(F.lit("– "), F.regexp_replace(F.substring_index("key", " – ", -1), r"\s?\S*\d\S*$|\s\S$", ""))).otherwise(F.substring_index("key", " ", 1))
+    common = headers.where("times >= 2").select(mark.alias("mark"), "file").groupBy("mark").agg(F.countDistinct("file").alias("files")).where("files >= 3 and length(mark) > 2").select("mark", F.lit(True).alias("known"))
     numbers = edges.where("style is not null").groupBy("file", "style", (F.col("printed") - F.col("page")).alias("offset")).agg(F.countDistinct("page").alias("times"))
     styles = numbers.groupBy("file", "style").agg(F.max_by("offset", F.struct("times", -F.abs("offset"))).alias("offset"), F.max("times").alias("times"))
     judged = edges.join(files.withColumnRenamed("divided", "all_divided").withColumnRenamed("ocr", "ocr_share"), "file").join(headers, ["file", "key"], "left").join(styles.withColumnRenamed("times", "runs"), ["file", "style"], "left")
-    for side, expr in (("a", start(F.col("key"))), ("b", F.regexp_replace(F.regexp_replace("key", r"^.*(?= – )", ""), r"\d+$|\s\S$", ""))):
-        judged = judged.withColumn(f"mark_{side}", expr).join(common.select(F.col("mark").alias(f"mark_{side}"), F.lit(True).alias(f"known_{side}")), f"mark_{side}", "left")
-    recurring = (F.col("key") != "") & ((F.col("times") >= 2) | (F.col("known_a") & F.col("known_b").isNotNull()) | F.col("known_a").isNotNull())
+    judged = judged.withColumn("mark", mark).join(common, "mark", "left")
+    recurring = (F.col("key") != "") & ((F.col("times") >= 2) | F.col("known").isNotNull())
     runs = (F.col("printed") - F.col("page") == F.col("offset")) & ((F.col("runs") >= 2) | (F.col("offset") == 0) | ~F.col("printed").between(1900, 2099))
     numbered = F.col("style").isNotNull() & F.when(F.col("style") == "plain", runs & (F.col("place") != "second")).otherwise(True)
     judged = judged.withColumn("is_header", recurring).withColumn("is_number", numbered)
