@@ -118,13 +118,28 @@ def text_endings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return open_ends, last.join(inside, "key", "left").fillna(0)
 
 
+def _trimmed(docs: DataFrame) -> DataFrame:
+    """(doc, text) without the mark at the end; only texts whose last five characters end with one are searched for it."""
+    text = F.when(F.right("text", F.lit(5)).rlike(MARK), F.regexp_replace("text", MARK, "")).otherwise(F.col("text"))
+    return docs.where("text <> ''").select("doc", text.alias("text"))
+
+
+def with_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc) of all texts that, without a mark at their end, equal one of those found.
+
+    Texts are compared by their SHA-256, so that a group of copies, however large, moves 40 bytes a member.
+    """
+    same = stored(_trimmed(docs).select("doc", F.unhex(F.sha2("text", 256)).alias("same")), "same")
+    wanted = same.join(found.select("doc"), "doc", "left_semi").select("same").distinct()
+    return same.join(wanted, "same", "left_semi").select("doc")
+
+
 def prefixes_of_longer(docs: DataFrame) -> DataFrame:
     """(doc, longer, goes_on) of each text that, without a mark at its end, is a strict prefix of another text.
 
     goes_on: the longer text continues within a word or number.  Of equal texts the smallest id stands for the others.
     """
-    trimmed = docs.select("doc", F.regexp_replace("text", MARK, "").alias("text")).where("text <> ''")
-    distinct = trimmed.groupBy("text").agg(F.min("doc").alias("doc"))
+    distinct = _trimmed(docs).groupBy("text").agg(F.min("doc").alias("doc"))
     ordered = distinct.repartitionByRange(F.col("text")).sortWithinPartitions("text")
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +188,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     often = (F.col("n") >= REPEATS) & (F.col("n") >= F.col("all") * SHARE)
     whole = repeats.join(kinds, "kind", "left").where((F.col("inside") > 0) | F.coalesce(often, F.lit(False))).select("key")
     ending = open_ends.join(whole, "key", "left_anti").select("doc", F.lit("ending").alias("evidence"))
-    prefix = prefixes_of_longer(docs).where("goes_on").select("doc", F.lit("prefix").alias("evidence"))
+    prefix = with_copies(docs, prefixes_of_longer(docs).where("goes_on")).select("doc", F.lit("prefix").alias("evidence"))
     return ending.union(prefix).groupBy(F.col("doc").alias(id_col)).agg(F.min("evidence").alias("evidence"))
 
 

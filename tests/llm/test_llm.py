@@ -203,6 +203,15 @@ def test_cut_texts(spark):
     assert not rows(truncation.cut_texts(df.limit(0)))
 
 
+def test_copies_of_a_cut_text_are_all_found(spark):
+    # the ending of the cut text looks whole; only the longer copy shows that it was cut
+    docs = [(i, "A safra rendeu 1.448.") for i in (4, 7, 9)] + [(5, "A safra rendeu 1.448. ")] + [(1, "A safra rendeu 1.448.515 reais."), (2, "A safra caiu."), (3, "A safra caiu."), (6, None), (8, "")]
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, source string")
+    found = {r.doc_id for r in truncation.cut_texts(df).collect()}
+    assert found == {4, 5, 7, 9}
+    assert [(r.documents, r.cut) for r in truncation.cut_rates(df, df.source).collect()] == [(9, 4)]
+
+
 def test_prefixes_match_brute_force(spark):
     rng = random.Random(6)
     texts = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(150)}
