@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,7 @@ _BARE = re.compile(r"(?:^|\s)(\d{1,3}[.]|[^\W\d_][.])\Z")
 _ENTRY = re.compile(r"\s*(?:[–—•*·-]|[^\x00-\x7f]{1,15}|\d+[.)]|[a-z]\))\s+\S")
 _LABEL = re.compile(r"(\w{3,20}): \S")
 _SKIP = re.compile(r"[aeioucnáàâãäéêèíóôõöúüçñ]|[^\x00-\x7f]+")
-#: A last line in capitals, or the end of a labelled line, is whole if so many texts and such a share of their kind end so.
+#: A last line in capitals, or the end of a labelled line, is whole if so many distinct texts and such a share of their kind end so.
 REPEATS, SHARE = 3, 0.02
 _LONG = 200
 
@@ -56,22 +57,29 @@ def line_key(line: str, before: str) -> str:
     return "head " + _skeleton(line)
 
 
-def _endings(text: str) -> tuple[str, str, bool]:
-    """(state, key, capitals): state is whole, cut, or open, which depends on the key; a line of capitals after other text."""
+def _body(text: str) -> bytes:
+    """What stands before the last line, as a hash: copies that end alike have it in common."""
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _endings(text: str) -> tuple[str, str, bool, bytes | None]:
+    """(state, key, capitals, body): state is whole, cut, or open, which depends on the key; a line of capitals after other text."""
     body = _MARK.sub("", text)
     if not body:
-        return "whole", "", False
+        return "whole", "", False, None
     if len(body) < len(text.rstrip()) or body[-1] in ",;:-–(":
-        return "cut", "", False
+        return "cut", "", False, None
     line = body.rpartition("\n")[2]
     if _SENTENCE.search(body):
         m = _BARE.search(line)
-        return ("open", "stop " + ("9." if m[1][0].isdigit() else m[1].lower()), False) if m else ("whole", "", False)
-    before = body[: len(body) - len(line)].rstrip("\n").rpartition("\n")[2]
-    rest = body[: len(body) - len(line)][-400:]
+        return ("open", "stop " + ("9." if m[1][0].isdigit() else m[1].lower()), False, None) if m else ("whole", "", False, None)
+    above = body[: len(body) - len(line)]
+    before = above.rstrip("\n").rpartition("\n")[2]
+    rest = above[-400:]
     capitals = line == line.upper() and rest != rest.upper()
     key = line_key(line, before)
-    return ("open", key, capitals) if key else ("cut", "", False)
+    voting = capitals or key.startswith("source ")
+    return ("open", key, capitals, _body(above) if voting else None) if key else ("cut", "", False, None)
 
 
 _STOPS = re.compile(r"(?:^|\s)(\d{1,3}\.|[^\W\d_]\.)(?=\s+[A-ZÀ-Þ]|\n)")
@@ -95,15 +103,19 @@ def _map(df: DataFrame, run, schema: str) -> DataFrame:
 
 
 def text_endings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, state, key) of each text that does not plainly end, and (key, inside, last, capitals), how often keys close lines."""
+    """(doc, state, key) of each text that does not plainly end, and (key, inside, last, capitals, docs, capital_docs), how often keys close lines.
+
+    last and capitals count source lines and lines in capitals by distinct texts before them, so copies of a text count once; docs and
+    capital_docs count every document.
+    """
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(d, *_endings(t)) for d, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True) if t]
             rows = [r for r in rows if r[1] != "whole"]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "state", "key", "capitals"])
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "state", "key", "capitals", "body"])
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,9 +124,10 @@ def text_endings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 n.update(_inner_keys(t or ""))
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["key", "n"])
 
-    open_ends = stored(_map(docs, ends, "doc long, state string, key string, capitals boolean"), "endings")
+    open_ends = stored(_map(docs, ends, "doc long, state string, key string, capitals boolean, body binary"), "endings")
     inside = _map(docs.select("text"), inner, "key string, n long").groupBy("key").agg(F.sum("n").alias("inside"))
-    last = open_ends.where("state = 'open'").groupBy("key").agg(F.count("*").alias("last"), F.count_if("capitals").alias("capitals"))
+    texts = open_ends.where("state = 'open'").groupBy("key", "body").agg(F.count("*").alias("docs"), F.count_if("capitals").alias("capital_docs"))
+    last = texts.groupBy("key").agg(F.count("*").alias("last"), F.count_if(F.col("capital_docs") > 0).alias("capitals"), F.sum("docs").alias("docs"), F.sum("capital_docs").alias("capital_docs"))
     return open_ends, last.join(inside, "key", "left").fillna(0)
 
 
@@ -179,13 +192,18 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(id, evidence) of the texts that were cut: `ending`, or `prefix` for those known only by a longer copy.
 
     Null and empty texts were not cut.  A text that ends with a sentence counts only if a longer copy goes on within the word.
+    Copies of a text have one vote on how its kind of line ends; a kind of fewer than REPEATS distinct texts is judged by documents.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     open_ends, known = text_endings(docs)
-    kind = F.when(F.col("key").startswith("source "), F.substring_index("key", "|", 1)).when(F.col("capitals") > 0, "capitals")
-    repeats = known.select("key", "inside", kind.alias("kind"), F.when(F.col("key").startswith("source "), F.col("last")).otherwise(F.col("capitals")).alias("n"))
-    kinds = repeats.where("kind is not null").groupBy("kind").agg(F.sum("n").alias("all"))
-    often = (F.col("n") >= REPEATS) & (F.col("n") >= F.col("all") * SHARE)
+    labelled = F.col("key").startswith("source ")
+    kind = F.when(labelled, F.substring_index("key", "|", 1)).when(F.col("capitals") > 0, "capitals")
+    n = F.when(labelled, F.col("last")).otherwise(F.col("capitals")).alias("n")
+    repeats = known.select("key", "inside", kind.alias("kind"), n, F.when(labelled, F.col("docs")).otherwise(F.col("capital_docs")).alias("docs"))
+    kinds = repeats.where("kind is not null").groupBy("kind").agg(F.sum("n").alias("all"), F.sum("docs").alias("all_docs"))
+    by_text = (F.col("n") >= REPEATS) & (F.col("n") >= F.col("all") * SHARE)
+    by_docs = (F.col("docs") >= REPEATS) & (F.col("docs") >= F.col("all_docs") * SHARE)
+    often = F.when(F.col("all") >= REPEATS, by_text).otherwise(by_docs)
     whole = repeats.join(kinds, "kind", "left").where((F.col("inside") > 0) | F.coalesce(often, F.lit(False))).select("key")
     ending = open_ends.join(whole, "key", "left_anti").select("doc", F.lit("ending").alias("evidence"))
     prefix = with_copies(docs, prefixes_of_longer(docs).where("goes_on")).select("doc", F.lit("prefix").alias("evidence"))

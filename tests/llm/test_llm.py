@@ -212,6 +212,14 @@ def test_copies_of_a_cut_text_are_all_found(spark):
     assert [(r.documents, r.cut) for r in truncation.cut_rates(df, df.source).collect()] == [(9, 4)]
 
 
+def test_copies_of_a_cut_line_do_not_vote_for_it(spark):
+    source, capitals = "A obra parou.\n\nFonte: Secretaria da Faz", "O frete caiu.\n\nANEXO ESTATÍST"
+    whole = [f"A renda {i} subiu.\n\n{x}" for i in range(4) for x in ("Fonte: Usina; elaboração própria", "QUADRO GERAL")]
+    data = list(enumerate([source] * 5 + [capitals] * 5 + whole))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r.doc_id for r in truncation.cut_texts(df).collect()} == set(range(10))
+
+
 def test_prefixes_match_brute_force(spark):
     rng = random.Random(6)
     texts = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(150)}
