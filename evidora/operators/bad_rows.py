@@ -90,21 +90,34 @@ def clean_rows(raw: DataFrame, layouts: DataFrame, id_col: str = "raw_id", recor
     return rows.select(F.col("id").alias(id_col), "layout_id", F.transform("fields", _trimmed).alias("fields"))
 
 
+def _typed(v: Column, kind: str) -> Column:
+    """A clean value in the type of its kind; missing-value signs and empty fields are null."""
+    v = F.when(~v.isin("", *(MISSING if kind.startswith("decimal") else ())), v)
+    if kind == "data":
+        return _day(v)
+    if kind == "decimal_virgula":
+        v = F.replace(F.replace(v, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    if kind.startswith("decimal"):
+        return v.try_cast("decimal(38,6)")
+    if kind in ("ano", "trimestre"):
+        return F.replace(v, F.lit("º"), F.lit("")).try_cast("int")
+    return v.try_cast("long") if kind == "inteiro" else v
+
+
 def typed_rows(raw: DataFrame, layouts: DataFrame, layout_id: int, id_col: str = "raw_id") -> DataFrame:
     """The clean rows of one layout with a typed column for each of its columns; missing-value signs and empty fields are null."""
     columns = layouts.where(F.col("layout_id") == layout_id).orderBy("pos").collect()
     rows = clean_rows(raw.where(F.col("layout_id") == layout_id), layouts, id_col)
-
-    def typed(v: Column, kind: str) -> Column:
-        v = F.when(~v.isin("", *(MISSING if kind.startswith("decimal") else ())), v)
-        if kind == "data":
-            return _day(v)
-        if kind == "decimal_virgula":
-            v = F.replace(F.replace(v, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-        if kind.startswith("decimal"):
-            return v.try_cast("decimal(38,6)")
-        if kind in ("ano", "trimestre"):
-            return F.replace(v, F.lit("º"), F.lit("")).try_cast("int")
-        return v.try_cast("long") if kind == "inteiro" else v
-
-    return rows.select(id_col, *(typed(F.element_at("fields", r["pos"]), r["kind"]).alias(r["column_name"]) for r in columns))
+    return rows.select(id_col, *(_typed(F.element_at("fields", r["pos"]), r["kind"]).alias(r["column_name"]) for r in columns))
+
+
+def typed_values(raw: DataFrame, layouts: DataFrame, id_col: str = "raw_id") -> DataFrame:
+    """(id, layout_id, column_name, text, whole, number, day) of the clean rows of all layouts: a row for each column, its value in the
+    column of its type; all four are null for a missing-value sign or an empty field."""
+    cells = clean_rows(raw, layouts, id_col).select(id_col, "layout_id", F.posexplode("fields").alias("at", "value")).withColumn("pos", F.col("at") + 1)
+    cells = cells.join(layouts.select("layout_id", "pos", "column_name", "kind"), ["layout_id", "pos"])
+    types = {"whole": ("ano", "trimestre", "inteiro"), "number": ("decimal_virgula", "decimal_ponto"), "day": ("data",)}
+    others = ~F.coalesce(F.col("kind").isin(*(k for kinds in types.values() for k in kinds)), F.lit(False))
+    out = {"text": F.when(others, _typed(F.col("value"), "texto"))}
+    out |= {t: F.coalesce(*(F.when(F.col("kind") == k, _typed(F.col("value"), k)) for k in kinds)) for t, kinds in types.items()}
+    return cells.select(id_col, "layout_id", "column_name", *(c.alias(t) for t, c in out.items()))

@@ -18,6 +18,11 @@ def p5_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad_rows.typed_rows(raw, layouts, 1).withColumn("valor", F.col("valor").cast("double"))
 
 
+def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, layouts = table(spark, sf_dir, "raw_rows"), table(spark, sf_dir, "layouts")
+    return bad_rows.typed_values(raw, layouts).withColumn("number", F.col("number").cast("double"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nodes").where("chunk_strategy = 'row_per_chunk'")
     registry = table(spark, sf_dir, "unit_registry")
@@ -68,7 +73,7 @@ def _unit_sql(text: str, name: str) -> str:
     return f"{unit} AS {name}_unit, {scale} AS {name}_scale"
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_typed)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_typed, p5_values)}
 SQL = {
     "p5_found": f"""{_PARSED}
     SELECT raw_rows.raw_id, CASE WHEN NOT coalesce(ok, true) THEN 'quoting' WHEN fields IS NULL OR len(fields) <> n THEN 'column_count' ELSE 'invalid_value' END AS reason
@@ -82,6 +87,12 @@ SQL = {
            CAST(TRY_CAST(replace(replace(e, '.', ''), ',', '.') AS DECIMAL(38,6)) AS DOUBLE) AS valor,
            CAST(coalesce(try_strptime(f, '%d/%m/%Y'), try_strptime(f, '%Y-%m-%d')) AS DATE) AS publicado_em
     FROM g""",
+    "p5_values": f"""{_PARSED}
+    SELECT c.raw_id, c.layout_id, column_name, CASE WHEN kind IN ('texto', 'codigo') THEN nullif(v, '') END AS text,
+           CASE WHEN kind IN ('ano', 'trimestre', 'inteiro') THEN TRY_CAST(replace(v, 'º', '') AS BIGINT) END AS whole,
+           CAST(CASE kind WHEN 'decimal_virgula' THEN TRY_CAST(replace(replace(v, '.', ''), ',', '.') AS DECIMAL(38,6)) WHEN 'decimal_ponto' THEN TRY_CAST(v AS DECIMAL(38,6)) END AS DOUBLE) AS number,
+           CASE WHEN kind = 'data' THEN CAST(coalesce(try_strptime(v, '%d/%m/%Y'), try_strptime(v, '%Y-%m-%d')) AS DATE) END AS day
+    FROM c JOIN layouts l ON l.layout_id = c.layout_id AND l.pos = c.pos WHERE c.raw_id NOT IN (SELECT raw_id FROM bad)""",
     "p3_found": f"""
     WITH n AS (SELECT DISTINCT node_id, trim(list_last(metadata.cells)) AS cell, regexp_replace(coalesce(metadata.table_descricao, ''), '^Tabela de \\S+ com ', '') AS d,
                       from_json(metadata.ontology_facets, '{{"unit":["VARCHAR"],"scale":["VARCHAR"]}}') AS f FROM nodes WHERE chunk_strategy = 'row_per_chunk'),

@@ -69,6 +69,20 @@ def test_bad_rows(spark):
     assert bad_rows.clean_rows(df, layouts(spark)).count() + found.count() == len(cases)
 
 
+def test_typed_values_of_every_layout(spark):
+    more = [(2, ",", 1, "nota", "texto", False), (2, ",", 2, "valor", "decimal_ponto", True), (3, "\t", 1, "saldo", "inteiro", True), (3, "\t", 2, "dia", "data", True), (4, "|", 1, "trimestre", "trimestre", True)]
+    known = spark.createDataFrame(LAYOUTS + more, "layout_id int, delimiter string, pos int, column_name string, kind string, required boolean")
+    cases = [(1, 1, "a;2001;1.234,5;01/02/2003"), (2, 2, ",-12.5"), (3, 2, '"x, y",...'), (4, 3, "-7\t2003-02-28"), (5, 4, " 3º "), (6, 4, "5"), (7, 9, "a")]
+    df = spark.createDataFrame([(i, y, (0, c)) for i, y, c in cases], "raw_id long, layout_id int, metadata struct<row:int,cells:string>")
+    want = {(1, 1, "nome", "a", None, None, None), (1, 1, "ano", None, 2001, None, None), (1, 1, "valor", None, None, Decimal("1234.5"), None), (1, 1, "dia", None, None, None, date(2003, 2, 1))}
+    want |= {(2, 2, "nota", None, None, None, None), (2, 2, "valor", None, None, Decimal("-12.5"), None), (3, 2, "nota", "x, y", None, None, None), (3, 2, "valor", None, None, None, None)}
+    want |= {(4, 3, "saldo", None, -7, None, None), (4, 3, "dia", None, None, None, date(2003, 2, 28)), (5, 4, "trimestre", None, 3, None, None)}
+    assert rows(bad_rows.typed_values(df, known)) == want
+    from evidora.queries_rows import QUERIES, SQL
+
+    assert "p5_values" in QUERIES and "p5_values" in SQL
+
+
 REGISTRY = [("real", "real", "real", 1), ("tonelada", "tonelada", "quilograma", 1000), ("quilograma", "quilograma", "quilograma", 1), ("saca_60kg", "saca de 60 kg", "quilograma", 60), ("por_mil", "por mil", "ponto_base", 10), ("percentual", "por cento", "ponto_base", 100), ("ponto_base", "ponto-base", "ponto_base", 1), ("pessoa", "pessoa", "pessoa", 1), ("dolar", "dólar", None, None), ("gigawatt_hora", "gigawatt-hora", "quilowatt_hora", 1_000_000), ("megawatt_hora", "megawatt-hora", "quilowatt_hora", 1000), ("metro_quadrado", "metro quadrado", "metro_quadrado", 1)]
 
 
