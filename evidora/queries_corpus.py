@@ -81,6 +81,11 @@ def facets_found(spark, d):
     return docs.select("doc_id", *(F.array_join(F.col("f")[x], ",").alias(x) for x in ("indicator", "unit", "scale", "sector", "basis", "kind")))
 
 
+def facets_all(spark, d):
+    docs = fc.with_facets(table(spark, d, "documents").select("doc_id", "text"), "text", "f")
+    return docs.select("doc_id", *(F.array_join(F.col("f")[x], ",").alias(x) for x in fc.DIMENSIONS))
+
+
 def dimension_histogram(spark, d):
     obs = nodes_once(spark, d).select(fc.stored_facets(F.col("metadata.ontology_facets")).alias("dims"))
     return kn.dimension_histogram(obs)
@@ -196,7 +201,7 @@ def files_by_type(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        fold_text, bm25_tokens, rare_terms, control_chars, token_estimates, claim_split, section_titles, excerpts, ptbr_numbers, number_format, periods_found, period_granularity, facets_found, dimension_histogram,
+        fold_text, bm25_tokens, rare_terms, control_chars, token_estimates, claim_split, section_titles, excerpts, ptbr_numbers, number_format, periods_found, period_granularity, facets_found, facets_all, dimension_histogram,
         available_combinations, coverage_gaps, value_divergences, candidate_filter, observation_match, deterministic_ids, page_ordinals, table_chunks, short_fragments, small_tables, context_headers, structured_rows,
         chat_budget, snapshot_changes, latest_nodes, incremental_index, stale_vectors, embedding_cache_misses, files_by_type,
     )

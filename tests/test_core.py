@@ -153,6 +153,29 @@ def test_periods(spark, phrase, found):
     assert one(spark, periods.periods(text.fold(F.col("x"))), x=phrase) == found
 
 
+def test_facets_of_all_documents(spark, tmp_path):
+    from evidora.queries_corpus import facets_all
+
+    data = [
+        (1, "Emprego formal no estado de São Paulo em 2023, segundo o Caged: 3 mil pessoas", None),
+        (2, "IBGE: total exports of Brasil, 2019; R$ 2 bilhões, crescimento real da industria", "en"),
+        (3, None, None),
+        (4, "", "pt"),
+        (5, "Desemprego", "pt"),
+    ]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    none = dict.fromkeys(facets.DIMENSIONS, "")
+    want = {
+        1: none | {"indicator": "emprego", "region": "estado_sp", "period": "2023", "unit": "pessoa", "scale": "mil", "source": "caged", "coverage": "formal"},
+        2: none | {"region": "brasil", "period": "2019", "unit": "real", "scale": "bilhao", "sector": "industria", "source": "ibge", "basis": "real", "coverage": "total", "kind": "variacao"},
+        3: none,
+        4: none,
+        5: none | {"indicator": "desocupacao"},
+    }
+    got = {r.doc_id: {k: r[k] for k in facets.DIMENSIONS} for r in facets_all(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_facets(spark):
     f = one(spark, facets.facets(facets.reference_text(F.col("x"))), x="Taxa de desocupação na indústria de transformação, em percentual, 2023\nFonte: IBGE 2020\nPublicado em 2024")
     assert (f.indicator, f.sector, f.unit, f.period, f.source, f.kind) == (["desocupacao"], ["industria_transformacao"], ["percentual"], ["2023"], [], ["taxa"])
