@@ -13,8 +13,10 @@ def sign_test(wins: Column, losses: Column) -> Column:
     """Two-sided exact p-value; ties are left out; 1 without any win or loss."""
     n, k = wins + losses, F.least(wins, losses)
     # the binomial coefficients of row n, each over 2**n, built one from the other in logarithms
-    log_c = lambda i: F.aggregate(F.when(i > 0, F.sequence(F.lit(1).cast("long"), i)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, j: s + F.log((n - j + 1) / j))
-    tail = F.aggregate(F.transform(F.sequence(F.lit(0).cast("long"), k), lambda i: F.exp(log_c(i) - n * F.log(F.lit(2.0)))), F.lit(0.0), lambda s, x: s + x)
+    first = -n * F.log(F.lit(2.0))
+    step = lambda s, i: (lambda c: F.struct(c.alias("c"), (s["sum"] + F.exp(c)).alias("sum")))(s["c"] + F.log((n - i + 1) / i))
+    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(terms, F.struct(first.alias("c"), F.exp(first).alias("sum")), step)["sum"]
     return F.when(n == 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), 2 * tail), 9))
 
 

@@ -468,3 +468,69 @@ def test_plans(spark):
     snap = lambda *x: spark.createDataFrame(list(x), "path string, sha256 string")
     new = indexing.updated_index(index, snap(("f.pdf", "1"), ("g.pdf", "1")), snap(("g.pdf", "2")), pages.where("source_file = 'g.pdf'").withColumn("text", F.concat("text", F.lit(" Novo."))))
     assert [(r.source_file, r.text) for r in new.collect()] == [("g.pdf", "Outro texto. Novo.")]
+
+
+def orders(spark, path):
+    data = [(p, s, date(1995, m, 1)) for p, m, f, o in [("1-URGENT", 1, 100, 60), ("1-URGENT", 2, 900, 870), ("2-HIGH", 1, 3, 0), ("2-HIGH", 2, 41, 45), ("2-HIGH", 3, 50, 44)] for s, n in (("F", f), ("O", o)) for _ in range(n)]
+    spark.createDataFrame(data, "o_orderpriority string, o_orderstatus string, o_orderdate date").write.parquet(f"{path}/orders.parquet")
+    return data
+
+
+def test_sign_tests_take_the_true_counts(spark, tmp_path):
+    from math import comb
+
+    from evidora.queries_search import QUERIES
+
+    n = Counter((p, d.month, s) for p, s, d in orders(spark, tmp_path))
+    got = {(r.o_orderpriority, r.m): (r.wins, r.losses, r.p) for r in QUERIES["sign_tests_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(p, m) for p, m, _ in n}
+    for (p, m), (wins, losses, value) in got.items():
+        w, o = n[p, m, "F"], n[p, m, "O"]
+        assert (wins, losses) == (w, o) and abs(value - min(1, 2 * sum(comb(w + o, i) for i in range(min(w, o) + 1)) / 2 ** (w + o))) < 2e-6
+
+
+def test_bootstrap_intervals_draw_ten_thousand(spark, tmp_path):
+    from evidora.queries_search import QUERIES
+
+    orders(spark, tmp_path)
+    want = {}
+    for p, x in (("1-URGENT", [30.0, 40.0]), ("2-HIGH", [-4.0, 3.0, 6.0])):
+        rng = random.Random(7)
+        totals = sorted(sum(rng.choices(x, k=len(x))) for _ in range(10_000))
+        want[p] = (totals[250], totals[9749])
+    calls = []
+    whole = evaluation.bootstrap
+    evaluation.bootstrap = lambda *a, **k: calls.append(k.get("resamples", 10_000)) or whole(*a, **k)
+    try:
+        got = {r[0]: (r.low, r.high) for r in QUERIES["bootstrap_intervals"](spark, str(tmp_path)).collect()}
+    finally:
+        evaluation.bootstrap = whole
+    assert got == want and calls == [10_000]
+
+
+def test_personal_rank_of_the_whole_graph(spark, tmp_path):
+    from math import log2
+
+    from evidora.queries_search import QUERIES
+
+    data = [(f"n{i}", "x", "table" if i % 3 == 0 else "text", "f.pdf" if i < 9 else "g.pdf", str(i // 3), i) for i in range(12)]
+    df = spark.createDataFrame([(*d, None, None, None, None, (1,), datetime(2024, 1, 1)) for d in data], "node_id string, text string, type string, source_file string, page string, chunk_id int, section string, chunk_strategy string, table_key string, table_title string, metadata struct<row:int>, ingested_at timestamp")
+    df.write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([(100, "n0"), (200, "n10"), (201, "n1")], "vec_id long, node_id string").write.parquet(f"{tmp_path}/chunk_vectors.parquet")
+    edges = [(r.source_id, r.target_id, graph.RANK_WEIGHTS[r.label]) for r in graph.structural_edges(df).collect()]
+    both = edges + [(b, a, w) for a, b, w in edges]
+    degree = Counter(b for _, b, _ in both)
+    out = Counter()
+    for a, b, w in both:
+        out[a] += w / log2(2 + degree[b])
+    want = {}
+    for query, seed in ((100, "n0"), (200, "n10")):
+        now = {seed: 1.0}
+        for _ in range(100):
+            moved = Counter({seed: 0.4})
+            for a, b, w in both:
+                moved[b] += 0.6 * now.get(a, 0) * w / log2(2 + degree[b]) / out[a]
+            now = moved
+        want |= {(query, i): v for i, v in now.items()}
+    got = {(r.query_id, r.id): r.score for r in QUERIES["personal_rank_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == {k for k, v in want.items() if v > 0} and max(abs(got[k] - want[k]) for k in got) < 1e-6
