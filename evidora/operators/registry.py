@@ -19,6 +19,10 @@ RELATIONS = {
     "EXPRESSA_EM": (("ObservacaoEstatistica",), ("Unidade",)),
     "MEDIDO_POR": (("ObservacaoEstatistica", "Indicador"), ("FonteDados",)),
     "SUSTENTADA_POR": (("ObservacaoEstatistica", "Comparacao", "OperandoCalculo"), ("Chunk",)),
+    "BASE_DE": (("ObservacaoEstatistica", "OperandoCalculo"), ("Comparacao",)),
+    "FINAL_DE": (("ObservacaoEstatistica", "OperandoCalculo"), ("Comparacao",)),
+    "OPERANDO_DE": (("OperandoCalculo",), ("Comparacao",)),
+    "BASEADO_EM": (("OperandoCalculo",), ("ObservacaoEstatistica",)),
     "CRESCEU_EM": (("Indicador",), ("Período",)),
     "RECUOU_EM": (("Indicador",), ("Período",)),
     "RELACIONA_COM": (("Indicador", "Setor"), ("Indicador", "Setor")),
@@ -26,6 +30,10 @@ RELATIONS = {
     "CAUSA": (("Indicador",), ("Indicador",)),
     "CONTIDA_EM": (("Chunk", "Tabela", "Grafico"), ("Pagina",)),
     "PERTENCE_A_DOC": (("Pagina",), ("Documento",)),
+    "DESCRITA_EM": (("Tabela", "Grafico"), ("Chunk",)),
+    "TEM_TITULO": (("Tabela", "Grafico", "Chunk"), ("Chunk",)),
+    "TEM_NOTA": (("Tabela", "Grafico", "Chunk"), ("Chunk",)),
+    "REPRESENTADA_EM": (("Tabela", "Grafico"), ("Chunk",)),
     "NEXT_CHUNK": (("Chunk",), ("Chunk",)),
     "SAME_PAGE": (("Chunk",), ("Chunk",)),
 }

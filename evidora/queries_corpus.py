@@ -208,7 +208,11 @@ QUERIES = {
 }
 
 _FROM, _TO = (x.replace("'", "''") for x in tx._letters("NFKD"))
-_STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+# the lists of the SQL are written out, not taken from the functions they are compared with
+_STOP = """'a', 'ao', 'aos', 'as', 'com', 'da', 'das', 'de', 'do', 'dos', 'e', 'em', 'entre', 'foi', 'na', 'nas', 'no', 'nos', 'o', 'os', 'ou', 'para', 'pela', 'pelas', 'pelo', 'pelos',
+    'por', 'qual', 'quais', 'que', 'se', 'sua', 'suas', 'seu', 'seus', 'um', 'uma'"""
+_LABEL_STOP = """'com', 'das', 'dos', 'entre', 'foi', 'nas', 'nos', 'para', 'pela', 'pelas', 'pelo', 'pelos', 'por', 'qual', 'quais', 'que', 'sua', 'suas', 'seu', 'seus', 'uma', 'como', 'quanto', 'quanta',
+    'quantos', 'quantas', 'onde', 'quando', 'sobre', 'segundo', 'valor'"""
 _KEYS = ", ".join(f'"{x}":["VARCHAR"]' for x in fc.DIMENSIONS)
 _DIMS = f"from_json(metadata.ontology_facets, '{{{_KEYS}}}')"
 _CELL = "list_last(metadata.cells)"
@@ -251,7 +255,7 @@ SQL = {
     "bm25_tokens": f"""SELECT item_id, len(t) AS n, array_to_string(t, ' ') AS tokens FROM (SELECT item_id, list_filter(regexp_extract_all(
         translate(lower(pergunta), '{_FROM}', '{_TO}'), '[0-9]+(?:[.,/-][0-9]+)*|[a-z]+'), lambda x: x NOT IN ({_STOP})) AS t FROM test_items)""",
     "rare_terms": f"""SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(strip_accents(lower(resposta_esperada)),
-        '[0-9]+(?:[.,/-][0-9]+)*[a-z]?|[a-z]{{3,}}'), lambda x: x NOT IN ({_STOP})))), ' ') AS terms FROM test_items""",
+        '[0-9]+(?:[.,/-][0-9]+)*[a-z]?|[a-z]{{3,}}'), lambda x: x NOT IN ({_LABEL_STOP})))), ' ') AS terms FROM test_items""",
     "control_chars": "SELECT page_id, length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) AS n FROM pages WHERE text IS NOT NULL",
     "token_estimates": "SELECT doc_id, (length(text) + 3) // 4 AS tokens, (length(text) + 5) // 4 AS packing FROM documents",
     "claim_split": "SELECT item_id, trim(c) AS claim FROM (SELECT item_id, unnest(regexp_split_to_array(regexp_replace(resposta_esperada, '([!?;])\\s+', '\\1' || chr(10), 'g'), '\\n+')) AS c FROM test_items) WHERE trim(c) <> ''",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidora.functions import text as tx
 from evidora.operators import expansion as ex
-from evidora.queries_corpus import _ONCE, nodes_once
+from evidora.queries_corpus import _LABEL_STOP, _ONCE, nodes_once
 from evidora.scratch import table
 
 _BOUNDS = (("piece_chars", 256, 8192), ("piece_overlap_chars", 0, 100), ("container_tokens", 1, 4096), ("near_dup_percent", 50, 55), ("neighbours_k", 1, 50))
@@ -67,7 +67,7 @@ def citations_found(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (sentence_chunks, parent_blocks, expanded_parents, label_matches, table_context, setting_problems, node_audit, payload_check, citations_found)}
-_RARE = "list_distinct(list_filter(regexp_extract_all(strip_accents(lower({c})), '[0-9]+(?:[.,/-][0-9]+)*[a-z]?|[a-z]{{3,}}'), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + ")))"
+_RARE = "list_distinct(list_filter(regexp_extract_all(strip_accents(lower({c})), '[0-9]+(?:[.,/-][0-9]+)*[a-z]?|[a-z]{{3,}}'), lambda x: x NOT IN (" + _LABEL_STOP + ")))"
 SQL = {
     "label_matches": f"""WITH {_ONCE}, n AS (SELECT node_id, source_file, {_RARE.format(c='text')} AS t FROM once WHERE text IS NOT NULL AND source_file IS NOT NULL),
         v AS (SELECT vec_id AS query_id, n.node_id, n.source_file, t FROM chunk_vectors JOIN n ON n.node_id = chunk_vectors.node_id WHERE vec_id % 100 = 0), sz AS (SELECT source_file, count(*) AS size FROM n GROUP BY 1 HAVING count(*) >= 2),

@@ -11,7 +11,7 @@ from evidora.functions import text as tx
 from evidora.operators import graph as gr
 from evidora.operators import observations as ob
 from evidora.operators import registry as rg
-from evidora.queries_corpus import _CELL, _DIMS, _ONCE, _facet, _literal, nodes_once
+from evidora.queries_corpus import _CELL, _DIMS, _LABEL_STOP, _ONCE, _facet, _literal, nodes_once
 from evidora.queries_search import _mentioned
 from evidora.scratch import table
 
@@ -214,7 +214,7 @@ SQL = {
     "comparison_graph": """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
         SELECT CAST(o_orderkey AS VARCHAR) AS source_id, CASE n WHEN 1 THEN 'BASE_DE' ELSE 'FINAL_DE' END AS label, 'percent_change|' || o_custkey AS target_id FROM o WHERE n <= 2""",
     "open_sessions": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') OR user_id IN (SELECT user_id FROM events WHERE event_type = 'error')",
-    "scope_terms": f"""WITH {_ONCE}, n AS (SELECT source_file, node_id, list_distinct(list_filter(regexp_extract_all({_T.format(c='text')}, '[0-9]+(?:[.,/-][0-9]+)*[a-z]?|[a-z]{{3,}}'), lambda x: x NOT IN ({', '.join(f"'{w}'" for w in tx.STOPWORDS)}))) AS t FROM once WHERE text IS NOT NULL AND source_file IS NOT NULL),
+    "scope_terms": f"""WITH {_ONCE}, n AS (SELECT source_file, node_id, list_distinct(list_filter(regexp_extract_all({_T.format(c='text')}, '[0-9]+(?:[.,/-][0-9]+)*[a-z]?|[a-z]{{3,}}'), lambda x: x NOT IN ({_LABEL_STOP}))) AS t FROM once WHERE text IS NOT NULL AND source_file IS NOT NULL),
         s AS (SELECT source_file, count(*) AS nodes FROM n GROUP BY 1), u AS (SELECT source_file, unnest(t) AS term FROM n), df AS (SELECT source_file, term, count(*) AS df FROM u GROUP BY ALL)
         SELECT source_file, count(*) AS terms, round(sum(ln(nodes / df)), 3) AS weight, round(max(ln(nodes / df)), 5) AS top FROM df JOIN s USING (source_file) GROUP BY 1""",
 }

@@ -17,7 +17,7 @@ from evidora.operators import graph as gr
 from evidora.operators import lookup as lk
 from evidora.operators import ranking as rk
 from evidora.operators import validation as va
-from evidora.queries_corpus import _DIMS, _FROM, _ONCE, _STOP, _TO, nodes_once
+from evidora.queries_corpus import _DIMS, _FROM, _LABEL_STOP, _ONCE, _STOP, _TO, nodes_once
 from evidora.scratch import stored, table
 
 _MENTIONS = ("indicator", "unit", "period")
@@ -268,7 +268,7 @@ _STRUCT = """all_edges AS (SELECT node_id AS source_id, 'CONTIDA_EM' AS label, c
     SELECT DISTINCT concat_ws('::', source_file, page), 'PERTENCE_A_DOC', source_file FROM once UNION ALL SELECT source_id, 'NEXT_CHUNK', target_id FROM nxt)"""
 _MENT = f"""{_ONCE}, f AS (SELECT node_id, {_DIMS} AS f FROM once), m AS (SELECT DISTINCT * FROM ({' UNION ALL '.join(f"SELECT node_id AS id, '{x}:' || unnest(f.{x}) AS entity FROM f" for x in _MENTIONS)}))"""
 
-_RARE = "list_distinct(list_filter(regexp_extract_all(strip_accents(lower({c})), '[0-9]+(?:[.,/-][0-9]+)*[a-z]?|[a-z]{{3,}}'), lambda x: x NOT IN (" + _STOP + ")))"
+_RARE = "list_distinct(list_filter(regexp_extract_all(strip_accents(lower({c})), '[0-9]+(?:[.,/-][0-9]+)*[a-z]?|[a-z]{{3,}}'), lambda x: x NOT IN (" + _LABEL_STOP + ")))"
 
 SQL = {
     "cosine_search": f"WITH {_COS} SELECT query_id, id, round(score, 6) AS score, position FROM dense WHERE position <= 10",
