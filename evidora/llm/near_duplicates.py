@@ -1,17 +1,24 @@
-"""Near-duplicate documents: a signature-coordinate inverted join with an exact check.
-
-Each text gets `COORDINATES` signature coordinates; a coordinate joins `ROWS` minima of differently permuted shingle
-hashes, so its value is shared with probability J**ROWS by texts of Jaccard similarity J (at J = 0.6, some of 48
-coordinates is shared with probability 0.9987; at 0.65 with 0.99993).  Documents are posted under each coordinate-value
-pair; lists of one class (most) emit nothing.  Collisions over all single minima are counted on one bit each: pairs
-below the match threshold skip the text check.  What is left is verified on the full shingle sets.
-
-Exact copies (equal sequences of folded words) form one class that is posted once per task, so that a class holding a
-third of all rows adds a row per task, not per document; pairs are expanded at the end.
+"""Near-duplicate documents: a signature-coordinate inverted join that loses no pair.
+
+The signature of a text is the minima of its distinct shingles in one order common to all texts, the rarest first (a
+bottom-k signature); its coordinates are their ranks.  As many minima are taken, |A| - ceil(t |A|) + 1 of |A| shingles, that
+two texts of similarity t or more share at least one: the order is total, so this holds for every pair, not just for most.
+
+* Texts are posted under each coordinate's value.  Collisions are counted per pair of texts.
+* Prefix: only the minima are posted, the common rest of the texts never is.
+* Skips: a posting carries the size of its text and its rank; a collision from which the threshold cannot be reached any
+  more, since too few shingles are left in one text or the sizes differ too much, emits nothing.
+* Match threshold: the pairs left are decided on their whole shingle sets, which are sent once per text and pair.
+
+The order comes from counts of all shingles of all documents, kept in a fixed number of counters: any order is right, this
+one keeps posting lists short.  A list that is long for all that is divided into tiles of blocks of texts, so that no task
+holds it.  Exact copies (equal sequences of folded words) form one class, posted once per task, so a class that holds a third
+of all rows adds a posting per task, not per document; pairs are expanded at the end.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,29 +30,43 @@ from evidora.llm.folding import folded_words, mix, shingles
 from evidora.operators.graph import components
 from evidora.scratch import stored
 
-COORDINATES, ROWS = 48, 4
-#: Of the COORDINATES * ROWS bits, so many agree at J = 0.6 but for 3.4 standard deviations; scaled for other thresholds.
-DEVIATIONS = 3.4
 BATCH = 256
+#: Counters of shingles; they are sent in chunks, so that sums are spread over tasks.
+COUNTERS_LOG, CHUNKS = 20, 64
+#: Texts in a block of a divided posting list.
+BLOCK = 1024
+#: Sizes and ranks in a byte: exact when small, then steps of 6 %.
+_STEPS = np.unique(np.floor(1.06 ** np.arange(560)).astype(np.int64))[:256]
+
+
+def _code(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_STEPS, np.maximum(n, 1), side="right") - 1
+
 
-_rng = np.random.default_rng(20_24)
-_ODD = _rng.integers(0, 2**63, COORDINATES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _least(code: np.ndarray) -> np.ndarray:
+    return _STEPS[code]
 
 
-def _minima(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with shingles, their minima (a row per text, a column per permutation), and a class hash of each."""
+def _most(code: np.ndarray) -> np.ndarray:
+    return np.where(code + 1 < len(_STEPS), _STEPS[np.minimum(code + 1, len(_STEPS) - 1)] - 1, np.iinfo(np.int64).max // 4)
+
+
+def _sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with shingles, a class hash of each, and the distinct shingles of all with the place of their text."""
     h, no = folded_words(texts)
     s, sno = shingles(h, no, words)
     if not len(s):
-        return np.empty(0, np.int64), np.empty((0, len(_ODD)), np.uint32), np.empty(0, np.int64)
-    have, first = np.unique(sno, return_index=True)
-    out = np.empty((len(have), len(_ODD)), dtype=np.uint32)
-    for k, odd in enumerate(_ODD):
-        out[:, k] = np.minimum.reduceat(((s * odd) >> np.uint64(32)).astype(np.uint32), first)
-    texts_with_words, begin = np.unique(no, return_index=True)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    have = np.unique(sno)
+    named, begin = np.unique(no, return_index=True)
     place = np.arange(len(h), dtype=np.uint64) - np.repeat(begin, np.diff(np.append(begin, len(h)))).astype(np.uint64)
-    cls = mix(np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), begin))
-    return have, out, cls[np.searchsorted(texts_with_words, have)].view(np.int64)
+    cls = mix(np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), begin))[np.searchsorted(named, have)].view(np.int64)
+    at = np.searchsorted(have, sno)
+    order = np.lexsort((s, at))
+    s, at = s[order], at[order]
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = (s[1:] != s[:-1]) | (at[1:] != at[:-1])
+    return have, cls, s[new], at[new]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
@@ -55,55 +76,163 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]
             yield part.column(0), part.column(1).to_pylist()
 
 
+def _counter(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - COUNTERS_LOG)).astype(np.int64)
+
+
 def _members(words: int):
+    """Rows (doc, cls) of all texts with shingles, and after them the counters of the task as rows (chunk, counts)."""
+    names = ["doc", "cls", "chunk", "counts"]
+
     def run(batches):
+        counts = np.zeros(1 << COUNTERS_LOG, dtype=np.int64)
         for ids, texts in _slices(batches):
-            have, minima, cls = _minima(texts, words)
-            bits = np.packbits((minima & 1).astype(np.uint8), axis=1)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(have)), pa.array(cls), pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc", "cls", "bits"])
+            have, cls, s, _ = _sets(texts, words)
+            np.add.at(counts, _counter(s), 1) if len(s) < 1000 else np.add(counts, np.bincount(_counter(s), minlength=len(counts)), out=counts)
+            none = pa.nulls(len(have))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(have)), pa.array(cls), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+        for i, part in enumerate(np.split(counts, CHUNKS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=names)
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of counters; rows come sorted by chunk, one sum is held at a time."""
+    now, total = None, None
+    one = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()])], names=["chunk", "counts"])
+    for b in batches:
+        for chunk, raw in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist(), strict=True):
+            part = np.frombuffer(zlib.decompress(raw), dtype=np.int64)
+            if chunk == now:
+                total += part
+            else:
+                if now is not None:
+                    yield one()
+                now, total = chunk, part.copy()
+    if now is not None:
+        yield one()
+
+
+def _postings(words: int, percent: int, counts):
+    """Rows (value, tile, cls): the minima of each class that is new to the task.
+
+    The tile's lowest 16 bits are rank and size in a byte each; above them stands which blocks of a divided list meet in it.
+    """
+
+    def run(batches):
+        ranks, blocks = counts.value
+        seen: set[int] = set()
+        for _, texts in _slices(batches):
+            _, cls, s, at = _sets(texts, words)
+            fresh = np.array([not (c in seen or seen.add(c)) for c in cls.tolist()], dtype=bool)
+            if not fresh.any():
+                continue
+            keep = fresh[at]
+            s, at = s[keep], at[keep]
+            order = np.lexsort((s, ranks[_counter(s)], at))
+            s, at = s[order], at[order]
+            first = np.searchsorted(at, np.arange(len(cls)))
+            size = np.bincount(at, minlength=len(cls))
+            rank = np.arange(len(s)) - first[at]
+            keep = rank < (size - -(-percent * size // 100) + 1)[at]
+            s, at, rank = s[keep], at[keep], rank[keep]
+            mark = _code(rank + 1) << 8 | _code(size)[at]
+            many = blocks[_counter(s)].astype(np.int64)
+            value, who = (s >> np.uint64(16)).view(np.int64), cls[at]
+            plain = many < 2
+            out = [(value[plain], mark[plain], who[plain])]
+            if not plain.all():
+                value, mark, who, many = value[~plain], mark[~plain], who[~plain], many[~plain]
+                own = _block(who, many)
+                row = np.repeat(np.arange(len(value)), many)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                lo, hi = np.minimum(own[row], other), np.maximum(own[row], other)
+                out.append((value[row], many[row] << 48 | lo << 32 | hi << 16 | mark[row], who[row]))
+            value, tile, who = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(tile), pa.array(who)], names=["value", "tile", "cls"])
 
     return run
 
 
-def _postings(words: int):
+def _block(cls: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return (mix(cls.view(np.uint64)) % np.maximum(many, 1).astype(np.uint64)).astype(np.int64)
+
+
+def _collisions(percent: int):
+    """Pairs of classes on one list that can still reach the threshold; rows come sorted by value, tile and class."""
+
+    def pairs(value: np.ndarray, tile: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = tile >> 16
+        new = np.ones(len(value), dtype=bool)
+        new[1:] = (value[1:] != value[:-1]) | (tile[1:] != tile[:-1]) | (cls[1:] != cls[:-1])
+        value, tile, cls, place = value[new], tile[new], cls[new], place[new]
+        start = np.ones(len(value), dtype=bool)
+        start[1:] = (value[1:] != value[:-1]) | (place[1:] != place[:-1])
+        run_no = np.cumsum(start) - 1
+        ends = np.append(np.flatnonzero(start)[1:], len(value))[run_no] if len(value) else np.empty(0, np.int64)
+        left = ends - np.arange(len(value)) - 1  # rows of the list after this one
+        size_lo, size_hi = _least(tile & 255), _most(tile & 255)
+        rest = size_hi - _least(tile >> 8 & 255) + 1  # shingles from this one on, at most
+        many = place >> 32
+        own = _block(cls, many)
+        across = (many > 1) & ((place >> 16 & 0xFFFF) != (place & 0xFFFF))
+        out_a, out_b = [], []
+        rows, step = np.flatnonzero(left > 0), 1
+        while len(rows):
+            x, y = rows, rows + step
+            need = -(-percent * (size_lo[x] + size_lo[y]) // (100 + percent))
+            fits = (np.minimum(rest[x], rest[y]) >= need) & (100 * size_hi[x] >= percent * size_lo[y]) & (100 * size_hi[y] >= percent * size_lo[x])
+            fits &= ~across[x] | (own[x] != own[y])
+            fits &= cls[x] != cls[y]
+            out_a.append(np.minimum(cls[x], cls[y])[fits])
+            out_b.append(np.maximum(cls[x], cls[y])[fits])
+            step += 1
+            rows = rows[left[rows] >= step]
+        none = np.empty(0, np.int64)
+        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+
+    def run(batches):
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+        for b in batches:
+            cols = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("value", "tile", "cls"), strict=True)]
+            if not len(cols[0]):
+                continue
+            last = (cols[0] != cols[0][-1]) | (cols[1] >> 16 != cols[1][-1] >> 16)
+            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0  # the last list may go on in the next batch
+            a, c = pairs(*(x[:cut] for x in cols))
+            held = [x[cut:] for x in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["cls_a", "cls_b"])
+        a, c = pairs(*held)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["cls_a", "cls_b"])
+
+    return run
+
+
+def _shingle_sets(words: int):
     def run(batches):
-        seen: set[int] = set()  # of this task: copies are posted once
         for _, texts in _slices(batches):
-            _, minima, cls = _minima(texts, words)
-            fresh = [i for i, c in enumerate(cls.tolist()) if not (c in seen or seen.add(c))]
-            m = minima[fresh].astype(np.uint64).reshape(len(fresh), COORDINATES, ROWS)
-            key = np.arange(COORDINATES, dtype=np.uint64)[None, :] + np.uint64(1)
-            for r in range(ROWS):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r])
-            key = np.broadcast_to(key, (len(fresh), COORDINATES))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(cls[fresh], COORDINATES))], names=["key", "cls"])
+            _, cls, s, at = _sets(texts, words)
+            parts = np.split(s, np.searchsorted(at, np.arange(1, len(cls)))) if len(cls) else []
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([x.tobytes() for x in parts], pa.binary())], names=["cls", "shingles"])
 
     return run
 
 
-def _similar(words: int, percent: int):
+def _similar(percent: int):
+    """Pairs whose sets of shingles reach the threshold."""
+
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH):
                 b = batch.slice(i, BATCH)
-                sides = []
-                for c in ("text_a", "text_b"):
-                    h, no = folded_words(b.column(c).to_pylist())
-                    s, sno = shingles(h, no, words)
-                    order = np.lexsort((s, sno))
-                    s, sno = s[order], sno[order]
-                    keep = np.ones(len(s), dtype=bool)
-                    keep[1:] = (s[1:] != s[:-1]) | (sno[1:] != sno[:-1])
-                    sides.append((s[keep], sno[keep]))
-                size = [np.bincount(no, minlength=b.num_rows) for _, no in sides]
-                both = np.concatenate([s for s, _ in sides])
-                no = np.concatenate([no for _, no in sides])
-                order = np.lexsort((both, no))
-                both, no = both[order], no[order]
-                common = np.bincount(no[1:][(both[1:] == both[:-1]) & (no[1:] == no[:-1])], minlength=b.num_rows)
-                near = common * 100 >= percent * (size[0] + size[1] - common)
-                near &= common > 0
-                yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(near)) for c in ("cls_a", "cls_b")], names=["cls_a", "cls_b"])
+                near = []
+                for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
+                    both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+                    common = int((both[1:] == both[:-1]).sum())
+                    near.append(common * 100 >= percent * (len(both) - common) and common > 0)
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(near, pa.bool_())) for c in ("cls_a", "cls_b")], names=["cls_a", "cls_b"])
 
     return run
 
@@ -114,34 +243,25 @@ def near_duplicate_classes(docs: DataFrame, id_col: str, text_col: str, percent:
     Texts that are null or have fewer than `words` folded words have no shingles and belong to no class.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    members = stored(docs.mapInArrow(_members(words), "doc long, cls long, bits binary"), "copies")
-    posted = docs.mapInArrow(_postings(words), "key long, cls long")
-    a, b = posted.alias("a"), posted.alias("b")
-    met = a.join(b, F.col("a.key") == F.col("b.key")).where("a.cls < b.cls").select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
-    reps = members.groupBy("cls").agg(F.min("doc").alias("doc"), F.min("bits").alias("bits"))
-    bits = COORDINATES * ROWS
-    agree = (1 + percent / 100) / 2
-    least = int(bits * agree - DEVIATIONS * (bits * agree * (1 - agree)) ** 0.5)
-    side = lambda x: reps.select(F.col("cls").alias(f"cls_{x}"), F.col("doc").alias(f"doc_{x}"), F.col("bits").alias(f"bits_{x}"))
-    close = met.join(side("a"), "cls_a").join(side("b"), "cls_b").mapInArrow(_agreeing(least), "cls_a long, cls_b long, doc_a long, doc_b long")
-    close = stored(close, "close")
-    wanted = close.select(F.col("doc_a").alias("doc")).union(close.select("doc_b")).distinct()
-    texts = docs.join(wanted, "doc", "left_semi")
-    checked = close.join(texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
-    pairs = checked.select("cls_a", "cls_b", "text_a", "text_b").mapInArrow(_similar(words, percent), "cls_a long, cls_b long")
-    return members.select("doc", "cls"), stored(pairs, "pairs")
-
-
-def _agreeing(least: int):
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1) for c in ("bits_a", "bits_b"))
-            agree = x.shape[1] * 8 - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(agree >= least)) for c in ("cls_a", "cls_b", "doc_a", "doc_b")], names=["cls_a", "cls_b", "doc_a", "doc_b"])
-
-    return run
+    first = stored(docs.mapInArrow(_members(words), "doc long, cls long, chunk int, counts binary"), "copies")
+    members = first.where("chunk is null").select("doc", "cls")
+    sums = first.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk int, counts binary")
+    counts = np.zeros((CHUNKS, (1 << COUNTERS_LOG) // CHUNKS), dtype=np.int64)
+    for r in sums.collect():  # a fixed number of counters, 8 MB
+        counts[r["chunk"]] = np.frombuffer(r["counts"], dtype=np.int64)
+    counts = counts.ravel()
+    usual = int(np.median(counts[counts > 0])) if counts.any() else 0  # other shingles that share the counter
+    blocks = np.clip((counts - usual) // BLOCK, 1, 0x7FFF).astype(np.int16)
+    order = np.unique(counts, return_inverse=True)[1].astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast((order, blocks))
+    posted = docs.mapInArrow(_postings(words, percent, shared), "value long, tile long, cls long")
+    met = posted.repartition("value", F.shiftright("tile", 16)).sortWithinPartitions("value", "tile", "cls").mapInArrow(_collisions(percent), "cls_a long, cls_b long")
+    close = stored(met.groupBy("cls_a", "cls_b").agg(F.count("*").alias("collisions")), "close")
+    wanted = members.join(close.select(F.col("cls_a").alias("cls")).union(close.select("cls_b")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc").alias("doc"))
+    sets = stored(docs.join(wanted.select("doc"), "doc", "left_semi").mapInArrow(_shingle_sets(words), "cls long, shingles binary"), "sets").dropDuplicates(["cls"])
+    side = lambda x: sets.select(F.col("cls").alias(f"cls_{x}"), F.col("shingles").alias(f"set_{x}"))
+    pairs = close.join(side("a"), "cls_a").join(side("b"), "cls_b").select("cls_a", "cls_b", "set_a", "set_b").mapInArrow(_similar(percent), "cls_a long, cls_b long")
+    return members, stored(pairs, "pairs")
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 60, words: int = 3) -> DataFrame:
