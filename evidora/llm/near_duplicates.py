@@ -1,19 +1,19 @@
-"""Near-duplicate documents: a signature-coordinate inverted join that loses no pair.
-
-The signature of a text is the minima of its distinct shingles in one order common to all texts, the rarest first (a
-bottom-k signature); its coordinates are their ranks.  As many minima are taken, |A| - ceil(t |A|) + 1 of |A| shingles, that
-two texts of similarity t or more share at least one: the order is total, so this holds for every pair, not just for most.
-
-* Texts are posted under each coordinate's value.  Collisions are counted per pair of texts.
-* Prefix: only the minima are posted, the common rest of the texts never is.
-* Skips: a posting carries the size of its text and its rank; a collision from which the threshold cannot be reached any
-  more, since too few shingles are left in one text or the sizes differ too much, emits nothing.
-* Match threshold: the pairs left are decided on their whole shingle sets, which are sent once per text and pair.
-
-The order comes from counts of all shingles of all documents, kept in a fixed number of counters: any order is right, this
-one keeps posting lists short.  A list that is long for all that is divided into tiles of blocks of texts, so that no task
-holds it.  Exact copies (equal sequences of folded words) form one class, posted once per task, so a class that holds a third
-of all rows adds a posting per task, not per document; pairs are expanded at the end.
+"""Near-duplicate documents: a signature-coordinate inverted join with an exact check.
+
+A text's signature has `COORDINATES` coordinates; each joins four of `MINIMA` minima of differently permuted shingle hashes,
+so texts of Jaccard similarity J agree in it with probability J**4.  Texts are posted under each coordinate-value pair, and
+collisions are counted per pair of texts.  Pairs with `MATCHES` collisions or more are decided on their whole shingle sets,
+which are sent once per pair and text.  At a similarity of exactly 0.6 a pair collides less often with probability 0.00006
+(simulated; 0.000003 at 0.65).
+
+* Prefix: lengths of all lists are counted first, in a fixed number of counters.  A text whose longest list is long is not
+  posted there: of two collisions one is in another list.
+* Skips: pairs that may have met in such a list need one collision less; the check of their sets decides.
+* A list that is long for all that is divided into tiles of blocks of texts, so that no task holds it.
+
+Postings leave the map stage as blocks of sorted keys, about eight bytes a posting.  Exact copies (equal sequences of folded
+words) form one class that is posted once per task, so that a class holding a third of all rows adds a text per task, not per
+document; pairs are expanded at the end.
 """
 
 from __future__ import annotations
@@ -30,25 +30,16 @@ from evidora.llm.folding import folded_words, mix, shingles
 from evidora.operators.graph import components
 from evidora.scratch import stored
 
-BATCH = 256
-#: Counters of shingles; they are sent in chunks, so that sums are spread over tasks.
+MINIMA, COORDINATES, ROWS, MATCHES = 192, 128, 4, 2
+BATCH, BLOCK_TEXTS = 256, 2048
+#: Counters of list lengths; they are sent in chunks, so that sums are spread over tasks.
 COUNTERS_LOG, CHUNKS = 20, 64
-#: Texts in a block of a divided posting list.
-BLOCK = 1024
-#: Sizes and ranks in a byte: exact when small, then steps of 6 %.
-_STEPS = np.unique(np.floor(1.06 ** np.arange(560)).astype(np.int64))[:256]
+#: Lists above LONG may be skipped, those above BLOCK are divided; postings of a merging task.
+LONG, BLOCK, POSTINGS = 256, 1024, 500_000
 
-
-def _code(n: np.ndarray) -> np.ndarray:
-    return np.searchsorted(_STEPS, np.maximum(n, 1), side="right") - 1
-
-
-def _least(code: np.ndarray) -> np.ndarray:
-    return _STEPS[code]
-
-
-def _most(code: np.ndarray) -> np.ndarray:
-    return np.where(code + 1 < len(_STEPS), _STEPS[np.minimum(code + 1, len(_STEPS) - 1)] - 1, np.iinfo(np.int64).max // 4)
+_rng = np.random.default_rng(20_24)
+_ODD = _rng.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SUBSETS = np.array([_rng.choice(MINIMA, ROWS, replace=False) for _ in range(COORDINATES)])
 
 
 def _sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,28 +67,57 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]
             yield part.column(0), part.column(1).to_pylist()
 
 
-def _counter(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - COUNTERS_LOG)).astype(np.int64)
+def _signatures(words: int):
+    """Rows of up to BLOCK_TEXTS texts: a number, the documents, their classes, which are new to the task, and the keys of those."""
+    names = ["block", "docs", "classes", "fresh", "keys"]
 
+    def run(batches):
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
 
-def _members(words: int):
-    """Rows (doc, cls) of all texts with shingles, and after them the counters of the task as rows (chunk, counts)."""
-    names = ["doc", "cls", "chunk", "counts"]
+        def flush():
+            docs, cls, fresh, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            number = mix(docs[:1].view(np.uint64)).view(np.int64) & ~np.int64(0xFFF)
+            raw = [x.tobytes() for x in (docs, cls, fresh, _planes(keys.ravel(), 5))]
+            return pa.RecordBatch.from_arrays([pa.array(number), *(pa.array([x]) for x in raw)], names=names)
 
-    def run(batches):
-        counts = np.zeros(1 << COUNTERS_LOG, dtype=np.int64)
         for ids, texts in _slices(batches):
-            have, cls, s, _ = _sets(texts, words)
-            np.add.at(counts, _counter(s), 1) if len(s) < 1000 else np.add(counts, np.bincount(_counter(s), minlength=len(counts)), out=counts)
-            none = pa.nulls(len(have))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(have)), pa.array(cls), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-        for i, part in enumerate(np.split(counts, CHUNKS)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=names)
+            have, cls, s, at = _sets(texts, words)
+            if not len(have):
+                continue
+            fresh = np.array([not (c in seen or seen.add(c)) for c in cls.tolist()], dtype=bool)
+            keep = fresh[at]
+            s = (s[keep] >> np.uint64(32)).astype(np.uint32)
+            first = np.searchsorted(at[keep], np.flatnonzero(fresh))
+            minima = np.empty((len(first), MINIMA), dtype=np.uint64)
+            if len(first):
+                for k, odd in enumerate(_ODD):
+                    minima[:, k] = np.minimum.reduceat(s * odd, first)
+            key = np.broadcast_to(np.arange(1, COORDINATES + 1, dtype=np.uint64), (len(first), COORDINATES))
+            for r in range(ROWS):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + minima[:, _SUBSETS[:, r]])
+            held.append((ids.to_numpy(zero_copy_only=False)[have], cls, fresh, key >> np.uint64(24)))
+            if sum(len(x[0]) for x in held) > BLOCK_TEXTS - BATCH:
+                yield flush()
+        if held:
+            yield flush()
 
     return run
 
 
+def _planes(x: np.ndarray, n: int) -> np.ndarray:
+    """The lowest n bytes of each number, as n planes of bytes."""
+    return np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :n].T)
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(n, -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, :n] = planes.T
+    return out.view("<u8").ravel()
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of counters; rows come sorted by chunk, one sum is held at a time."""
     now, total = None, None
@@ -115,101 +135,103 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield one()
 
 
-def _postings(words: int, percent: int, counts):
-    """Rows (value, tile, cls): the minima of each class that is new to the task.
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, cls, node): node names the text where its class was new."""
+    for b in batches:
+        for block, docs, cls, fresh in zip(*(b.column(c).to_pylist() for c in ("block", "docs", "classes", "fresh")), strict=True):
+            fresh = np.frombuffer(fresh, dtype=bool)
+            node = block | (np.cumsum(fresh) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, np.int64)), pa.array(np.frombuffer(cls, np.int64)), pa.array(node, mask=~fresh)], names=["doc", "cls", "node"])
 
-    The tile's lowest 16 bits are rank and size in a byte each; above them stands which blocks of a divided list meet in it.
-    """
 
-    def run(batches):
-        ranks, blocks = counts.value
-        seen: set[int] = set()
-        for _, texts in _slices(batches):
-            _, cls, s, at = _sets(texts, words)
-            fresh = np.array([not (c in seen or seen.add(c)) for c in cls.tolist()], dtype=bool)
-            if not fresh.any():
-                continue
-            keep = fresh[at]
-            s, at = s[keep], at[keep]
-            order = np.lexsort((s, ranks[_counter(s)], at))
-            s, at = s[order], at[order]
-            first = np.searchsorted(at, np.arange(len(cls)))
-            size = np.bincount(at, minlength=len(cls))
-            rank = np.arange(len(s)) - first[at]
-            keep = rank < (size - -(-percent * size // 100) + 1)[at]
-            s, at, rank = s[keep], at[keep], rank[keep]
-            mark = _code(rank + 1) << 8 | _code(size)[at]
-            many = blocks[_counter(s)].astype(np.int64)
-            value, who = (s >> np.uint64(16)).view(np.int64), cls[at]
-            plain = many < 2
-            out = [(value[plain], mark[plain], who[plain])]
-            if not plain.all():
-                value, mark, who, many = value[~plain], mark[~plain], who[~plain], many[~plain]
-                own = _block(who, many)
-                row = np.repeat(np.arange(len(value)), many)
-                other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                lo, hi = np.minimum(own[row], other), np.maximum(own[row], other)
-                out.append((value[row], many[row] << 48 | lo << 32 | hi << 16 | mark[row], who[row]))
-            value, tile, who = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(tile), pa.array(who)], names=["value", "tile", "cls"])
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's counters of list lengths as rows (chunk, counts)."""
+    counts = np.zeros(1 << COUNTERS_LOG, dtype=np.int64)
+    for b in batches:
+        for raw in b.column("keys").to_pylist():
+            counts += np.bincount((_numbers(raw, 5) >> np.uint64(40 - COUNTERS_LOG)).astype(np.int64), minlength=len(counts))
+    parts = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(np.split(counts, CHUNKS)) if x.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["chunk", "counts"])
 
-    return run
 
+def _postings(buckets: int, lengths):
+    """Rows (bucket, block, postings): sorted keys, places in the block with flags, and fingerprints of classes.
 
-def _block(cls: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return (mix(cls.view(np.uint64)) % np.maximum(many, 1).astype(np.uint64)).astype(np.int64)
-
-
-def _collisions(percent: int):
-    """Pairs of classes on one list that can still reach the threshold; rows come sorted by value, tile and class."""
-
-    def pairs(value: np.ndarray, tile: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = tile >> 16
-        new = np.ones(len(value), dtype=bool)
-        new[1:] = (value[1:] != value[:-1]) | (tile[1:] != tile[:-1]) | (cls[1:] != cls[:-1])
-        value, tile, cls, place = value[new], tile[new], cls[new], place[new]
-        start = np.ones(len(value), dtype=bool)
-        start[1:] = (value[1:] != value[:-1]) | (place[1:] != place[:-1])
-        run_no = np.cumsum(start) - 1
-        ends = np.append(np.flatnonzero(start)[1:], len(value))[run_no] if len(value) else np.empty(0, np.int64)
-        left = ends - np.arange(len(value)) - 1  # rows of the list after this one
-        size_lo, size_hi = _least(tile & 255), _most(tile & 255)
-        rest = size_hi - _least(tile >> 8 & 255) + 1  # shingles from this one on, at most
-        many = place >> 32
-        own = _block(cls, many)
-        across = (many > 1) & ((place >> 16 & 0xFFFF) != (place & 0xFFFF))
-        out_a, out_b = [], []
-        rows, step = np.flatnonzero(left > 0), 1
-        while len(rows):
-            x, y = rows, rows + step
-            need = -(-percent * (size_lo[x] + size_lo[y]) // (100 + percent))
-            fits = (np.minimum(rest[x], rest[y]) >= need) & (100 * size_hi[x] >= percent * size_lo[y]) & (100 * size_hi[y] >= percent * size_lo[x])
-            fits &= ~across[x] | (own[x] != own[y])
-            fits &= cls[x] != cls[y]
-            out_a.append(np.minimum(cls[x], cls[y])[fits])
-            out_b.append(np.maximum(cls[x], cls[y])[fits])
-            step += 1
-            rows = rows[left[rows] >= step]
-        none = np.empty(0, np.int64)
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+    Flags: bit 12, a list was skipped; bits 13 and 14, the side of a tile where two blocks of a divided list meet.
+    """
 
     def run(batches):
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+        counts = lengths.value
         for b in batches:
-            cols = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("value", "tile", "cls"), strict=True)]
-            if not len(cols[0]):
-                continue
-            last = (cols[0] != cols[0][-1]) | (cols[1] >> 16 != cols[1][-1] >> 16)
-            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0  # the last list may go on in the next batch
-            a, c = pairs(*(x[:cut] for x in cols))
-            held = [x[cut:] for x in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["cls_a", "cls_b"])
-        a, c = pairs(*held)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["cls_a", "cls_b"])
+            for block, classes, fresh, raw in zip(*(b.column(c).to_pylist() for c in ("block", "classes", "fresh", "keys")), strict=True):
+                cls = np.frombuffer(classes, np.uint64)[np.frombuffer(fresh, bool)]
+                keys = _numbers(raw, 5).reshape(-1, COORDINATES)
+                if not len(keys):
+                    continue
+                long = counts[(keys >> np.uint64(40 - COUNTERS_LOG)).astype(np.int64)]
+                most = long.argmax(axis=1)
+                skip = long[np.arange(len(keys)), most] > LONG
+                post = np.ones(keys.shape, dtype=bool)
+                post[skip, most[skip]] = False
+                at = np.nonzero(post)[0]
+                key, long = keys[post], long[post]
+                flags = at | skip[at] * 0x1000
+                print_ = mix(cls) & np.uint64(0xFFFFFF)
+                many = long // BLOCK + 1
+                if (many > 1).any():
+                    n = np.where(many > 1, many, 1)
+                    row = np.repeat(np.arange(len(key)), n)
+                    other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    own = (mix(cls[at[row]] + np.uint64(1)) % n[row].astype(np.uint64)).astype(np.int64)
+                    lo, hi = np.minimum(own, other), np.maximum(own, other)
+                    tiled = mix(key[row] * np.uint64(0x9E3779B97F4A7C15) + (lo << 20 | hi).astype(np.uint64)) >> np.uint64(24)
+                    key = np.where(n[row] > 1, tiled, key[row])
+                    flags = flags[row] | np.where(lo == hi, 0, np.where(own == lo, 0x2000, 0x4000))
+                    at = at[row]
+                bucket = (key % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((key, bucket))
+                bucket, key, flags, at = bucket[order], key[order] // np.uint64(buckets), flags[order], at[order]
+                have, first = np.unique(bucket, return_index=True)
+                out = []
+                for i, j in zip(first, np.append(first[1:], len(key)), strict=True):
+                    out.append(np.concatenate([_planes(key[i:j], 5), _planes(flags[i:j], 2), _planes(print_[at[i:j]], 3)]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(np.full(len(have), block)), pa.array(out, pa.binary())], names=["bucket", "block", "postings"])
 
     return run
 
 
+def _merged(table: pa.Table) -> pa.Table:
+    """(a, b, asked): a row for each collision in the lists of a bucket; copies of a class on a list count once."""
+    parts = [_split(raw) for raw in table.column("postings").to_pylist()]
+    key, flags, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
+    node = np.repeat(table.column("block").to_numpy(), [len(p[0]) for p in parts]) | (flags & np.uint64(0xFFF)).astype(np.int64)
+    both = key << np.uint64(24) | prints
+    order = np.argsort(both, kind="stable")
+    both, flags, node = both[order], flags[order], node[order]
+    new = np.ones(len(both), dtype=bool)
+    new[1:] = both[1:] != both[:-1]
+    key, flags, node = (both >> np.uint64(24))[new], flags[new], node[new]
+    start = np.ones(len(key), dtype=bool)
+    start[1:] = key[1:] != key[:-1]
+    left = np.append(np.flatnonzero(start)[1:], len(key))[np.cumsum(start) - 1] - np.arange(len(key)) - 1
+    side, skipped = flags >> np.uint64(13), (flags >> np.uint64(12) & np.uint64(1)).astype(np.int32)
+    out: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
+    rows, step = np.flatnonzero(left > 0), 1
+    while len(rows):
+        x, y = rows, rows + step
+        fits = (side[x] == 0) | (side[x] != side[y])
+        x, y = x[fits], y[fits]
+        out.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), MATCHES - (skipped[x] & skipped[y])))
+        step += 1
+        rows = rows[left[rows] >= step]
+    return pa.table(dict(zip(("a", "b", "asked"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
+
+
+def _split(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(raw) // 10
+    return _numbers(raw[: 5 * n], 5), _numbers(raw[5 * n : 7 * n], 2), _numbers(raw[7 * n :], 3)
+
+
 def _shingle_sets(words: int):
     def run(batches):
         for _, texts in _slices(batches):
@@ -242,26 +264,28 @@ def near_duplicate_classes(docs: DataFrame, id_col: str, text_col: str, percent:
 
     Texts that are null or have fewer than `words` folded words have no shingles and belong to no class.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    first = stored(docs.mapInArrow(_members(words), "doc long, cls long, chunk int, counts binary"), "copies")
-    members = first.where("chunk is null").select("doc", "cls")
-    sums = first.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk int, counts binary")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
+    signed = stored(docs.mapInArrow(_signatures(words), "block long, docs binary, classes binary, fresh binary, keys binary"), "signatures")
+    members = stored(signed.select("block", "docs", "classes", "fresh").mapInArrow(_members, "doc long, cls long, node long"), "copies")
+    sums = signed.select("keys").mapInArrow(_lengths, "chunk int, counts binary").repartition(CHUNKS, "chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk int, counts binary")
     counts = np.zeros((CHUNKS, (1 << COUNTERS_LOG) // CHUNKS), dtype=np.int64)
     for r in sums.collect():  # a fixed number of counters, 8 MB
         counts[r["chunk"]] = np.frombuffer(r["counts"], dtype=np.int64)
     counts = counts.ravel()
-    usual = int(np.median(counts[counts > 0])) if counts.any() else 0  # other shingles that share the counter
-    blocks = np.clip((counts - usual) // BLOCK, 1, 0x7FFF).astype(np.int16)
-    order = np.unique(counts, return_inverse=True)[1].astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast((order, blocks))
-    posted = docs.mapInArrow(_postings(words, percent, shared), "value long, tile long, cls long")
-    met = posted.repartition("value", F.shiftright("tile", 16)).sortWithinPartitions("value", "tile", "cls").mapInArrow(_collisions(percent), "cls_a long, cls_b long")
-    close = stored(met.groupBy("cls_a", "cls_b").agg(F.count("*").alias("collisions")), "close")
+    buckets = int(counts.sum()) // POSTINGS + 1
+    usual = int(np.median(counts[counts > 0])) if counts.any() else 0  # other values that share a counter
+    shared = docs.sparkSession.sparkContext.broadcast(np.maximum(counts - usual, 0).astype(np.int32))
+    posted = signed.select("block", "classes", "fresh", "keys").mapInArrow(_postings(buckets, shared), "bucket long, block long, postings binary")
+    met = posted.groupBy("bucket").applyInArrow(_merged, "a long, b long, asked int")
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("collisions"), F.max("asked").alias("asked")).where("collisions >= asked")
+    named = lambda x: members.where("node is not null").select(F.col("node").alias(x), F.col("cls").alias(f"cls_{x}"))
+    close = counted.select("a", "b").join(named("a"), "a").join(named("b"), "b").select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b"))
+    close = stored(close.where("cls_a < cls_b").distinct(), "close")
     wanted = members.join(close.select(F.col("cls_a").alias("cls")).union(close.select("cls_b")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc").alias("doc"))
-    sets = stored(docs.join(wanted.select("doc"), "doc", "left_semi").mapInArrow(_shingle_sets(words), "cls long, shingles binary"), "sets").dropDuplicates(["cls"])
+    sets = stored(docs.join(wanted.select("doc"), "doc", "left_semi").mapInArrow(_shingle_sets(words), "cls long, shingles binary"), "sets")
     side = lambda x: sets.select(F.col("cls").alias(f"cls_{x}"), F.col("shingles").alias(f"set_{x}"))
     pairs = close.join(side("a"), "cls_a").join(side("b"), "cls_b").select("cls_a", "cls_b", "set_a", "set_b").mapInArrow(_similar(percent), "cls_a long, cls_b long")
-    return members, stored(pairs, "pairs")
+    return members.select("doc", "cls"), stored(pairs.distinct(), "pairs")
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 60, words: int = 3) -> DataFrame:
