@@ -1,10 +1,9 @@
 """Containers of fixed capacity filled with items of varying length.
 
 Sizes are tokens of a public tokenizer.  The histogram of all sizes goes to the driver (at most `capacity` rows): dynamic
-programming places the bucket boundaries that minimise padding, and the bucket counts are filled into containers largest
-bucket first.  Batches inside a single bucket would leave up to half of a container empty for items just over half of the
-capacity, so a container's plan may combine buckets.  Items find their container from their rank in their bucket: no group
-of items is ever gathered.
+programming places the bucket boundaries that minimise padding.  Inside each bucket items form batches of at most the
+capacity in tokens.  A bucket above half of the capacity holds single items then; a plan that combines buckets, the largest
+first, fills containers further and can be chosen instead.  No group of items is ever gathered.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from pyspark.sql.window import Window
 
 from evidora.scratch import stored
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before the merges of that vocabulary; a fixed value of the tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUCKETS, CHUNK = 64, 100_000
@@ -38,7 +36,7 @@ def _encoding(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(text: str, path: str = VOCABULARY) -> int:
+def count_tokens(text: str, path: str) -> int:
     enc = _encoding(path)
     if len(text) <= STRETCH:
         return len(enc.encode_ordinary(text))
@@ -52,7 +50,7 @@ def count_tokens(text: str, path: str = VOCABULARY) -> int:
     return n
 
 
-def token_counts(docs: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     """(doc, tokens) of each text; null texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,39 +61,48 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, path: str = VOCABU
 
 
 def best_bounds(counts: np.ndarray, buckets: int) -> list[int]:
-    """Upper bounds of at most `buckets` buckets of the sizes 0..len(counts)-1 with the least padding of all items."""
-    top = len(counts) - 1
-    size = np.arange(top + 1)
-    many, total = np.concatenate([[0], np.cumsum(counts)]).astype(float), np.concatenate([[0], np.cumsum(counts * size)]).astype(float)
-    used = np.flatnonzero(counts)
-    if not len(used):
-        return []
-    ends = used  # a best bound is always the size of some item
-    begin = np.concatenate([[0], ends[:-1] + 1])
-    # padding of a bucket from begin[i] to ends[j]
-    pad = (many[ends + 1][None, :] - many[begin][:, None]) * ends[None, :] - (total[ends + 1][None, :] - total[begin][:, None])
-    pad[np.tril_indices(len(ends), -1)] = np.inf
-    best, from_ = pad[0].copy(), [np.zeros(len(ends), dtype=int)]
-    for _ in range(1, min(buckets, len(ends))):
-        through = np.full(len(ends), np.inf)
-        way = np.zeros(len(ends), dtype=int)
-        cost = best[:-1, None] + pad[1:, :]
-        way = cost.argmin(axis=0) + 1 if len(ends) > 1 else way
-        through = cost.min(axis=0) if len(ends) > 1 else through
-        keep = through < best
-        from_.append(np.where(keep, way, -1))
-        best = np.where(keep, through, best)
-    out, j, level = [], len(ends) - 1, len(from_) - 1
-    while j >= 0 and level >= 0:
-        if from_[level][j] == -1:
-            level -= 1
-            continue
-        out.append(int(ends[j]))
-        j = from_[level][j] - 1
-        level -= 1
+    """Upper bounds of at most `buckets` buckets of the sizes 0..len(counts)-1 with the least padding of all items.
+
+    A best bound is the size of some item.  The padding of the sizes after the i-th up to the j-th is a line in the bound, so a
+    lower hull of lines gives the best beginning of every bucket: time and memory grow with buckets times sizes.
+    """
+    sizes = np.flatnonzero(counts).tolist()
+    many, total = [0], [0]
+    for x in sizes:
+        many.append(many[-1] + int(counts[x]))
+        total.append(total[-1] + int(counts[x]) * x)
+    m = len(sizes)
+    best: list[int | None] = [0] + [None] * m  # padding of the first j sizes
+    ways = []
+    for _ in range(min(buckets, m)):
+        now, way = [None] * (m + 1), np.zeros(m + 1, dtype=np.int32)
+        hull: list[tuple[int, int, int]] = []  # slope, intercept, where the bucket begins
+        at = 0
+        for j in range(1, m + 1):
+            if best[j - 1] is not None:
+                line = (-many[j - 1], best[j - 1] + total[j - 1], j - 1)
+                while len(hull) - at >= 2 and _useless(hull[-2], hull[-1], line):
+                    hull.pop()
+                hull.append(line)
+            bound = sizes[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][0] * bound + hull[at + 1][1] <= hull[at][0] * bound + hull[at][1]:
+                at += 1
+            if at < len(hull):
+                now[j], way[j] = bound * many[j] - total[j] + hull[at][0] * bound + hull[at][1], hull[at][2]
+        best = now
+        ways.append(way)
+    out, j = [], m
+    for way in reversed(ways):
+        out.append(sizes[j - 1])
+        j = int(way[j])
     return out[::-1]
 
 
+def _useless(a: tuple[int, int, int], b: tuple[int, int, int], c: tuple[int, int, int]) -> bool:
+    """Whether line b is nowhere below both a and c; slopes fall."""
+    return (c[1] - a[1]) * (a[0] - b[0]) <= (b[1] - a[1]) * (a[0] - c[0])
+
+
 def container_plan(bounds: list[int], counts: list[int], capacity: int) -> tuple[list[list[tuple[int, int, int]]], int]:
     """For each bucket its runs (first rank, items in a container, first container), and the number of containers."""
     left = list(counts)
@@ -118,11 +125,11 @@ def container_plan(bounds: list[int], counts: list[int], capacity: int) -> tuple
     return runs, at
 
 
-def packed(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, buckets: int = BUCKETS) -> DataFrame:
+def packed(docs: DataFrame, capacity: int, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, combine: bool = False) -> DataFrame:
     """(id, part_no, first_token, tokens, container): where each document goes; only those above the capacity are divided.
 
-    Parts of divided documents fill whole containers but for their last.  Documents without tokens need no room and have a
-    null container.
+    path: the vocabulary of the tokenizer.  Containers hold items of one bucket, or of several if `combine`.  Parts of divided
+    documents fill whole containers but for their last.  Documents without tokens need no room and have a null container.
     """
     counts = stored(token_counts(docs, id_col, text_col, path), "tokens")
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / capacity))))
@@ -130,13 +137,9 @@ def packed(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for r in items.groupBy("tokens").count().collect():
         histogram[r["tokens"]] = r["count"]
-    total = int(histogram[1:].sum())
     histogram[0] = 0
     bounds = best_bounds(histogram, buckets)
-    cuts = np.concatenate([[0], np.cumsum(histogram)])
-    each = [int(cuts[hi + 1] - cuts[lo + 1]) for lo, hi in zip([0, *bounds], bounds, strict=False)]
-    runs, _ = container_plan(bounds, each, capacity)
-    chunks = max(1, total // CHUNK)
+    chunks = max(1, int(histogram.sum()) // CHUNK)
     limits = np.array(bounds)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +149,35 @@ def packed(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str
 
     fields = "doc long, part_no int, first_token long, tokens long"
     placed = items.mapInArrow(bucket, f"{fields}, bucket int").withColumn("chunk", F.pmod(F.xxhash64("doc", "part_no"), F.lit(chunks)))
+    out = f"{id_col} long, part_no int, first_token long, tokens long, container long"
+    names = [id_col, "part_no", "first_token", "tokens", "container"]
+    if combine:
+        cuts = np.concatenate([[0], np.cumsum(histogram)])
+        each = [int(cuts[hi + 1] - cuts[lo + 1]) for lo, hi in zip([0, *bounds], bounds, strict=False)]
+        return _combined(placed, container_plan(bounds, each, capacity)[0], out, names)
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Items in order of bucket and chunk; a batch ends where the next item would exceed the capacity."""
+        now, number, room = None, 0, 0
+        for b in batches:
+            container: list[int | None] = []
+            for k, c, n in zip(*(b.column(x).to_pylist() for x in ("bucket", "chunk", "tokens")), strict=True):
+                if k < 0:
+                    container.append(None)
+                    continue
+                if (k, c) != now:
+                    now, number, room = (k, c), ((k * chunks + c) << 32) - 1, 0
+                if n > room:
+                    number, room = number + 1, capacity
+                room -= n
+                container.append(number)
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("doc", "part_no", "first_token", "tokens")), pa.array(container, pa.int64())], names=names)
+
+    return placed.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "doc", "part_no").mapInArrow(batches_of, out)
+
+
+def _combined(placed: DataFrame, runs: list[list[tuple[int, int, int]]], out: str, names: list[str]) -> DataFrame:
+    """Each item's container by a plan that combines buckets, from the item's rank in its bucket."""
     ahead = placed.where("bucket >= 0").groupBy("bucket", "chunk").count()
     ahead = ahead.select("bucket", "chunk", (F.sum("count").over(Window.partitionBy("bucket").orderBy("chunk")) - F.col("count")).alias("ahead"))
     ranked = placed.withColumn("own", F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("doc", "part_no"))).join(ahead, ["bucket", "chunk"], "left")
@@ -155,13 +187,18 @@ def packed(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str
         table = [tuple(np.array(x) for x in zip(*r, strict=True)) if r else () for r in runs]
         for b in batches:
             bucket_of, rank = b.column("bucket").to_numpy(), b.column("rank").to_numpy()
-            out = np.full(b.num_rows, -1, dtype=np.int64)
+            to = np.full(b.num_rows, -1, dtype=np.int64)
             for k in np.unique(bucket_of[bucket_of >= 0]).tolist():
                 mine = bucket_of == k
                 start, per, first = table[k]
                 i = np.searchsorted(start, rank[mine], side="right") - 1
-                out[mine] = first[i] + (rank[mine] - start[i]) // per[i]
-            container = pa.array(out, mask=out < 0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc", "part_no", "first_token", "tokens")), container], names=[id_col, "part_no", "first_token", "tokens", "container"])
+                to[mine] = first[i] + (rank[mine] - start[i]) // per[i]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc", "part_no", "first_token", "tokens")), pa.array(to, mask=to < 0)], names=names)
+
+    return ranked.mapInArrow(assign, out)
+
 
-    return ranked.mapInArrow(assign, f"{id_col} long, part_no int, first_token long, tokens long, container long")
+def fill(containers: DataFrame, capacity: int) -> DataFrame:
+    """(containers, tokens, percent): how full they are."""
+    each = containers.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    return each.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.round(100 * F.sum("tokens") / (F.count("*") * capacity), 2).alias("percent"))

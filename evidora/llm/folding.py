@@ -61,7 +61,8 @@ def _letters() -> np.ndarray:
 _powers: list[np.ndarray] = []
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+def hash_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the multiplier of polynomial hashes, and their inverses."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 20)
         for i, base in enumerate((int(_ODD), pow(int(_ODD), -1, 2**64))):
@@ -76,7 +77,7 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash_slices(text_bytes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    power, inverse = _pow(len(text_bytes) + 1)
+    power, inverse = hash_powers(len(text_bytes) + 1)
     run = np.empty(len(text_bytes) + 1, dtype=np.uint64)
     run[0] = 0
     np.cumsum(_letters()[text_bytes] * power[: len(text_bytes)], out=run[1:])

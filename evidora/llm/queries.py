@@ -81,10 +81,29 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("page_id", "page", F.inline("pieces"))
 
 
+def p7_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts put together again from their pieces: nothing is lost, nothing is too long."""
+    from evidora.llm.splitting import rebuilt
+
+    return rebuilt(table(spark, sf_dir, "pages"), limit(spark, sf_dir, "piece_chars"), limit(spark, sf_dir, "piece_overlap_chars"), "page_id")
+
+
+def tokenizer(spark: SparkSession) -> str:
+    """The vocabulary file named by the setting evidora.tokenizer, or the public one of this installation."""
+    return spark.conf.get("evidora.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidora.llm.containers import packed
 
-    return packed(table(spark, sf_dir, "documents"), limit(spark, sf_dir, "container_tokens"))
+    return packed(table(spark, sf_dir, "documents"), limit(spark, sf_dir, "container_tokens"), tokenizer(spark))
+
+
+def p8_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p8_containers, with containers that hold items of several buckets."""
+    from evidora.llm.containers import packed
+
+    return packed(table(spark, sf_dir, "documents"), limit(spark, sf_dir, "container_tokens"), tokenizer(spark), combine=True)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,19 +113,34 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"), fields, limit(spark, sf_dir, "leak_words"))
 
 
+def p9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p9_found, with up to two other words between those of the item."""
+    from evidora.llm.leaks import leaked_items
+
+    fields = ["pergunta", "resposta_esperada", "trecho"]
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"), fields, limit(spark, sf_dir, "leak_words"), slack=2)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidora.llm.truncation import cut_texts
 
     return cut_texts(table(spark, sf_dir, "documents")).select("doc_id")
 
 
+def p10_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that, without a mark at their end, are a strict prefix of a longer text."""
+    from evidora.llm.truncation import prefixes_of_longer
+
+    return prefixes_of_longer(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")).select(F.col("doc").alias("doc_id"))
+
+
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidora.llm.truncation import cut_rates
 
     return cut_rates(table(spark, sf_dir, "documents"), F.col("source"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_text, p4_found, p4_groups, p6_found, p7_found, p7_pieces, p8_containers, p9_found, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_text, p4_found, p4_groups, p6_found, p7_found, p7_pieces, p7_rebuilt, p8_containers, p8_combined, p9_found, p9_proximity, p10_found, p10_prefixes, p10_rates)}
 def _folded(column: str) -> str:
     """Folded words of a column in SQL: one-to-one decompositions as a table, vulgar fractions spelled out."""
     from evidora.functions.text import _letters
@@ -125,6 +159,7 @@ SQL: dict[str, str] = {
     "p7_found": """
         SELECT page_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: length(x))) > lim THEN 'forced' ELSE 'natural' END AS cut
         FROM pages, (SELECT amount AS lim FROM limits WHERE name = 'piece_chars') WHERE length(text) > lim""",
+    "p7_rebuilt": "SELECT page_id, md5(text) AS text_md5, true AS fits FROM pages WHERE text <> ''",
     "p4_found": f"""
         WITH s AS (SELECT DISTINCT * FROM ({_WINDOWS.format(id='doc_id', n=3, rows=_DOC_WORDS)})), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
         j AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)
@@ -139,4 +174,13 @@ SQL: dict[str, str] = {
         SELECT c.doc_id, class_id, group_id, coalesce(links, 0) AS links FROM c JOIN g ON g.id = class_id LEFT JOIN k ON k.a = class_id""",
     "p9_found": f"""
         SELECT DISTINCT d.doc_id, i.item_id FROM ({_WINDOWS.format(id='doc_id', n=10, rows=_DOC_WORDS)}) d JOIN ({_WINDOWS.format(id='item_id', n=10, rows=_ITEM_WORDS)}) i ON d.s = i.s""",
+    "p10_prefixes": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(text, '(…|\.\.\.|\[…\]|\[\.\.\.\]|\(…\)|\(\.\.\.\)|-|[ \t\n\r\f\v])+$', '') AS t FROM documents)
+        SELECT doc_id FROM t WHERE t <> '' AND EXISTS (SELECT 1 FROM t u WHERE starts_with(u.t, t.t) AND length(u.t) > length(t.t))""",
+    "p9_proximity": f"""
+        WITH d AS ({_DOC_WORDS}), i AS ({_ITEM_WORDS}), w0 AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: w[i:i + 9])) AS w FROM i WHERE len(w) >= 10),
+        w AS (SELECT *, w[1] AS a, w[10] AS z FROM w0), t AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+        c AS (SELECT DISTINCT x.doc_id, w.item_id, w.w, x.p, y.p AS q FROM w JOIN t x ON x.t = w.a JOIN t y ON y.doc_id = x.doc_id AND y.t = w.z AND y.p BETWEEN x.p + 9 AND x.p + 11),
+        s AS (SELECT c.doc_id, item_id, c.w, d.w[p:q] AS x FROM c JOIN d USING (doc_id))
+        SELECT DISTINCT doc_id, item_id FROM s WHERE list_reduce(list_prepend('0', x), lambda k, v: CASE WHEN w[CAST(k AS INTEGER) + 1] = v THEN CAST(CAST(k AS INTEGER) + 1 AS VARCHAR) ELSE k END) = '10'""",
 }

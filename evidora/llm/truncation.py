@@ -1,10 +1,16 @@
 """Texts cut before their end.
 
-Two kinds of evidence.  Sorted values: a text that is a strict prefix of another distinct text stands directly before such
-a text in sorted order, so one range-partitioned sort and a look at the next row find every prefix; if the copy goes on
-within a word or number the shorter one was cut.  Endings: most cut texts have no longer copy, so the way a text ends is
-compared with how lines end elsewhere in the collection: a last line without a sentence end is whole if its pattern (list
-entry, table row, source line, heading) also closes lines inside other texts.
+The method is a self-join by prefix: of sorted values, one that is a strict prefix of another stands directly before such a
+one, so one range-partitioned sort and a look at the next value find every prefix.  It is applied twice.
+
+* Whole texts: a text that is a strict prefix of a longer one was cut if the longer one goes on within a word or number.  Texts
+  meet under the hash of their first 1, 2, 4 ... 256, 512, 768 ... characters: a text is asked under the longest of these it
+  has, and what is sorted is the rest up to the next one.  Whole texts never move, and only keys that some text asks for.
+* Last words: a text ends inside a word if its last two words are no words of any other text, but a strict prefix of two.
+
+Most cut texts have no longer copy, and those cut between two words share no words with another text.  The way a text ends is
+therefore also compared with how lines end elsewhere in the collection: a last line without a sentence end is whole if its
+pattern (list entry, table row, source line, heading) also closes lines inside other texts.  `evidence` keeps the three apart.
 """
 
 from __future__ import annotations
@@ -14,15 +20,21 @@ from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evidora.llm.folding import hash_powers, mix
 from evidora.scratch import stored
 
 #: Marks that may be left at a cut.
-MARK = r"(?:…|\.\.\.|\[…\]|\[\.\.\.\]|\(…\)|\(\.\.\.\)|-|\s)+\z"
+MARKS = (" ", "\n", "\t", "\r", "\f", "\v", "…", "...", "[…]", "[...]", "(…)", "(...)", "-")
+#: Characters between two places where prefixes are hashed, and keys of the filter of keys asked for: a bound, 8 MB.
+STEP, FILTER_LOG = 256, 20
+#: Word pairs a task holds before they are sent.
+PAIRS = 500_000
 _MARK = re.compile(r"(?:…|\.{2,}|\[…\]|\[\.\.\.\]|\(…\)|\(\.\.\.\)|\s)+\Z")
 _SENTENCE = re.compile(r"[.!?][\"”’»)\]]*\Z")
 _BARE = re.compile(r"(?:^|\s)(\d{1,3}[.]|[^\W\d_][.])\Z")
@@ -131,67 +143,172 @@ def text_endings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return open_ends, last.join(inside, "key", "left").fillna(0)
 
 
-def _trimmed(docs: DataFrame) -> DataFrame:
-    """(doc, text) without the mark at the end; only texts whose last five characters end with one are searched for it."""
-    text = F.when(F.right("text", F.lit(5)).rlike(MARK), F.regexp_replace("text", MARK, "")).otherwise(F.col("text"))
-    return docs.where("text <> ''").select("doc", text.alias("text"))
+def bare(text: str) -> str:
+    """The text without marks at its end."""
+    n = len(text)
+    while n:
+        for m in MARKS:
+            if n >= len(m) and text.startswith(m, n - len(m)):
+                n -= len(m)
+                break
+        else:
+            break
+    return text[:n]
 
 
-def with_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc) of all texts that, without a mark at their end, equal one of those found.
+def _places(n: int) -> list[int]:
+    """Lengths of the prefixes under which a text of n characters stands; it is asked under the last."""
+    return [1 << k for k in range(9) if 1 << k <= n] + list(range(2 * STEP, n + 1, STEP))
 
-    Texts are compared by their SHA-256, so that a group of copies, however large, moves 40 bytes a member.
-    """
-    same = stored(_trimmed(docs).select("doc", F.unhex(F.sha2("text", 256)).alias("same")), "same")
-    wanted = same.join(found.select("doc"), "doc", "left_semi").select("same").distinct()
-    return same.join(wanted, "same", "left_semi").select("doc")
 
+def _keys(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(number of the text, lengths, hashes of its prefixes of these lengths, hash of the whole) of each text that is not empty."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    power, inverse = hash_powers(len(codes) + 1)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes + np.uint64(0x51)) * power[: len(codes)], dtype=np.uint64)])
+    begin = 0
+    for i, t in enumerate(texts):
+        if t:
+            at = np.array([*_places(len(t)), len(t)])
+            h = mix((run[begin + at] - run[begin]) * inverse[begin] + at.astype(np.uint64)).view(np.int64)
+            yield i, at[:-1], h[:-1], int(h[-1])
+        begin += len(t)
 
-def prefixes_of_longer(docs: DataFrame) -> DataFrame:
-    """(doc, longer, goes_on) of each text that, without a mark at its end, is a strict prefix of another text.
 
-    goes_on: the longer text continues within a word or number.  Of equal texts the smallest id stands for the others.
+def _bare_texts(b: pa.RecordBatch, size: int = 256) -> Iterator[tuple[list[int], list[str]]]:
+    for i in range(0, b.num_rows, size):
+        part = b.slice(i, size)
+        yield part.column("doc").to_pylist(), [bare(t or "") for t in part.column("text").to_pylist()]
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, whole, asked) of each distinct text of a batch."""
+    for b in batches:
+        for _, texts in _bare_texts(b):
+            rows = [(h, np.full(len(h), whole), np.arange(len(h)) == len(h) - 1) for _, _, h, whole in _keys(list(dict.fromkeys(texts)))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["key", "whole", "asked"])
+
+
+def _tails(live):
+    """(doc, key, tail, asked): what follows a prefix that may be asked for, up to a character beyond the next length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = live.value
+        for b in batches:
+            for docs, texts in _bare_texts(b):
+                out = []
+                for i, at, h, _ in _keys(texts):
+                    for k in np.flatnonzero(there[h.view(np.uint64) >> np.uint64(64 - FILTER_LOG)]).tolist():
+                        n = int(at[k])
+                        out.append((docs[i], int(h[k]), texts[i][n : min(2 * n, n + STEP) + 1], k == len(at) - 1))
+                cols = list(zip(*out, strict=True)) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["doc", "key", "tail", "asked"])
+
+    return run
+
+
+def strict_prefixes(values: DataFrame) -> DataFrame:
+    """(key, value, following) of the distinct values (key, value) that are strict prefixes of another value of their key.
+
+    following: the characters of the next such value after the prefix.  A key of any size is spread over tasks by the sort.
     """
-    distinct = _trimmed(docs).groupBy("text").agg(F.min("doc").alias("doc"))
-    ordered = distinct.repartitionByRange(F.col("text")).sortWithinPartitions("text")
+    ordered = values.select("key", "value").distinct().repartitionByRange("key", "value").sortWithinPartitions("key", "value")
+    names = ["key", "value", "following", "edge"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32()]
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, str] | None = None
-        edge: list[tuple[int, str]] = []
-        names = ["doc", "longer", "goes_on", "edge"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+        first: tuple[int, str] | None = None
         for b in batches:
             out = []
-            for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if last is None:
-                    edge.append((doc, text))
-                elif text.startswith(last[1]):
-                    out.append((last[0], doc, _goes_on(last[1], text), None))
-                last = (doc, text)
+            for key, value in zip(b.column("key").to_pylist(), b.column("value").to_pylist(), strict=True):
+                first = first or (key, value)
+                if last and last[0] == key and value.startswith(last[1]):
+                    out.append((*last, value[len(last[1]) :], None))
+                last = (key, value)
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-        if last:
-            edge.append(last)
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in edge], pa.int64()), pa.array([None] * len(edge), pa.int64()), pa.array([None] * len(edge), pa.bool_()), pa.array([t for _, t in edge])], names=names)
+        if first:
+            edges = [(*first, None, 0), (*last, None, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*edges, strict=True), kinds, strict=True)], names=names)
 
-    found = stored(_map(ordered, steps, "doc long, longer long, goes_on boolean, edge string"), "prefixes")
-    edges = found.where("edge is not null").select("doc", "edge")  # first and last text of each partition
-    seam = Window.orderBy("edge", "doc")
-    met = edges.distinct().select("doc", "edge", F.lead("doc").over(seam).alias("longer"), F.lead("edge").over(seam).alias("next"))
-    goes = F.substring("next", F.length("edge") + 1, 1).rlike("[\\p{L}\\p{N}]") & (F.col("edge").rlike("[\\p{L}\\p{N}]\\z") | F.substring("next", F.length("edge") + 1, 1).rlike("[0-9]"))
-    across = met.where(F.col("next").startswith(F.col("edge")) & (F.col("next") != F.col("edge"))).select("doc", "longer", goes.alias("goes_on"))
-    return found.where("edge is null").select("doc", "longer", "goes_on").union(across).distinct()
+    found = stored(_map(ordered, steps, "key long, value string, following string, edge int"), "prefixes")
+    seam = Window.orderBy("key", "value", "edge")  # the first and the last value of each task
+    met = found.where("edge is not null").select("key", "value", "edge", F.lead("key").over(seam).alias("k"), F.lead("value").over(seam).alias("v"))
+    across = met.where((F.col("edge") == 1) & (F.col("k") == F.col("key")) & F.col("v").startswith(F.col("value")) & (F.col("v") != F.col("value")))
+    across = across.select("key", "value", F.expr("substring(v, length(value) + 1)").alias("following"))
+    return found.where("edge is null").select("key", "value", "following").union(across)
 
 
-def _goes_on(short: str, long: str) -> bool:
-    a, b = short[-1], long[len(short)]
-    return b.isalnum() and (a.isalnum() or (a in ".," and b.isdigit()))
+def prefixes_of_longer(docs: DataFrame) -> DataFrame:
+    """(doc, goes_on) of each text that, without a mark at its end, is a strict prefix of another text; of equal texts all.
+
+    goes_on: the longer text continues within a word or number.  Prefixes are compared by 64-bit hashes, rests as they are.
+    """
+    keys = docs.mapInArrow(_asked, "key long, whole long, asked boolean").groupBy("key").agg(F.max("asked").alias("asked"), F.min("whole").alias("a"), F.max("whole").alias("b"))
+    live = stored(keys.where("asked and a <> b").select("key"), "live")
+    there = np.zeros(1 << FILTER_LOG, dtype=bool)
+    slots = live.select(F.shiftrightunsigned("key", 64 - FILTER_LOG).alias("slot")).distinct().toArrow().column("slot").to_numpy()
+    there[slots] = True
+    shared = docs.sparkSession.sparkContext.broadcast(there)
+    tails = stored(docs.mapInArrow(_tails(shared), "doc long, key long, tail string, asked boolean").join(live, "key", "left_semi"), "tails")
+    found = strict_prefixes(tails.select("key", F.col("tail").alias("value")))
+    rows = tails.where("asked").select("doc", "key", F.col("tail").alias("value")).join(found, ["key", "value"])
+    ends = docs.join(rows.select("doc"), "doc", "left_semi").mapInArrow(_last_characters, "doc long, last string")
+    inside = F.substring("following", 1, 1).rlike(r"[\p{L}\p{N}]") & (F.col("last").rlike(r"[\p{L}\p{N}]") | F.substring("following", 1, 1).rlike(r"\p{Nd}") & F.col("last").isin(".", ","))
+    return rows.join(ends, "doc").groupBy("doc").agg(F.max(inside).alias("goes_on"))
+
+
+def _last_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for docs, texts in _bare_texts(b):
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([t[-1:] for t in texts], pa.string())], names=["doc", "last"])
+
+
+_WORDS = re.compile(r"[^\W_]+")
+
+
+def cut_words(docs: DataFrame) -> DataFrame:
+    """(doc) of the texts whose last two words stand nowhere inside a text, but are a strict prefix of two words that do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["doc", "before", "word"], (pa.int64(), pa.string(), pa.string())
+        known: set[tuple[str, str]] = set()
+
+        def send(rows):
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+        for b in batches:
+            ends = []
+            for docs, texts in _bare_texts(b):
+                for doc, text in zip(docs, texts, strict=True):
+                    words = _WORDS.findall(text.lower())
+                    if len(words) > 1 and text[-1:].isalnum():
+                        ends.append((doc, words[-2], words[-1]))
+                    known.update(zip(words, words[1:-1], strict=False))
+            yield send(ends)
+            if len(known) > PAIRS:
+                yield send([(None, *x) for x in known])
+                known.clear()
+        yield send([(None, *x) for x in known])
+
+    pairs = stored(_map(docs, run, "doc long, before string, word string"), "pairs")
+    key = F.xxhash64("before").alias("key")
+    inside = pairs.where("doc is null").select(key, F.col("word").alias("value")).distinct()
+    ends = pairs.where("doc is not null").select("doc", key, F.col("word").alias("value"))
+    new = ends.select("key", "value").distinct().join(inside, ["key", "value"], "left_anti")
+    asked = inside.join(new.select("key").distinct(), "key", "left_semi")  # words that follow a word before a new last word
+    found = strict_prefixes(asked.union(new)).select("key", "value").join(new, ["key", "value"], "left_semi")
+    return ends.join(found, ["key", "value"], "left_semi").select("doc")
 
 
 def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, evidence) of the texts that were cut: `ending`, or `prefix` for those known only by a longer copy.
+    """(id, evidence) of the texts that were cut.
 
-    Null and empty texts were not cut.  A text that ends with a sentence counts only if a longer copy goes on within the word.
+    evidence: `text` for those that a longer copy goes on within a word, `words` for those whose last two words are a strict
+    prefix of two words elsewhere, `ending` for those known only by the way they end.  Null and empty texts were not cut.  A text that ends with a sentence counts only if a longer copy goes on within the word.
     Copies of a text have one vote on how its kind of line ends; a kind of fewer than REPEATS distinct texts is judged by documents.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -206,12 +323,18 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     often = F.when(F.col("all") >= REPEATS, by_text).otherwise(by_docs)
     whole = repeats.join(kinds, "kind", "left").where((F.col("inside") > 0) | F.coalesce(often, F.lit(False))).select("key")
     ending = open_ends.join(whole, "key", "left_anti").select("doc", F.lit("ending").alias("evidence"))
-    prefix = with_copies(docs, prefixes_of_longer(docs).where("goes_on")).select("doc", F.lit("prefix").alias("evidence"))
-    return ending.union(prefix).groupBy(F.col("doc").alias(id_col)).agg(F.min("evidence").alias("evidence"))
+    ending = stored(ending, "cut")
+    words = cut_words(docs).join(ending.select("doc"), "doc", "left_semi").select("doc", F.lit("words"))
+    longer = prefixes_of_longer(docs).where("goes_on").select("doc", F.lit("text"))
+    best = F.when(F.array_contains("all", "text"), "text").when(F.array_contains("all", "words"), "words").otherwise("ending")
+    found = ending.union(words).union(longer).groupBy(F.col("doc").alias(id_col)).agg(F.collect_set("evidence").alias("all"))
+    return found.select(id_col, best.alias("evidence"))
 
 
 def cut_rates(docs: DataFrame, source: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(source, documents, cut, share): how often each source cuts; a null source is one of its own."""
+    """(source, documents, cut, by_text, by_words, by_ending, share): how often each source cuts, and by which evidence; a null source
+    is one of its own."""
     cut = cut_texts(docs, id_col, text_col)
     rows = docs.select(source.alias("source"), id_col).join(cut, id_col, "left")
-    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count("evidence").alias("cut"), F.round(F.count("evidence") / F.count("*"), 6).alias("share"))
+    by = [F.count_if(F.coalesce(F.col("evidence") == x, F.lit(False))).alias(f"by_{x}") for x in ("text", "words", "ending")]
+    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count("evidence").alias("cut"), *by, F.round(F.count("evidence") / F.count("*"), 6).alias("share"))
