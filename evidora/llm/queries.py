@@ -67,6 +67,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(table(spark, sf_dir, "chunk_vectors"), limit(spark, sf_dir, "neighbours_k"), limit(spark, sf_dir, "neighbour_floor_percent") / 100)
 
 
+def p6_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The k nearest vectors of those whose id is divisible by 100, by brute force, and whether the graph finds nine tenths of them."""
+    from evidora.llm.vector_graph import nearest_vectors, valid_vectors
+    from evidora.operators.ranking import cosine_topk
+
+    k, floor = limit(spark, sf_dir, "neighbours_k"), limit(spark, sf_dir, "neighbour_floor_percent") / 100
+    v = table(spark, sf_dir, "chunk_vectors")
+    valid = valid_vectors(v, "vec_id", "vector", 64)
+    exact = cosine_topk(valid.where("id % 100 = 0"), valid, k, "id", "v").where(F.col("score") >= floor)
+    found = nearest_vectors(v, k, floor).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("neighbour").alias("id"), F.lit(1).alias("found"))
+    both = exact.select("query_id", "id").join(found, ["query_id", "id"], "left")
+    return both.agg(F.count("*").alias("neighbours"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidora.llm.splitting import oversized
 
@@ -140,7 +154,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_rates(table(spark, sf_dir, "documents"), F.col("source"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_text, p4_found, p4_groups, p6_found, p7_found, p7_pieces, p7_rebuilt, p8_containers, p8_combined, p9_found, p9_proximity, p10_found, p10_prefixes, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_text, p4_found, p4_groups, p6_found, p6_recall, p7_found, p7_pieces, p7_rebuilt, p8_containers, p8_combined, p9_found, p9_proximity, p10_found, p10_prefixes, p10_rates)}
 def _folded(column: str) -> str:
     """Folded words of a column in SQL: one-to-one decompositions as a table, vulgar fractions spelled out."""
     from evidora.functions.text import _letters
@@ -177,6 +191,11 @@ SQL: dict[str, str] = {
     "p10_prefixes": r"""
         WITH t AS (SELECT doc_id, regexp_replace(text, '(…|\.\.\.|\[…\]|\[\.\.\.\]|\(…\)|\(\.\.\.\)|-|[ \t\n\r\f\v])+$', '') AS t FROM documents)
         SELECT doc_id FROM t WHERE t <> '' AND EXISTS (SELECT 1 FROM t u WHERE starts_with(u.t, t.t) AND length(u.t) > length(t.t))""",
+    "p6_recall": """
+        WITH v AS (SELECT vec_id AS id, CAST(vector AS DOUBLE[]) AS v FROM chunk_vectors WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+        c AS (SELECT a.id AS q, b.id, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+        k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS n FROM c)
+        SELECT count(*) AS neighbours, true AS enough FROM k, (SELECT amount AS most FROM limits WHERE name = 'neighbours_k'), (SELECT amount AS least FROM limits WHERE name = 'neighbour_floor_percent') WHERE n <= most AND s >= least / 100""",
     "p9_proximity": f"""
         WITH d AS ({_DOC_WORDS}), i AS ({_ITEM_WORDS}), w0 AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: w[i:i + 9])) AS w FROM i WHERE len(w) >= 10),
         w AS (SELECT *, w[1] AS a, w[10] AS z FROM w0), t AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),

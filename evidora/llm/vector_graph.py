@@ -1,8 +1,8 @@
 """The most similar vectors of every vector, by robust-pruned directed graphs over shards.
 
 A bounded sample places centres; every vector is indexed in the shard of its nearest centre, and queried there and in the
-shards of centres almost as near.  A shard that is still too large is divided at random, and queries of a crowded shard
-into blocks, so that a task never holds more than about SHARD base vectors and BLOCK queries.  In a task, two rounds of
+shards of centres almost as near.  A shard that is still too large is divided at random, and the queries that reach a shard,
+which are counted first, into blocks, so that a task never holds more than about SHARD base vectors and BLOCK queries.  In a task, two rounds of
 beam searches propose neighbours (the first over random edges), relaxed distance pruning keeps diverse ones, and a last
 beam search answers the queries.  Cosines of the answers are computed in double precision.
 
@@ -23,8 +23,8 @@ from evidora.llm.folding import mix
 
 #: Vectors a cell and most base vectors and queries of a task.
 CELL, SHARD, BLOCK = 512, 4096, 16384
-#: Vectors of the sample per centre, and most of the sample: its bound.
-PER_CENTRE, SAMPLE = 16, 262_144
+#: Vectors of the sample per centre, and most of the sample: its bound, 32 MB of single floats.
+PER_CENTRE, SAMPLE = 8, 131_072
 #: Cosine by which a centre may be farther than the nearest and still be probed.
 MARGIN = 0.12
 DEGREE, BEAM, WIDTH, RELAX, SEEDS = 16, 24, 4, 1.2, 256
@@ -185,26 +185,33 @@ def nearest_vectors(df: DataFrame, k: int, floor: float, id_col: str = "vec_id",
     vectors = valid_vectors(df, id_col, vector_col, dim)
     n = vectors.count()
     count = max(1, min(SAMPLE // PER_CENTRE, round(n / CELL)))
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(max(256, count * PER_CENTRE)).select("v").toArrow()
+    # the vectors with the least hashes, by a threshold: a map, about as many as wanted
+    share = min(1.0, max(256, count * PER_CENTRE) / max(n, 1))
+    sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40))).select("v").toArrow()
     sample = unit_rows(_matrix(sample.column("v"), dim)).astype(np.float32) if sample.num_rows else np.eye(1, dim, dtype=np.float32)
     shared = spark.sparkContext.broadcast(centres_of(sample, count))
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u = unit_rows(_matrix(b.column("v"), dim)).astype(np.float32)
-            cell, size = np.unique((u @ shared.value.T).argmax(axis=1), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(size.astype(np.int64))], names=["cell", "size"])
+            if not b.num_rows:
+                continue
+            near = unit_rows(_matrix(b.column("v"), dim)).astype(np.float32) @ shared.value.T
+            k = near.shape[1]
+            size = np.bincount(near.argmax(axis=1), minlength=k)
+            asks = (near >= near.max(axis=1, keepdims=True) - MARGIN).sum(axis=0)
+            cell = np.flatnonzero(asks)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, size[cell], asks[cell])], names=["cell", "size", "asks"])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = _classes(_matrix(b.column("v"), dim)).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())], names=["id", "hi", "lo"])
 
-    sizes = np.zeros(len(shared.value), dtype=np.int64)
-    for r in vectors.mapInArrow(homes, "cell long, size long").groupBy("cell").agg(F.sum("size").alias("n")).collect():
-        sizes[r["cell"]] = r["n"]
+    sizes, reach = np.zeros(len(shared.value), dtype=np.int64), np.zeros(len(shared.value), dtype=np.int64)
+    for r in vectors.mapInArrow(homes, "cell long, size long, asks long").groupBy("cell").agg(F.sum("size").alias("n"), F.sum("asks").alias("asks")).collect():  # a row a centre
+        sizes[r["cell"]], reach[r["cell"]] = r["n"], r["asks"]
     parts = np.maximum(1, -(-sizes // SHARD))
-    blocks = np.maximum(1, -(-sizes // BLOCK))
+    blocks = np.maximum(1, -(-reach // BLOCK))
     plan = spark.sparkContext.broadcast((parts, blocks))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
