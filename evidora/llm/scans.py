@@ -3,15 +3,20 @@
 Page furniture is decided per file from aggregates (lines that recur at the top of its pages, numbers that run with the
 pages), so a file of any size is never gathered in one task.  Words misread are corrected against the vocabulary of the
 collection: each is a Levenshtein automaton of distance two that is intersected with tries of the vocabulary, which finds
-every candidate; a table of confusions of shapes and the frequencies in the file and the collection rank them.
+every candidate.  Candidates are ranked by confusions of shapes, then by how often they follow the word before, then by their
+frequency.  One that no confusion of the table explains is taken too if the context speaks for it and the word as read stands
+in no page that was not scanned.  Numbers are an open class that no vocabulary holds: letters in them are read as the digits
+they look like.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,15 +30,19 @@ DIVIDERS = "¬\u00ad-"
 #: Shapes that scanning confuses, as read and as printed; fixed values of the data description's kind of noise.
 CONFUSED = (("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("0", "o"), ("c", "e"), ("e", "c"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("li", "h"), ("6", "b"), ("9", "g"), ("5", "s"), ("8", "b"), ("vv", "w"), ("ri", "n"), ("in", "m"), ("u", "ii"), ("m", "rn"), ("d", "cl"), ("h", "li"), ("n", "ri"), ("nn", "rm"), ("6", "ó"))
 IN_NUMBERS = str.maketrans("OolIiSsBbZzgq", "0011155862299")
-#: A correction must be so many times as frequent as what was read, and occur so often.
-TIMES, LEAST = 8, 3
-TRIE = 20_000
+#: A correction must be so many times as frequent as what was read, in the collection or after the word before.
+TIMES = 8
+#: Words of a trie, and words looked up in it by one task; cost of edits that no confusion explains, letters a word with one or two of them must have.
+TRIE, ASKED, OTHER, SHORT = 20_000, 500, 10, (5, 9)
+#: Slots of the filter of words with candidates.
+FILTER_LOG = 20
 
 _NUMBER = re.compile(r"\d{1,3}(?:\.\d{3})+(?:,\d+)?%?|\d+,\d+%?|\d{1,3}%?|(?:19|20)\d\d|\d[ºª]")
 _NUMERIC = re.compile(r"[\dOolIiSsBbZzgq.,]*[\dOolIiSsBbZzgq][%ºª]?")
 _DIGIT = r"[0-9OolI]"
 _PAGE_NO = re.compile(rf"\s*(?:(?P<dash>[-–—]\s*{_DIGIT}{{1,4}}\s*[-–—])|(?P<square>\[\s*{_DIGIT}{{1,4}}\s*\])|(?P<of>(?:p\.|p[áa]g(?:ina|\.)?|fl\.)?\s*{_DIGIT}{{1,4}}\s*(?:/|de)\s*{_DIGIT}{{1,4}})|(?P<page>(?:p\.|p[áa]g(?:ina|\.)?|fl\.)\s*{_DIGIT}{{1,4}})|(?P<plain>\d{{1,4}}))\s*", re.I)
 _DIVIDED = re.compile(rf"([^\W\d_]+(?:-[^\W\d_]+)*)[{DIVIDERS}][ \t]*\n[ \t]*([^\W\d_][\w{DIVIDERS}]*)")
+_FRAGMENT = re.compile(rf"([^\W\d_]+(?:-[^\W\d_]+)*)[{DIVIDERS}]\Z")
 _CLITICS = {"se", "lhe", "lhes", "lo", "la", "los", "las", "me", "te", "nos", "vos", "o", "a", "os", "as"}
 
 
@@ -136,49 +145,46 @@ def _words_of(lines: list[str]) -> Iterator[str]:
         yield from words
 
 
-def _count(rows):
-    n: Counter[str] = Counter()
-    for r in rows:
-        for w in _words_of(_body(r["text"], r["header"], r["number"])):
-            w = w.strip(EDGES).lower()
-            if w and len(w) <= 64:
-                n[w] += 1
-    yield from n.items()
-
+_WORDS_SCHEMA = "before string, word string, n long, clean long, page_id long, file string, page long, place string, left string, right string"
 
-def vocabulary(pages: DataFrame) -> DataFrame:
-    """(word, n): undivided words of the bodies of all pages, lower case."""
-    counts = pages.mapInArrow(_rows(_count, [("word", pa.string()), ("n", pa.int64())]), "word string, n long")
-    return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
-
-def _divisions(rows):
-    """Words divided within the page, the fragment at its end, and the first word of its body."""
+def _words_and_divisions(rows):
+    """Pairs of consecutive words with their counts, and of scanned pages the divided words, the fragment at the end, the first word."""
+    n: Counter[tuple[str, str]] = Counter()
+    clean: Counter[tuple[str, str]] = Counter()
     for r in rows:
-        lines = [x.rstrip() for x in _body(r["text"], r["header"], r["number"])]
-        text = "\n".join(lines).strip()
+        body = _body(r["text"], r["header"], r["number"])
+        words = [x for w in _words_of(body) if (x := w.strip(EDGES).lower())]
+        (n if r["scanned"] else clean).update(zip(["", *words], words, strict=False))
+        if not r["scanned"]:
+            continue
+        text = "\n".join(x.rstrip() for x in body).strip()
         at = 0
         while m := _DIVIDED.search(text, at):
-            yield (r["page_id"], r["file"], r["page"], "inside", m[1], m[2].rstrip(DIVIDERS))
+            yield (None, None, None, None, r["page_id"], r["file"], r["page"], "inside", m[1], m[2].rstrip(DIVIDERS))
             at = m.start(2)
-        if m := re.search(rf"([^\W\d_]+(?:-[^\W\d_]+)*)[{DIVIDERS}]\Z", text):
-            yield (r["page_id"], r["file"], r["page"], "end", m[1], None)
-        if m := re.match(rf"([^\W\d_][\w-]*)", text):
-            yield (r["page_id"], r["file"], r["page"], "begin", None, m[1].rstrip(DIVIDERS))
-
-
-def divided_words(pages: DataFrame, words: DataFrame) -> DataFrame:
-    """(page_id, file, place, left, right, whole): every divided word of scanned pages as one word, with its own hyphen if it has one."""
-    kinds = [("page_id", pa.int64()), ("file", pa.string()), ("page", pa.int64()), ("place", pa.string()), ("left", pa.string()), ("right", pa.string())]
-    found = pages.mapInArrow(_rows(_divisions, kinds), "page_id long, file string, page long, place string, left string, right string")
+        if m := _FRAGMENT.search(text[-200:]):
+            yield (None, None, None, None, r["page_id"], r["file"], r["page"], "end", m[1], None)
+        if m := re.match(r"([^\W\d_][\w-]*)", text):
+            yield (None, None, None, None, r["page_id"], r["file"], r["page"], "begin", None, m[1].rstrip(DIVIDERS))
+    for (a, b), k in n.items():
+        yield (a, b, k, 0, *(None,) * 6)
+    for (a, b), k in clean.items():
+        yield (a, b, k, k, *(None,) * 6)
+
+
+def divided_words(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(page_id, file, page, place, left, right, whole, unknown): every divided word of scanned pages as one word, with its own hyphen
+    if it has one.  Of a page read twice the first reading begins the word that the page before ends with."""
     begins = found.where("place = 'begin'").groupBy("file", (F.col("page") - 1).alias("page")).agg(F.min_by("right", "page_id").alias("right"))
     over = found.where("place = 'end'").drop("right").join(begins, ["file", "page"])
-    both = found.where("place = 'inside'").select("page_id", "file", "place", "left", "right").union(over.select("page_id", "file", "place", "left", "right"))
+    columns = ["page_id", "file", "page", "place", "left", "right"]
+    both = found.where("place = 'inside'").select(columns).union(over.select(columns))
     both = both.withColumn("joined", F.lower(F.concat("left", "right"))).withColumn("dashed", F.lower(F.concat("left", F.lit("-"), "right")))
     for form in ("joined", "dashed"):
         both = both.join(words.select(F.col("word").alias(form), F.col("n").alias(f"n_{form}")), form, "left")
     dashed = (F.coalesce("n_dashed", F.lit(0)) > F.coalesce("n_joined", F.lit(0))) | (F.col("n_dashed").isNull() & F.col("n_joined").isNull() & F.lower("right").isin(*sorted(_CLITICS)))
-    return both.select("page_id", "file", "place", "left", "right", F.when(dashed, F.col("dashed")).otherwise(F.col("joined")).alias("whole"), (F.col("n_joined").isNull() & F.col("n_dashed").isNull()).alias("unknown"))
+    return both.select("page_id", "file", "page", "place", "left", "right", F.when(dashed, F.col("dashed")).otherwise(F.col("joined")).alias("whole"), (F.col("n_joined").isNull() & F.col("n_dashed").isNull()).alias("unknown"))
 
 
 class Trie:
@@ -240,98 +246,122 @@ def shape_cost(read: str, printed: str, most: int = 3) -> int:
     return best.get((len(read), len(printed)), most + 1)
 
 
-_SHAPES = re.compile("|".join(re.escape(a) for a, _ in CONFUSED))
+def _distance(a: str, b: str) -> int:
+    last = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        row = [i]
+        for j, d in enumerate(b, 1):
+            row.append(min(last[j - 1] + (c != d), last[j] + 1, row[-1] + 1))
+        last = row
+    return last[-1]
 
 
 def corrections(asked: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, correct, cost, n) of the distinct words of `asked` (word, n) that are confusions of a far more frequent word.
+    """(word, correct, cost, n, own) of the distinct words of `asked` (word, n): all words within two edits that were read oftener.
 
-    The vocabulary lies in tries by length, of at most about TRIE words; each word is looked up in those of its length and two
-    more or less.
+    cost: the confusions of shapes, or OTHER and the edits if those do not explain it; n and own: how often the candidate and the
+    word were read.  The vocabulary lies in tries by length, of at most about TRIE words; a task looks up ASKED words in one.
     """
-    usable = words.where((F.col("n") >= LEAST) & F.col("word").rlike(r"^[\p{L}-]{2,}$")).withColumn("len", F.length("word"))
-    sizes = usable.groupBy("len").count().collect()  # a row per length
-    parts = {r["len"]: -(-r["count"] // TRIE) for r in sizes}
+    usable = words.where((F.col("n") >= 2) & F.col("word").rlike(r"^[\p{L}-]{2,}$")).select("word", "n", F.length("word").alias("len"))
+    parts = {r["len"]: -(-r["count"] // TRIE) for r in usable.groupBy("len").count().collect()}  # a row per length
     if not parts:
-        return asked.select("word", F.col("word").alias("correct"), F.lit(0).alias("cost"), F.col("n")).limit(0)
-    many = F.create_map(*(F.lit(x) for kv in sorted(parts.items()) for x in kv))
-    shelf = usable.withColumn("part", F.pmod(F.xxhash64("word"), many[F.col("len")]).cast("int"))
+        return asked.select("word", F.col("word").alias("correct"), F.lit(0).alias("cost"), F.col("n"), F.col("n").alias("own")).limit(0)
     reach = F.filter(F.sequence(F.length("word") - 2, F.length("word") + 2), lambda x: F.array_contains(F.lit(sorted(parts)), x))
-    looked = asked.select("word", "n", F.explode(reach).alias("len")).select("word", "n", "len", F.explode(F.sequence(F.lit(0), many[F.col("len")] - 1)).alias("part"))
-    looked = looked.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(8)).cast("int"))
-    shelf = shelf.select("word", "n", "len", "part", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("block"))
+    looked = asked.select("word", "n", F.explode(reach).alias("len"))
+    blocks = {r["len"]: -(-r["count"] // ASKED) for r in looked.groupBy("len").count().collect()}
+    if not blocks:
+        return asked.select("word", F.col("word").alias("correct"), F.lit(0).alias("cost"), F.col("n"), F.col("n").alias("own")).limit(0)
+    by_len = lambda d: F.create_map(*(F.lit(x) for kv in sorted(d.items()) for x in kv))[F.col("len")]
+    place = lambda many: F.pmod(F.xxhash64("word"), many).cast("int")
+    looked = looked.withColumn("block", place(by_len(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), (by_len(parts) - 1).cast("int"))))
+    shelf = usable.where(F.col("len").isin(*blocks)).withColumn("part", place(by_len(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), (by_len(blocks) - 1).cast("int"))))
 
     def look(asked: pd.DataFrame, shelf: pd.DataFrame) -> pd.DataFrame:
         known = dict(zip(shelf.word, shelf.n, strict=True))
-        trie = Trie(list(known))
         out = []
+        trie = Trie(list(known)) if len(asked) else None
         for word, n in zip(asked.word, asked.n, strict=True):
             for c in trie.within(word):
-                if c != word and known[c] >= TIMES * n and (cost := shape_cost(word, c)) <= 2:
-                    out.append((word, c, cost, known[c]))
-        return pd.DataFrame(out, columns=["word", "correct", "cost", "n"])
+                if known[c] <= n:
+                    continue
+                cost = shape_cost(word, c, 2)
+                if cost > 2:
+                    edits = _distance(word, c)
+                    if known[c] < TIMES * n or len(word) < SHORT[edits - 1]:
+                        continue
+                    cost = OTHER + edits
+                out.append((word, c, cost, known[c], n))
+        return pd.DataFrame(out, columns=["word", "correct", "cost", "n", "own"])
 
     keys = ["len", "part", "block"]
-    near = looked.groupBy(keys).cogroup(shelf.groupBy(keys)).applyInPandas(look, "word string, correct string, cost int, n long")
-    least = near.groupBy("word").agg(F.min("cost").alias("cost"))
-    return near.join(least, ["word", "cost"]).select("word", "correct", "cost", "n")
+    return looked.groupBy(keys).cogroup(shelf.groupBy(keys)).applyInPandas(look, "word string, correct string, cost int, n long, own long")
 
 
-def _pairs(rows):
-    n: Counter[tuple[str, str]] = Counter()
-    for r in rows:
-        before = ""
-        for w in _words_of(_body(r["text"], r["header"], r["number"])):
-            w = w.strip(EDGES).lower()
-            if w and len(w) <= 64:
-                n[before, w] += 1
-            before = w
-    yield from ((a, b, k) for (a, b), k in n.items())
-
-
-def in_context(read: DataFrame, candidates: DataFrame, laid: DataFrame) -> DataFrame:
-    """(word, before, correct): the candidate for each word after the word before it: the one seen there most often, then the
-    most frequent."""
+def in_context(read: DataFrame, candidates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(word, before, correct): the best candidate for each word after the word before it, if there is one.
+
+    Candidates are taken by confusions if they are TIMES as frequent as the word; all others only if they follow the word before
+    TIMES as often as the word itself does, and, without a confusion, if the word stands in no page that was not scanned.  Of these
+    the ones with the fewest confusions come first, then the one seen most often after the word before, then the most frequent.
+    """
     asked = read.select("word", "before").distinct()
     met = asked.join(candidates, "word")
-    several = candidates.groupBy("word").count().where("count > 1").select("word")
-    open_ = met.join(several, "word", "left_semi").select("before", "correct").distinct()
-    seen = laid.mapInArrow(_rows(_pairs, [("before", pa.string()), ("correct", pa.string()), ("times", pa.int64())]), "before string, correct string, times long")
-    times = seen.join(open_, ["before", "correct"], "left_semi").groupBy("before", "correct").agg(F.sum("times").alias("times"))
-    ranked = met.join(times, ["before", "correct"], "left")
-    return ranked.groupBy("word", "before").agg(F.max_by("correct", F.struct(F.coalesce("times", F.lit(0)), "n", "correct")).alias("correct"))
-
-
-def _body_words(rows):
-    for r in rows:
-        lines = _body(r["text"], r["header"], r["number"])
-        seen = set()
-        for k, line in enumerate(lines):
-            if not _prose(line):
-                continue
-            before = lines[k - 1].rstrip()[-1:] if k else ""
-            words = line.split()
-            if words and before and before in DIVIDERS:
-                words = words[1:]
-            if words and words[-1][-1] in DIVIDERS:
-                words = words[:-1]
-            for i, w in enumerate(words):
-                bare = w.strip(EDGES)
-                w = bare.lower()
-                if w[-1:] == "o" and w[:-1].isdigit() and i + 1 < len(words) and words[i + 1].startswith("tri"):
-                    continue  # an ordinal
-                if w == "0" and i + 1 < len(words) and words[i + 1][:1].isalpha() and words[i + 1] != "mil":
-                    w = "0 "
-                seen.add((w, bare, words[i - 1].strip(EDGES).lower() if i else ""))
-        for w, bare, before in seen:
-            if w == "0 ":
-                yield (r["page_id"], "0", "o", None, before)
-            elif _NUMERIC.fullmatch(w) and any(c.isdigit() for c in w):
-                right = bare.translate(IN_NUMBERS)  # capitals and small letters look like different digits
-                if right != bare and _NUMBER.fullmatch(right):
-                    yield (r["page_id"], w, right, None, before)
-            elif len(w) > 1 and len(w) <= 64 and _SHAPES.search(w) and any(c.isalpha() for c in w):
-                yield (r["page_id"], w, None, w, before)
+    open_ = met.select("before", F.col("correct").alias("word")).union(asked.select("before", "word")).distinct()
+    seen = pairs.join(open_, ["before", "word"], "left_semi").groupBy("before", "word").agg(F.sum("n").alias("times"), F.sum("clean").alias("clean"))
+    ranked = met.join(seen.select("before", F.col("word").alias("correct"), "times"), ["before", "correct"], "left")
+    ranked = ranked.join(seen.select("before", "word", F.col("times").alias("own_times")), ["before", "word"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("times", "own_times")})
+    often = F.col("n") >= TIMES * F.col("own")
+    backed = F.col("times") >= TIMES * F.greatest("own_times", F.lit(1))
+    taken = F.when(F.col("cost") <= 2, often | backed).otherwise(often & backed & (F.col("clean_n") == 0))
+    return ranked.where(taken).groupBy("word", "before").agg(F.min_by("correct", F.struct("cost", -F.col("times"), -F.col("n"), "correct")).alias("correct"))
+
+
+def _slot(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) >> (32 - FILTER_LOG)
+
+
+def _body_words(there):
+    """(page_id, word, correct, before) of the words that may have candidates, and of numbers with their correct form."""
+
+    def run(rows):
+        slots = there.value
+        known: dict[str, bool] = {}
+        for r in rows:
+            lines = _body(r["text"], r["header"], r["number"])
+            seen = set()
+            for k, line in enumerate(lines):
+                if not _prose(line):
+                    continue
+                before = lines[k - 1].rstrip()[-1:] if k else ""
+                words = line.split()
+                if words and before and before in DIVIDERS:
+                    words = words[1:]
+                if words and words[-1][-1] in DIVIDERS:
+                    words = words[:-1]
+                for i, w in enumerate(words):
+                    bare = w.strip(EDGES)
+                    w = bare.lower()
+                    ask = known.get(w)
+                    if ask is None:
+                        ask = known[w] = any(c.isdigit() for c in w) or bool(slots[_slot(w)])
+                    if not ask:
+                        continue
+                    if w[-1:] == "o" and w[:-1].isdigit() and i + 1 < len(words) and words[i + 1].startswith("tri"):
+                        continue  # an ordinal
+                    if w == "0" and i + 1 < len(words) and words[i + 1][:1].isalpha() and words[i + 1] != "mil":
+                        w = "0 "
+                    seen.add((w, bare, words[i - 1].strip(EDGES).lower() if i else ""))
+            for w, bare, before in seen:
+                if w == "0 ":
+                    yield (r["page_id"], "0", "o", before)
+                elif _NUMERIC.fullmatch(w) and any(c.isdigit() for c in w):
+                    right = bare.translate(IN_NUMBERS)  # capitals and small letters look like different digits
+                    if right != bare and _NUMBER.fullmatch(right):
+                        yield (r["page_id"], w, right, before)
+                elif len(w) > 1 and any(c.isalpha() for c in w):
+                    yield (r["page_id"], w, None, before)
+
+    return run
 
 
 def with_furniture(pages: DataFrame, id_col: str = "page_id", file_col: str = "source_file", page_col: str = "page", text_col: str = "text", kind_col: str = "extraction") -> DataFrame:
@@ -340,65 +370,80 @@ def with_furniture(pages: DataFrame, id_col: str = "page_id", file_col: str = "s
     return stored(base.drop("ocr").join(page_furniture(base), "page_id"), "furniture")
 
 
-def page_defects(pages: DataFrame) -> DataFrame:
-    """(page_id, defect, value) of the defects of scanned pages: hyphen, glyph, header, page_number.  Null texts have none."""
+def _misread(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scanned pages, their divided words made whole (page_id, file, page, place, left, right, whole), and corrections (page_id, word, correct)."""
     laid = with_furniture(pages)
+    found = stored(laid.mapInArrow(_rows(_words_and_divisions, _kinds(_WORDS_SCHEMA)), _WORDS_SCHEMA), "words")
+    pairs = found.where("word is not null").select("before", "word", "n", "clean")
+    words = stored(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean")), "vocabulary")
+    divided = stored(divided_words(found.where("place is not null").select("page_id", "file", "page", "place", "left", "right"), words), "divided")
+    most = words.agg(F.max("n")).first()[0] or 0
+    told = words.where((F.length("word") > 1) & F.col("word").rlike(r"\p{L}") & (F.col("n") < most) & (F.col("n") > F.col("clean"))).select("word", "n")
+    unknown = divided.where("unknown").select(F.col("whole").alias("word")).distinct().join(words.select("word"), "word", "left_anti").withColumn("n", F.lit(1).cast("long"))
+    near = corrections(stored(told.union(unknown), "asked"), words)
+    near = stored(near.join(words.select("word", F.col("clean").alias("clean_n")), "word", "left").withColumn("clean_n", F.coalesce("clean_n", F.lit(0))), "corrections")
+    there = np.zeros(1 << FILTER_LOG, dtype=bool)
+    for r in near.select(F.shiftright(F.crc32(F.col("word").cast("binary")), 32 - FILTER_LOG).alias("slot")).distinct().toLocalIterator():  # at most a row a slot
+        there[r["slot"]] = True
+    shared = pages.sparkSession.sparkContext.broadcast(there)
     scanned = laid.where("scanned")
-    words = stored(vocabulary(laid), "vocabulary")
+    schema = "page_id long, word string, correct string, before string"
+    read = stored(scanned.mapInArrow(_rows(_body_words(shared), _kinds(schema)), schema), "read")
+    placed = in_context(read.where("correct is null"), near, pairs)
+    fixes = read.where("correct is not null").select("page_id", "word", "correct").union(read.where("correct is null").drop("correct").join(placed, ["word", "before"]).select("page_id", "word", "correct"))
+    best = near.where((F.col("cost") <= 2) & (F.col("n") >= TIMES * F.col("own"))).groupBy("word").agg(F.min_by("correct", F.struct("cost", -F.col("n"), "correct")).alias("correct"))
+    whole = divided.join(best.select(F.col("word").alias("whole"), "correct"), "whole", "left").withColumn("whole", F.when(F.col("unknown"), F.coalesce("correct", "whole")).otherwise(F.col("whole")))
+    return scanned, whole.select("page_id", "file", "page", "place", "left", "right", "whole"), stored(fixes.distinct(), "fixes")
+
+
+def _kinds(schema: str) -> list[tuple[str, pa.DataType]]:
+    return [(f.split()[0], {"long": pa.int64(), "string": pa.string()}[f.split()[1]]) for f in schema.split(", ")]
+
+
+def page_defects(pages: DataFrame) -> DataFrame:
+    """(page_id, defect, value) of the defects of scanned pages: hyphen, glyph, header, page_number.  Null texts have none."""
+    scanned, divided, fixes = _misread(pages)
     lines = F.split("text", "\n")
     header = scanned.where("header >= 0").select("page_id", F.lit("header").alias("defect"), F.get(lines, F.col("header").cast("int")).alias("value"))
     number = scanned.where("number >= 0").select("page_id", F.lit("page_number").alias("defect"), F.get(lines, F.col("number").cast("int")).alias("value"))
-    divided = stored(divided_words(scanned, words), "divided")
-    kinds = [("page_id", pa.int64()), ("word", pa.string()), ("correct", pa.string()), ("ask", pa.string()), ("before", pa.string())]
-    read = stored(scanned.mapInArrow(_rows(_body_words, kinds), "page_id long, word string, correct string, ask string, before string"), "read")
-    unknown = divided.where("unknown").select(F.col("whole").alias("word"))
-    asked = read.where("ask is not null").select(F.col("ask").alias("word")).union(unknown).distinct().join(words, "word", "left").fillna(1, ["n"])
-    near = stored(corrections(asked, words), "corrections")
-    placed = in_context(read.where("ask is not null").select("word", "before"), near, laid)
-    best = near.groupBy("word").agg(F.max_by("correct", F.struct("n", "correct")).alias("correct"))
-    whole = divided.join(best.withColumnRenamed("word", "whole"), "whole", "left")
-    hyphen = whole.select("page_id", F.lit("hyphen").alias("defect"), F.coalesce("correct", "whole").alias("value"))
-    glyph = read.where("correct is not null").select("page_id", "correct").union(read.where("ask is not null").drop("correct").join(placed, ["word", "before"]).select("page_id", "correct"))
-    return header.union(number).union(hyphen).union(glyph.select("page_id", F.lit("glyph"), "correct")).distinct()
+    hyphen = divided.select("page_id", F.lit("hyphen").alias("defect"), F.col("whole").alias("value"))
+    return header.union(number).union(hyphen).union(fixes.select("page_id", F.lit("glyph"), "correct")).distinct()
 
 
 def continuous_text(pages: DataFrame) -> DataFrame:
-    """(page_id, file, page, text, continues) of scanned pages: paragraphs on one line each, without furniture, words whole and corrected.
+    """(file, page, paragraph, text) of scanned files: paragraphs on one line each, without furniture, words whole and corrected.
 
-    A word divided at the end of a page stands on the page where it begins; continues tells that the last paragraph goes on.
+    A paragraph that goes on stands on the page where it begins, with its rest from the pages after.  Of a page read twice the
+    longer text counts, then the smaller id.
     """
-    laid = with_furniture(pages)
-    words = stored(vocabulary(laid), "vocabulary")
-    laid = laid.where("scanned")
-    divided = stored(divided_words(laid, words), "divided")
-    kinds = [("page_id", pa.int64()), ("word", pa.string()), ("correct", pa.string()), ("ask", pa.string()), ("before", pa.string())]
-    read = stored(laid.mapInArrow(_rows(_body_words, kinds), "page_id long, word string, correct string, ask string, before string"), "read")
-    asked = read.where("ask is not null").select(F.col("ask").alias("word")).distinct().join(words, "word", "left").fillna(1, ["n"])
-    placed = in_context(read.where("ask is not null").select("word", "before"), stored(corrections(asked, words), "corrections"), laid)
-    fixes = read.where("correct is not null").select("page_id", "word", "correct").union(read.where("ask is not null").drop("correct").join(placed, ["word", "before"]).select("page_id", "word", "correct"))
-    fixes = fixes.groupBy("page_id", "word").agg(F.min("correct").alias("correct"))
-    fixes = fixes.groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "correct"))).alias("fixes"))
+    scanned, divided, fixes = _misread(pages)
+    once = scanned.groupBy("file", "page").agg(F.max_by("page_id", F.struct(F.length("text"), -F.col("page_id"))).alias("page_id")).select("page_id")
+    fixes = fixes.groupBy("page_id", "word").agg(F.min("correct").alias("correct")).groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "correct"))).alias("fixes"))
     joins = divided.groupBy("page_id").agg(F.collect_set(F.struct("left", "right", "whole", "place")).alias("joins"))
-    order = Window.partitionBy("file", "page").orderBy("page_id")
-    ended = divided.where("place = 'end'").join(laid.select("page_id", "page"), "page_id").groupBy("file", (F.col("page") + 1).alias("page")).agg(F.first("right").alias("taken"))
-    rows = laid.withColumn("copy", F.row_number().over(order)).join(fixes, "page_id", "left").join(joins, "page_id", "left").join(ended, ["file", "page"], "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                out.append((r["page_id"], r["file"], r["page"], *_reflow(r)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["page_id", "file", "page", "text", "continues"])
-
-    fields = rows.select("page_id", "file", "page", "text", "header", "number", "taken", F.map_entries("fixes").alias("fixes"), "joins")
-    return fields.mapInArrow(run, "page_id long, file string, page long, text string, continues boolean")
-
-
-def _reflow(r: dict) -> tuple[str, bool]:
+    ended = divided.where("place = 'end'").join(once, "page_id", "left_semi").groupBy("file", (F.col("page") + 1).alias("page")).agg(F.min("right").alias("taken"))
+    rows = scanned.join(once, "page_id", "left_semi").join(fixes, "page_id", "left").join(joins, "page_id", "left").join(ended, ["file", "page"], "left")
+    fields = rows.select("file", "page", "text", "header", "number", "taken", F.map_entries("fixes").alias("fixes"), "joins")
+    kinds = [("file", pa.string()), ("page", pa.int64()), ("paragraphs", pa.list_(pa.string())), ("continues", pa.bool_()), ("follows", pa.bool_())]
+    flowed = stored(fields.mapInArrow(_rows(lambda rs: ((r["file"], r["page"], *_reflow(r)) for r in rs), kinds), "file string, page long, paragraphs array<string>, continues boolean, follows boolean"), "flowed")
+    # of each page: does its first paragraph go on from the page before, and where does that paragraph begin
+    marks = flowed.select("file", "page", F.size("paragraphs").alias("many"), "follows", F.lag(F.struct("page", "continues")).over(Window.partitionBy("file").orderBy("page")).alias("last"))
+    marks = marks.withColumn("joined", F.coalesce((F.col("last.page") == F.col("page") - 1) & F.col("last.continues") & F.col("follows"), F.lit(False)))
+    earlier = Window.partitionBy("file").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.last(F.when(~F.col("joined") | (F.col("many") > 1), F.struct(F.col("page").alias("page"), F.col("many").alias("at"))), ignorenulls=True).over(earlier)
+    marks = marks.select("file", "page", F.when(F.col("joined"), begins).alias("begins"))
+    each = flowed.join(marks, ["file", "page"]).select("file", "page", "begins", F.posexplode("paragraphs").alias("at", "text"))
+    there = F.when((F.col("at") == 0) & F.col("begins").isNotNull(), F.col("begins")).otherwise(F.struct(F.col("page").alias("page"), (F.col("at") + 1).alias("at")))
+    parts = each.select("file", there.alias("b"), "page", "text").groupBy("file", F.col("b.page").alias("page"), F.col("b.at").alias("paragraph")).agg(F.array_sort(F.collect_list(F.struct(F.col("page").alias("p"), "text"))).alias("parts"))
+    spaced = lambda x: F.when(x["text"].rlike("^[.,;:!?)”]"), x["text"]).otherwise(F.concat(F.lit(" "), x["text"]))
+    return parts.select("file", "page", "paragraph", F.ltrim(F.array_join(F.transform("parts", spaced), "")).alias("text"))
+
+
+def _reflow(r: dict) -> tuple[list[str], bool, bool]:
+    """Paragraphs of a page, whether the last goes on, and whether the first may go on from the page before."""
     lines = [x.rstrip() for x in _body(r["text"], r["header"], r["number"])]
     text = "\n".join(lines).strip()
-    if r["taken"] and text.startswith(r["taken"]):
+    taken = bool(r["taken"]) and text.startswith(r["taken"])
+    if taken:
         text = text[len(r["taken"]) :].lstrip()
     inside, ends = {}, {}
     for j in r["joins"] or []:
@@ -428,5 +473,6 @@ def _reflow(r: dict) -> tuple[str, bool]:
             else:
                 prose.append(line.strip())
         paragraphs.append("\n".join(prose))
-    whole = "\n\n".join(p for p in paragraphs if p)
-    return whole, bool(whole) and not re.search(r"[.!?:%\d][\"”)]*\Z", whole)
+    paragraphs = [p for p in paragraphs if p]
+    goes_on = bool(paragraphs) and not re.search(r"[.!?:%\d][\"”)]*\Z", paragraphs[-1])
+    return paragraphs, goes_on, taken or bool(paragraphs) and (paragraphs[0][:1].islower() or paragraphs[0][:1].isdigit())

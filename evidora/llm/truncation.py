@@ -143,10 +143,15 @@ def text_endings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return open_ends, last.join(inside, "key", "left").fillna(0)
 
 
+_ENDS = frozenset(m[-1] for m in MARKS)
+#: Lengths of the prefixes under which a text stands.
+_PLACES = np.array([1 << k for k in range(9)] + list(range(2 * STEP, 1 << 16, STEP)))
+
+
 def bare(text: str) -> str:
     """The text without marks at its end."""
     n = len(text)
-    while n:
+    while n and text[n - 1] in _ENDS:
         for m in MARKS:
             if n >= len(m) and text.startswith(m, n - len(m)):
                 n -= len(m)
@@ -156,23 +161,27 @@ def bare(text: str) -> str:
     return text[:n]
 
 
-def _places(n: int) -> list[int]:
-    """Lengths of the prefixes under which a text of n characters stands; it is asked under the last."""
-    return [1 << k for k in range(9) if 1 << k <= n] + list(range(2 * STEP, n + 1, STEP))
-
-
-def _keys(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(number of the text, lengths, hashes of its prefixes of these lengths, hash of the whole) of each text that is not empty."""
+def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every place of every text: number of the text, length of the prefix, its hash, and whether it is the text's last place; a
+    text is asked under its last place."""
+    sizes = np.array([len(t) for t in texts])
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     power, inverse = hash_powers(len(codes) + 1)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes + np.uint64(0x51)) * power[: len(codes)], dtype=np.uint64)])
-    begin = 0
-    for i, t in enumerate(texts):
-        if t:
-            at = np.array([*_places(len(t)), len(t)])
-            h = mix((run[begin + at] - run[begin]) * inverse[begin] + at.astype(np.uint64)).view(np.int64)
-            yield i, at[:-1], h[:-1], int(h[-1])
-        begin += len(t)
+    begin = np.cumsum(sizes) - sizes
+    places = _PLACES
+    if len(sizes) and sizes.max() >= places[-1] + STEP:
+        places = np.concatenate([places, np.arange(places[-1] + STEP, sizes.max() + 1, STEP)])
+    many = np.searchsorted(places, sizes, side="right")
+    no = np.repeat(np.arange(len(texts)), many)
+    at = places[np.arange(len(no)) - np.repeat(np.cumsum(many) - many, many)]
+    last = np.zeros(len(no), dtype=bool)
+    last[np.cumsum(many)[many > 0] - 1] = True
+    return no, at, _prefix_hash(run, inverse, begin[no], at), last
+
+
+def _prefix_hash(run: np.ndarray, inverse: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return mix((run[begin + n] - run[begin]) * inverse[begin] + n.astype(np.uint64)).view(np.int64)
 
 
 def _bare_texts(b: pa.RecordBatch, size: int = 256) -> Iterator[tuple[list[int], list[str]]]:
@@ -182,12 +191,13 @@ def _bare_texts(b: pa.RecordBatch, size: int = 256) -> Iterator[tuple[list[int],
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, whole, asked) of each distinct text of a batch."""
+    """(key, whole, asked) of each distinct text of a batch; whole tells texts apart."""
     for b in batches:
         for _, texts in _bare_texts(b):
-            rows = [(h, np.full(len(h), whole), np.arange(len(h)) == len(h) - 1) for _, _, h, whole in _keys(list(dict.fromkeys(texts)))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["key", "whole", "asked"])
+            texts = list(dict.fromkeys(texts))
+            no, _, h, last = _keys(texts)
+            whole = np.array([int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in texts], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(whole[no]), pa.array(last)], names=["key", "whole", "asked"])
 
 
 def _tails(live):
@@ -197,11 +207,11 @@ def _tails(live):
         there = live.value
         for b in batches:
             for docs, texts in _bare_texts(b):
+                no, at, h, last = _keys(texts)
                 out = []
-                for i, at, h, _ in _keys(texts):
-                    for k in np.flatnonzero(there[h.view(np.uint64) >> np.uint64(64 - FILTER_LOG)]).tolist():
-                        n = int(at[k])
-                        out.append((docs[i], int(h[k]), texts[i][n : min(2 * n, n + STEP) + 1], k == len(at) - 1))
+                for k in np.flatnonzero(there[h.view(np.uint64) >> np.uint64(64 - FILTER_LOG)]).tolist():
+                    i, n = int(no[k]), int(at[k])
+                    out.append((docs[i], int(h[k]), texts[i][n : min(2 * n, n + STEP) + 1], bool(last[k])))
                 cols = list(zip(*out, strict=True)) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["doc", "key", "tail", "asked"])
 
