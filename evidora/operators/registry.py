@@ -39,13 +39,15 @@ RELATIONS = {
 }
 #: Both ends of a part must be of the same family.
 FAMILIES = ("Territorio", "Setor")
-NEGATION = r"\b(nao|nunca|jamais|sem|tampouco)\b"
-#: "Not only" affirms.
-NOT_NEGATION = r"\bnao (so|somente|apenas)\b"
-CAUSE = r"\b(por causa d|em razao d|devido a|causad|provocad|como reflexo d|puxad|em funcao d)"
-ASSOCIATION = r"\b(associad|relacionad|correlacion|acompanh|diante d|sob influencia d)"
-UNCERTAIN = r"\b(pode|podem|poderia|talvez|provavel|estimativa|projecao|preve|previst)"
-CONDITION = r"\b(se|caso|desde que|teria|teriam)\b"
+#: What a text says about a relation, on folded text; fixed values.
+NOT_NEGATION = r"\bnao\s+(?:so|apenas|somente)\b"
+NEGATION = r"\b(?:nao|nunca|jamais)\b|\bsem\s+(?:crescimento|aumento|reducao|queda|correlacao|associacao|efeito|impacto)\b"
+CAUSE = r"\b(?:causou|causa|causar|provocou|provoca|provocar|levou a|resultou em|em decorrencia de|devido a)\b"
+ASSOCIATION = r"\b(?:correlacao|associacao|associad[oa]s?|correlacionad[oa]s?)\b"
+GREW = r"\b(?:cresceu|crescimento|aumentou|aumento|avancou|alta)\b"
+FELL = r"\b(?:recuou|recuo|diminuiu|queda|caiu|reducao)\b"
+UNCERTAIN = r"\b(?:pode|podem|poderia|talvez|possivel|provavel|estima|estimado|projecao)\b"
+CONDITION = r"(?<![-\w])se\b|\bcaso\b"
 
 
 def valid_relations(triples: DataFrame) -> DataFrame:
@@ -60,14 +62,23 @@ def valid_relations(triples: DataFrame) -> DataFrame:
     return triples.join(allowed, ["subject_type", "relation", "object_type"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
-def relation_attributes(c: Column) -> Column:
-    """Struct (polarity, kind, modality) of what a text says."""
-    t = fold(c)
-    negated = F.regexp_replace(t, NOT_NEGATION, "#").rlike(NEGATION)
+def relation_attributes(relation: Column, evidence: Column) -> Column:
+    """Struct (polarity, kind, modality, refused) of what the evidence says about a relation.
+
+    "Not only" affirms.  refused names what a causal, associative, growing or falling relation lacks in its evidence.
+    """
+    t = fold(evidence)
+    negated = F.regexp_replace(t, NOT_NEGATION, "").rlike(NEGATION)
+    causal, association = t.rlike(CAUSE), t.rlike(ASSOCIATION)
+    refused = (
+        F.when((relation == "CAUSA") & (~causal | association), "no_cause").when((relation == "ASSOCIADO_A") & ~association, "no_association")
+        .when((relation == "CRESCEU_EM") & ~t.rlike(GREW), "no_growth").when((relation == "RECUOU_EM") & ~t.rlike(FELL), "no_fall")
+    )
     return F.struct(
         F.when(negated, "negated").otherwise("affirmed").alias("polarity"),
-        F.when(t.rlike(CAUSE), "causal").when(t.rlike(ASSOCIATION), "association").otherwise("none").alias("kind"),
+        F.when(relation == "CAUSA", "causal_claim").when(relation.isin("ASSOCIADO_A", "RELACIONA_COM"), "association").otherwise("typed_relation").alias("kind"),
         F.when(t.rlike(CONDITION), "conditional").when(t.rlike(UNCERTAIN), "uncertain").otherwise("asserted").alias("modality"),
+        refused.alias("refused"),
     )
 
 
@@ -103,3 +114,27 @@ def keyword_scores(texts: DataFrame, skills: DataFrame, id_col: str, text_col: s
     points = met.groupBy("id", "x.skill", "x.priority").agg(F.sum(1 + F.length("x.keyword") - F.length(F.replace("x.keyword", F.lit(" "), F.lit("")))).alias("score"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("priority"), "skill")
     return points.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k).select("id", "skill", "score", "position")
+
+
+def canonical_entities(names: DataFrame, registry: DataFrame) -> DataFrame:
+    """Adds `entity`: the id of the only registered entity (id, type, pattern) of the same type whose pattern occurs in the name, else
+    the name itself.  The registry is a small table of the domain, sent to all tasks only while Spark finds it small."""
+    n, r = names.select("name", "type").distinct().alias("n"), registry.alias("r")
+    met = n.join(r, F.col("n.type") == F.col("r.type")).where(F.expr("regexp_like(translate(lower(n.name), 'áàâãäéêèëíìîïóôõòöúùûüç', 'aaaaaeeeeiiiiooooouuuuc'), r.pattern)"))
+    one = met.groupBy("n.name", "n.type").agg(F.min("r.id").alias("entity"), F.count("*").alias("k")).where("k = 1").drop("k")
+    return names.join(one, ["name", "type"], "left").withColumn("entity", F.coalesce("entity", "name"))
+
+
+def extension_problems(proposed: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, problem) of proposed entries (id, label, pattern, parent) of the vocabulary; null problems are fine.
+
+    In this order: id (form, or repeated in proposals or known), label, pattern (missing, or not folded), parent (not known or proposed).
+    """
+    ids = known.select("id").distinct().withColumn("registered", F.lit(True))
+    often = proposed.groupBy("id").agg(F.count("*").alias("times"))
+    parents = known.select("id").union(proposed.select("id")).distinct().select(F.col("id").alias("parent"), F.lit(True).alias("parent_known"))
+    j = proposed.join(ids, "id", "left").join(often, "id", "left").join(parents, "parent", "left")
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    bad_id = ~F.coalesce(F.col("id").rlike(r"^[a-z][a-z0-9_]{1,59}$"), F.lit(False)) | F.col("registered").isNotNull() | (F.col("times") > 1)
+    why = F.when(bad_id, "id").when(blank("label"), "label").when(blank("pattern") | (fold(F.col("pattern")) != F.col("pattern")), "pattern").when(F.col("parent").isNotNull() & F.col("parent_known").isNull(), "parent")
+    return j.select("id", why.alias("problem"))

@@ -306,9 +306,9 @@ SQL = {
     "files_by_type": f"WITH {_ONCE} SELECT source_file, count(*) FILTER (type = 'text') AS texts, count(*) FILTER (type = 'table') AS tables, count(*) FILTER (type = 'image') AS images FROM once GROUP BY 1",
     "number_format": "SELECT l_shipdate, replace(CAST(CAST(round(CAST(sum(CAST(l_quantity AS DECIMAL(20,4))) / 7 AS DECIMAL(38,10)), 2) AS DECIMAL(38,2)) AS VARCHAR), '.', ',') AS shown FROM lineitem GROUP BY 1",
     "section_titles": """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[:3] AS l FROM documents),
-        f AS (SELECT doc_id, list_filter(l, lambda x: length(x) BETWEEN 5 AND 90 AND len(regexp_split_to_array(x, '\\s+')) <= 10 AND (regexp_matches(x, '^[0-9]+(\\.[0-9]+)*\\.?\\s+\\S')
+        f AS (SELECT doc_id, list_filter(l, lambda x: length(x) BETWEEN 5 AND 90 AND len(regexp_split_to_array(x, '\\s+')) <= 10 AND (regexp_matches(x, '^\\s*([0-9]+(\\.[0-9]+)*|[IVX]+)[\\.\\-\\)]\\s+.+')
             OR (length(regexp_replace(x, '[^\\pL]', '', 'g')) > 0 AND length(regexp_replace(x, '[^\\p{Lu}]', '', 'g')) > 0.6 * length(regexp_replace(x, '[^\\pL]', '', 'g')))
-            OR (length(x) <= 60 AND regexp_matches(strip_accents(lower(x)), '^(introducao|conclusao|consideracoes|metodologia|resultados|anexo|nota|sumario)'))))[1] AS found FROM l)
+            OR (length(x) <= 60 AND regexp_matches(' ' || regexp_replace(strip_accents(lower(x)), '[^a-z0-9_]', ' ', 'g') || ' ', ' (introducao|panorama|conjuntura|mercado de trabalho|industria|comercio|servicos|agropecuaria|inflacao|pib|emprego|resultados|consideracoes) '))))[1] AS found FROM l)
         SELECT * FROM f WHERE found IS NOT NULL""",
     "periods_found": f"""WITH {_ONCE}, a AS (SELECT node_id, strip_accents(lower(text)) AS t0 FROM once WHERE type = 'text'),
         b AS (SELECT *, regexp_replace(t0, '{pe.DAY_ISO}', ' # ', 'g') AS t1 FROM a), c AS (SELECT *, regexp_replace(t1, '{pe.DAY}', ' # ', 'g') AS t2 FROM b), d AS (SELECT *, regexp_replace(t2, '{pe.MONTH_ISO}', ' # ', 'g') AS t3 FROM c),

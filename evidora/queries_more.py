@@ -15,14 +15,6 @@ from evidora.queries_corpus import _CELL, _DIMS, _LABEL_STOP, _ONCE, _facet, _li
 from evidora.queries_search import _mentioned
 from evidora.scratch import table
 
-#: (route, pattern on the folded question); fixed values of the question vocabulary.
-ROUTES = (
-    ("definitional", r"\b(defin\w*|signific\w*|dicionario|variaveis|variavel|conceit\w*|hierarq\w*|nomenclatura|classific\w*|regionaliza\w*)\b"),
-    ("value", r"\b(qual|quanto|quantos|quantas|valor|numero|taxa|percentual)\b"),
-    ("comparison", r"\b(compar\w*|diferenca|entre|variacao|cresceu|caiu)\b"),
-    ("overview", r"\b(panorama|resumo|principais|geral|tendencias?)\b"),
-    ("sources", r"\b(fontes?|documentos?|paginas?|referencias?)\b"),
-)
 SKILLS = (("mercado de trabalho", "emprego formal", 2), ("mercado de trabalho", "desocupacao", 2), ("mercado de trabalho", "postos", 2), ("contas", "produto interno bruto", 1), ("contas", "valor adicionado", 1), ("comercio", "exportacao", 1), ("comercio", "importacao", 1), ("precos", "cesta basica", 3), ("precos", "inflacao", 3))
 ENGLISH = ("the", "and", "while", "growth", "fell", "rose", "held", "costs", "abroad", "demand")
 
@@ -56,11 +48,6 @@ def relation_rules(spark, d):
     return rg.valid_relations(a).where("valid").select("subject_type", "relation", "object_type")
 
 
-def relation_polarity(spark, d):
-    n = nodes_once(spark, d).where("type = 'text'").select("node_id", rg.relation_attributes(F.col("text")).alias("r"))
-    return n.select("node_id", "r.*")
-
-
 def round_robin_sample(spark, d):
     n = nodes_once(spark, d).where("source_file is not null and type is not null")
     return rg.round_robin(n, ["source_file", "type"], ["chunk_id", "node_id"], 12).select("node_id", "turn")
@@ -71,11 +58,6 @@ def skill_scores(spark, d):
     return rg.keyword_scores(table(spark, d, "documents"), skills, "doc_id", "title")
 
 
-def question_routes(spark, d):
-    q = table(spark, d, "test_items").where("pergunta is not null").select("item_id", tx.fold(F.col("pergunta")).alias("t"))
-    return q.select("item_id", *(F.col("t").rlike(p).alias(r) for r, p in ROUTES))
-
-
 def output_quality(spark, d):
     doc = table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace("text", "[^�]", "")).alias("lost"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
     english = F.size(F.filter("w", lambda x: x.isin(*ENGLISH)))
@@ -156,7 +138,7 @@ def open_sessions(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        table_observations, narrative_observations, comparison_issues, missing_values, relation_rules, relation_polarity, round_robin_sample, skill_scores, question_routes, output_quality, vector_validity, text_segments, scope_terms,
+        table_observations, narrative_observations, comparison_issues, missing_values, relation_rules, round_robin_sample, skill_scores, output_quality, vector_validity, text_segments, scope_terms,
         parent_groups, chunk_neighbours, marker_scores, blind_labels, category_report, repeated_questions, comparison_graph, entity_communities, open_sessions,
     )
 }
@@ -190,15 +172,11 @@ SQL = {
         q1 AS (SELECT doc_id, title, unnest({_listed('indicator').rpartition(' AS ')[0]}) AS indicator FROM q0), q AS (SELECT DISTINCT doc_id, indicator, unnest(regexp_extract_all(title, '\\b(?:19|20)[0-9]{{2}}\\b')) AS period FROM q1)
         SELECT q.doc_id, q.indicator, q.period FROM q ANTI JOIN h ON h.indicator = q.indicator AND h.period = q.period""",
     "relation_rules": f"WITH c(k, o) AS (VALUES {_CLOSURE}), r(relation, a, b) AS (VALUES {_RULES}) SELECT DISTINCT x.k AS subject_type, relation, y.k AS object_type FROM r JOIN c x ON x.o = a JOIN c y ON y.o = b",
-    "relation_polarity": f"""WITH {_ONCE}, t AS (SELECT node_id, {_T.format(c='text')} AS t FROM once WHERE type = 'text') SELECT node_id, CASE WHEN regexp_matches(regexp_replace(t, '{rg.NOT_NEGATION}', '#', 'g'), '{rg.NEGATION}') THEN 'negated' ELSE 'affirmed' END AS polarity,
-        CASE WHEN regexp_matches(t, '{rg.CAUSE}') THEN 'causal' WHEN regexp_matches(t, '{rg.ASSOCIATION}') THEN 'association' ELSE 'none' END AS kind,
-        CASE WHEN regexp_matches(t, '{rg.CONDITION}') THEN 'conditional' WHEN regexp_matches(t, '{rg.UNCERTAIN}') THEN 'uncertain' ELSE 'asserted' END AS modality FROM t""",
     "round_robin_sample": f"""WITH {_ONCE}, t AS (SELECT node_id, source_file, type, row_number() OVER (PARTITION BY source_file, type ORDER BY chunk_id NULLS FIRST, node_id) AS turn FROM once WHERE source_file IS NOT NULL AND type IS NOT NULL)
         SELECT node_id, turn FROM t ORDER BY turn, source_file, type LIMIT 12""",
     "skill_scores": f"""WITH k(skill, keyword, priority) AS (VALUES {', '.join(f"('{a}', '{b}', {p})" for a, b, p in SKILLS)}), t AS (SELECT doc_id, ' ' || regexp_replace({_T.format(c='title')}, '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM documents),
         s AS (SELECT doc_id AS id, skill, priority, sum(1 + length(keyword) - length(replace(keyword, ' ', ''))) AS score FROM t JOIN k ON contains(t, ' ' || keyword || ' ') GROUP BY ALL),
         p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, priority DESC, skill) AS position FROM s) SELECT id, skill, CAST(score AS BIGINT) AS score, position FROM p WHERE position <= 2""",
-    "question_routes": f"SELECT item_id, {', '.join(f"regexp_matches({_T.format(c='pergunta')}, '{p}') AS {r}" for r, p in ROUTES)} FROM test_items WHERE pergunta IS NOT NULL",
     "output_quality": f"""WITH w AS (SELECT doc_id, length(regexp_replace(text, '[^�]', '', 'g')) AS lost, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), e AS (SELECT *, len(list_filter(w, lambda x: x IN ({', '.join(f"'{x}'" for x in ENGLISH)}))) AS english FROM w)
         SELECT doc_id, lost, english, english >= 3 AND english * 100 >= 8 * len(w) AS mixed FROM e""",
     "vector_validity": """WITH v AS (SELECT vec_id, vector, list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS n FROM chunk_vectors)

@@ -124,7 +124,7 @@ def test_union_after_shuffles_keeps_rows(spark):
 def test_text_functions(spark):
     assert one(spark, text.fold(F.col("x")), x="Ação ÍNDICE 3º") == "acao indice 3º"
     assert one(spark, text.tokens(F.col("x")), x="O CNAE 47.32-6 e o valor de 3.277,8 no Índice") == ["cnae", "47.32-6", "valor", "3.277,8", "indice"]
-    assert one(spark, text.section_title(F.col("x")), x="\n\n1.2 Produção de etanol\n\nTexto longo.") == "1.2 Produção de etanol"
+    assert one(spark, text.section_title(F.col("x")), x="\n\n1.2. Produção de etanol\n\nTexto longo.") == "1.2. Produção de etanol"
     assert one(spark, text.section_title(F.col("x")), x="texto comum que não é título algum, só prosa.") is None
     assert one(spark, text.excerpt(F.col("x"), 3, "…"), x="abcdef") == "abc…"
     cited = one(spark, text.cited_pages(F.col("x")), x="Ver [a.pdf, p. 2-4, 9] e [b.csv].")
@@ -388,9 +388,9 @@ def test_registry(spark):
 
     t = spark.createDataFrame([("Estado", "PARTE_DE", "Territorio"), ("Estado", "PARTE_DE", "Setor"), ("Indicador", "CAUSA", "Indicador"), ("Chunk", "CAUSA", "Chunk"), ("Comparacao", "APLICA_SE_A", "Municipio"), (None, "CAUSA", None)], "subject_type string, relation string, object_type string")
     assert [r.valid for r in registry.valid_relations(t).orderBy("relation", "subject_type", "object_type").collect()] == [True, False, False, True, False, True]
-    a = one(spark, registry.relation_attributes(F.col("x")), x="O frete não caiu por causa do câmbio, segundo a projeção.")
-    assert tuple(a) == ("negated", "causal", "uncertain")
-    assert one(spark, registry.relation_attributes(F.col("x")), x="Não só o frete caiu.").polarity == "affirmed"
+    said = lambda r, x: one(spark, registry.relation_attributes(F.lit(r), F.col("x")), x=x)
+    assert tuple(said("CAUSA", "O câmbio não provocou a queda, segundo a projeção.")) == ("negated", "causal_claim", "uncertain", None)
+    assert said("RECUOU_EM", "Não só o frete caiu.").polarity == "affirmed" and said("CAUSA", "O frete caiu.").refused == "no_cause"
     nodes = spark.createDataFrame([("n", "O emprego cresceu em 2020 no porto.")], "node_id string, text string")
     reply = 'Claro: {"triples": [{"subject": {"name": "emprego", "type": "Indicador"}, "relation": "CRESCEU_EM", "object": {"name": "2020", "type": "Período"}, "evidence": "emprego cresceu em 2020"}, {"subject": {"name": "x"}, "relation": "R", "object": {"name": "y"}, "evidence": "inventada aqui"}, {"subject": {"name": "saldo"}, "relation": "R", "object": {"name": "2020"}, "evidence": "emprego cresceu em 2020"}]} fim'
     got = registry.checked_triples(spark.createDataFrame([("n", reply), ("n", "nada"), ("n", None)], "node_id string, response string"), nodes)
