@@ -113,6 +113,15 @@ def test_units(spark):
     assert units.common_values(df.limit(0), reg, "node_id", F.col("c"), F.col("d"), F.col("f")).count() == 0
 
 
+def test_heading_words_are_found_without_their_accents(spark):
+    title = lambda x: one(spark, text.section_title(F.col("x")), x=x)
+    assert title("Julho de 2011: rendimento e agropecuaria\nANEXO") == "Julho de 2011: rendimento e agropecuaria"
+    assert title("6.9 Industria de transformação\nprosa") == "6.9 Industria de transformação"
+    assert title("a indústria, em 2020") == "a indústria, em 2020" and title("a industrialização de hoje") is None
+    assert title("mercado\tde trabalho hoje") == "mercado\tde trabalho hoje" and title("o subemprego de hoje") is None
+    assert title("\u00a0PIB do Acre\u00a0") == "PIB do Acre"
+
+
 def test_union_after_shuffles_keeps_rows(spark):
     """The planner setting that `prepared` turns off loses rows of this kind of join in Spark 4.1."""
     prepared(spark)
