@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from evidora.llm.folding import folded_words, mix, shingles
 from evidora.operators.graph import components
-from evidora.scratch import stored
+from evidora.scratch import dropped, stored
 
 MINIMA, COORDINATES, ROWS, MATCHES = 192, 128, 4, 2
 BATCH, BLOCK_TEXTS = 256, 2048
@@ -201,7 +201,8 @@ def _postings(buckets: int, lengths):
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """(a, b, asked): a row for each collision in the lists of a bucket; copies of a class on a list count once."""
+    """(a, b, asked): a row for each collision in the lists of a bucket; copies of a class on a list count once, as the least node."""
+    table = table.sort_by("block")  # a class has the same node on all its lists, however rows arrive
     parts = [_split(raw) for raw in table.column("postings").to_pylist()]
     key, flags, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
     node = np.repeat(table.column("block").to_numpy(), [len(p[0]) for p in parts]) | (flags & np.uint64(0xFFF)).astype(np.int64)
@@ -281,6 +282,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str, text_col: str, percent:
     named = lambda x: members.where("node is not null").select(F.col("node").alias(x), F.col("cls").alias(f"cls_{x}"))
     close = counted.select("a", "b").join(named("a"), "a").join(named("b"), "b").select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b"))
     close = stored(close.where("cls_a < cls_b").distinct(), "close")
+    dropped(signed)
     wanted = members.join(close.select(F.col("cls_a").alias("cls")).union(close.select("cls_b")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc").alias("doc"))
     sets = stored(docs.join(wanted.select("doc"), "doc", "left_semi").mapInArrow(_shingle_sets(words), "cls long, shingles binary"), "sets")
     side = lambda x: sets.select(F.col("cls").alias(f"cls_{x}"), F.col("shingles").alias(f"set_{x}"))

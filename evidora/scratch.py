@@ -20,14 +20,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Shuffle files of a query are removed when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df to the shared folder and returns it as read from there: the lineage ends, lost executors cost nothing."""
+    """Writes df to the shared folder and returns it as read from there: the lineage ends, lost executors cost nothing.
+
+    The shuffle files of the write are removed after it.
+    """
     spark = prepared(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a table that stored() wrote and no later stage reads."""
+    sc = df.sparkSession.sparkContext
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with the planner's claim about the partitioning of unions off.
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
@@ -70,6 +71,40 @@ def test_near_duplicates_match_brute_force(spark):
     assert not rows(near_duplicates.near_duplicate_pairs(df.limit(0)))
 
 
+def test_postings_of_a_class_meet_as_one_node_in_any_order():
+    import pyarrow as pa
+
+    def posting(keys, print_):
+        n = len(keys)
+        return np.concatenate([near_duplicates._planes(np.array(x, dtype=np.uint64), b) for x, b in ((keys, 5), ([0] * n, 2), ([print_] * n, 3))]).tobytes()
+
+    postings = {0x1000: posting([5, 9], 7), 0x2000: posting([5, 9], 7), 0x3000: posting([5, 9], 8)}  # two copies of class 7
+    for order in ((0x1000, 0x2000, 0x3000), (0x3000, 0x2000, 0x1000)):
+        got = near_duplicates._merged(pa.table({"bucket": [0] * 3, "block": list(order), "postings": [postings[b] for b in order]}))
+        assert set(zip(*(got.column(c).to_pylist() for c in ("a", "b")), strict=True)) == {(0x1000, 0x3000)}
+
+
+def test_near_duplicates_keep_no_shuffles_and_no_signatures(spark):
+    from pathlib import Path
+
+    from evidora.scratch import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\w+\.data", manager.getAllFiles().mkString("\n")))
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, prose(rng, 40)) for i in range(60)] + [(99, None)], "doc_id long, text string")
+    before, kept = shuffles(), set(shared.iterdir())
+    near_duplicates.near_duplicate_pairs(df)
+    for _ in range(50):  # files are removed in the background
+        left = shuffles() - before
+        if len(left) <= 4:  # of the counters, which are collected
+            break
+        time.sleep(0.2)
+    assert len(left) <= 4 and not any(p.name.startswith("signatures") for p in set(shared.iterdir()) - kept)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_leaks_match_brute_force(spark):
     rng = random.Random(2)
     docs = [(i, prose(rng, 60)) for i in range(40)]
