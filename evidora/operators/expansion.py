@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidora.functions.text import fold, packing_tokens, rare_terms
+from evidora.scratch import stored
 
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -69,20 +73,87 @@ def expand_parents(hits: DataFrame, parents: DataFrame, budget: int) -> DataFram
     return g.select("query_id", "id", F.row_number().over(w).alias("position"), "children")
 
 
-def label_candidates(questions: DataFrame, seeds: DataFrame, members: DataFrame, k: int = 8) -> DataFrame:
+def _in_both(run):
+    """Blocks on one side only have no rows; their kinds come from what the other blocks give."""
+
+    def both(members: pa.Table, asked: pa.Table) -> pa.Table:
+        if members.num_rows and asked.num_rows:
+            return run(members, asked)
+        return run(members.slice(0, 0), asked.slice(0, 0))
+
+    return both
+
+
+def _term_counts(members: pa.Table, asked: pa.Table) -> pa.Table:
+    """(scope, term, df) of the asked terms in the members of a block."""
+    terms = pc.unique(asked.column("term"))
+    codes = pc.drop_null(pc.index_in(pc.list_flatten(members.column("terms")), value_set=terms)).to_numpy()
+    df = np.bincount(codes, minlength=len(terms))
+    have = np.flatnonzero(df)
+    return pa.table({"scope": pa.repeat(asked.column("scope")[0], len(have)) if len(have) else asked.column("scope").slice(0, 0), "term": terms.take(pa.array(have)), "df": pa.array(df[have])})
+
+
+def _label_scores(k: int):
+    """(query_id, id, score): the k best members of a block for each query with terms in their scope, its seeds left out."""
+
+    def run(members: pa.Table, asked: pa.Table) -> pa.Table:
+        coded = members.column("id").combine_chunks().dictionary_encode(null_encoding="encode")
+        ids = coded.dictionary.take(pc.sort_indices(coded.dictionary, null_placement="at_start"))
+        place = pc.index_in(members.column("id"), value_set=ids).to_numpy()
+        terms, flat = pc.unique(asked.column("term").drop_null()), pc.list_flatten(members.column("terms"))
+        found = pc.index_in(flat, value_set=terms)
+        said = found.is_valid().to_numpy()
+        code, who = found.drop_null().to_numpy(), place[pc.list_parent_indices(members.column("terms")).to_numpy()[said]]
+        order = np.argsort(code, kind="stable")
+        who, start = who[order], np.searchsorted(code[order], np.arange(len(terms) + 1))
+        queries = pc.unique(asked.column("query_id"))
+        query, term = pc.index_in(asked.column("query_id"), value_set=queries).to_numpy(), pc.fill_null(pc.index_in(asked.column("term"), value_set=terms, skip_nulls=True), -1).to_numpy()
+        weight, own = pc.fill_null(asked.column("weight"), 0.0).to_numpy(), pc.fill_null(pc.index_in(asked.column("own"), value_set=ids, skip_nulls=True), -1).to_numpy()
+        order = np.argsort(query, kind="stable")
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for q, rows in enumerate(np.split(order, np.searchsorted(query[order], np.arange(1, len(queries))))):
+            lists = rows[term[rows] >= 0]
+            if not len(lists):
+                continue
+            met = np.concatenate([who[start[t] : start[t + 1]] for t in term[lists]])
+            score = np.bincount(met, np.repeat(weight[lists], start[term[lists] + 1] - start[term[lists]]), len(ids))
+            score[own[rows[own[rows] >= 0]]] = 0
+            some = np.flatnonzero(score > 0)
+            best = some[np.lexsort((some, -np.round(score[some], 6)))[:k]]
+            out.append((np.full(len(best), q), best, score[best]))
+        q, best, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"query_id": queries.take(pa.array(q)), "id": ids.take(pa.array(best)), "score": pa.array(score)})
+
+    return run
+
+
+def label_candidates(questions: DataFrame, seeds: DataFrame, members: DataFrame, k: int = 8, block: int = 16384) -> DataFrame:
     """(query_id, id, score, position): members of the seeds' scopes that repeat terms of the question that are rare there.
 
     questions (query_id, question), seeds (query_id, id, rank from 0), members (scope, id, text).  A term weighs log(members / those
     with the term) in its scope; a scope counts for its best seed; a member keeps its best scope.
+
+    Postings are not shuffled: the members of a scope are sent in blocks of about `block`, once to count the asked terms and once
+    to score them, and only the k best of a block go on.
     """
-    scope = seeds.join(members.select("scope", "id"), "id").groupBy("query_id", "scope").agg(F.min("rank").alias("rank"))
-    size = members.groupBy("scope").agg(F.count("*").alias("size")).where("size >= 2")
-    said = members.select("scope", "id", F.explode(rare_terms(F.col("text"))).alias("term"))
+    kinds = dict(members.dtypes) | {"query_id": dict(questions.dtypes)["query_id"]}
+    hits = stored(seeds.join(members.select("scope", "id"), "id").select("query_id", "scope", "id", "rank"), "hits")
+    scope = hits.groupBy("query_id", "scope").agg(F.min("rank").alias("rank"))
+    size = members.groupBy("scope").agg(F.count("*").alias("size")).where("size >= 2").join(hits.select("scope").distinct(), "scope", "left_semi")
+    size = stored(size.withColumn("parts", F.ceil(F.col("size") / block)), "sizes")
+    placed = members.join(size, "scope").select("scope", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", F.coalesce(rare_terms(F.col("text")), F.array().cast("array<string>")).alias("terms"))
+    placed = stored(placed, "members")
     asked = questions.select("query_id", F.explode(rare_terms(F.col("question"))).alias("term"))
-    used = said.join(asked.select("term").distinct(), "term", "left_semi")
-    weight = used.groupBy("scope", "term").agg(F.count("*").alias("df")).join(size, "scope").select("scope", "term", F.log(F.col("size") / F.col("df")).alias("weight")).where("weight > 0")
-    met = scope.join(asked, "query_id").join(weight, ["scope", "term"]).join(used, ["scope", "term"])
-    scored = met.groupBy("query_id", "scope", "id").agg((F.sum("weight") / (F.first("rank") + 1)).alias("s")).groupBy("query_id", "id").agg(F.round(F.max("s"), 6).alias("score"))
+    asked = stored(scope.join(asked, "query_id").join(size, "scope").select("query_id", "scope", "rank", "term", "size", "parts"), "asked")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    terms = asked.select("scope", "term", "parts").distinct().select("scope", part, "term")
+    counts = placed.groupBy("scope", "part").cogroup(terms.groupBy("scope", "part")).applyInArrow(_in_both(_term_counts), f"scope {kinds['scope']}, term string, df long")
+    weight = stored(counts.groupBy("scope", "term").agg(F.sum("df").alias("df")).join(size, "scope").select("scope", "term", F.log(F.col("size") / F.col("df")).alias("weight")).where("weight > 0"), "weights")
+    said = asked.join(weight, ["scope", "term"]).select("scope", "parts", "query_id", "term", (F.col("weight") / (F.col("rank") + 1)).alias("weight"), F.lit(None).cast(kinds["id"]).alias("own"))
+    own = hits.join(size, "scope").select("scope", "parts", "query_id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("weight"), F.col("id").alias("own"))
+    right = said.union(own).select("scope", part, "query_id", "term", "weight", "own")
+    best = placed.groupBy("scope", "part").cogroup(right.groupBy("scope", "part")).applyInArrow(_in_both(_label_scores(k)), f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    scored = best.groupBy("query_id", "id").agg(F.round(F.max("score"), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidora.functions import text as tx
 from evidora.operators import expansion as ex
 from evidora.queries_corpus import _LABEL_STOP, _ONCE, nodes_once
-from evidora.scratch import table
+from evidora.scratch import stored, table
 
 _BOUNDS = (("piece_chars", 256, 8192), ("piece_overlap_chars", 0, 100), ("container_tokens", 1, 4096), ("near_dup_percent", 50, 55), ("neighbours_k", 1, 50))
 
@@ -28,7 +28,7 @@ def expanded_parents(spark, d):
 
 
 def label_matches(spark, d):
-    n = nodes_once(spark, d).where("text is not null and source_file is not null").select("node_id", "source_file", "text")
+    n = stored(nodes_once(spark, d).where("text is not null and source_file is not null").select("node_id", "source_file", "text"), "nodes")
     v = table(spark, d, "chunk_vectors").where("vec_id % 100 = 0").select("vec_id", "node_id").join(n, "node_id")
     q = v.select(F.col("vec_id").alias("query_id"), F.col("text").alias("question"))
     seeds = v.select(F.col("vec_id").alias("query_id"), F.col("node_id").alias("id"), F.lit(0).alias("rank"))

@@ -543,3 +543,34 @@ def test_personal_rank_of_the_whole_graph(spark, tmp_path):
         want |= {(query, i): v for i, v in now.items()}
     got = {(r.query_id, r.id): r.score for r in QUERIES["personal_rank_all"](spark, str(tmp_path)).collect()}
     assert set(got) == {k for k, v in want.items() if v > 0} and max(abs(got[k] - want[k]) for k in got) < 1e-6
+
+
+def test_label_candidates_in_blocks(spark):
+    from math import log
+
+    from evidora.operators import expansion
+
+    members = [(f"s{i % 3}", f"m{i:02}", " ".join(w for j, w in enumerate(("frete", "safra", "porto", "2020", "cana")) if i % (j + 2) == 0)) for i in range(30)] + [("s0", "m99", None), ("s2", "m00", "safra porto"), ("one", "m50", "frete")]
+    questions = [(1, "frete da safra no porto"), (2, "cana 2020"), (3, "nada aqui"), (4, "frete")]
+    seeds = [(1, "m00", 0), (1, "m01", 1), (2, "m02", 0), (2, "m99", 2), (3, "m03", 0), (4, "m50", 0)]
+    terms = {(s, i): set((t or "").split()) for s, i, t in members}
+    want = {}
+    for q, text_ in questions:
+        scopes = {}
+        for _, i, rank in (x for x in seeds if x[0] == q):
+            for s, _ in (m for m in terms if m[1] == i):
+                scopes[s] = min(rank, scopes.get(s, rank))
+        for s, rank in scopes.items():
+            there = {i: t for (z, i), t in terms.items() if z == s}
+            if len(there) < 2:
+                continue
+            df = Counter(t for x in there.values() for t in x)
+            for i, x in there.items():
+                score = sum(log(len(there) / df[t]) for t in set(text_.split()) & x) / (rank + 1)
+                if score > 0 and (q, i) not in {(a, b) for a, b, _ in seeds}:
+                    want[q, i] = max(round(score, 6), want.get((q, i), 0))
+    top = {q: sorted((-v, i) for (z, i), v in want.items() if z == q)[:3] for q, _ in questions}
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    for block in (2, 16384):
+        got = expansion.label_candidates(df(questions, "query_id long, question string"), df(seeds, "query_id long, id string, rank int"), df(members, "scope string, id string, text string"), 3, block=block).collect()
+        assert {(r.query_id, r.position): (-r.score, r.id) for r in got} == {(q, n): x for q, xs in top.items() for n, x in enumerate(xs, 1)}
