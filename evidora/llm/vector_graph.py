@@ -1,8 +1,9 @@
 """The most similar vectors of every vector, by robust-pruned directed graphs over shards.
 
 A bounded sample places centres; every vector is indexed in the shard of its nearest centre, and queried there and in the
-shards of centres almost as near.  A shard that is still too large is divided at random, and the queries that reach a shard,
-which are counted first, into blocks, so that a task never holds more than about SHARD base vectors and BLOCK queries.  In a task, two rounds of
+shards of centres almost as near.  Shards whose centres lie together share a task and its rows, so that a vector is sent there
+once.  A shard that is still too large is divided at random, and the queries that reach a shard, which are counted first, into
+blocks, so that a search never holds more than about SHARD base vectors and BLOCK queries.  In it, two rounds of
 beam searches propose neighbours (the first over random edges), relaxed distance pruning keeps diverse ones, and a last
 beam search answers the queries.  Cosines of the answers are computed in double precision.
 
@@ -23,6 +24,8 @@ from evidora.llm.folding import mix
 
 #: Vectors a cell and most base vectors and queries of a task.
 CELL, SHARD, BLOCK = 512, 4096, 16384
+#: Cells whose centres lie together; a vector is sent to them once.
+TOGETHER = 8
 #: Vectors of the sample per centre, and most of the sample: its bound, 32 MB of single floats.
 PER_CENTRE, SAMPLE = 8, 131_072
 #: Cosine by which a centre may be farther than the nearest and still be probed.
@@ -51,6 +54,20 @@ def centres_of(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def cells_together(c: np.ndarray) -> np.ndarray:
+    """A number for each centre, the same for at most TOGETHER of them: centres halved along their widest direction."""
+    out, todo, number = np.zeros(len(c), dtype=np.int64), [np.arange(len(c))], 0
+    while todo:
+        at = todo.pop()
+        if len(at) <= TOGETHER:
+            out[at], number = number, number + 1
+            continue
+        x = c[at] - c[at].mean(axis=0)
+        at = at[np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")]
+        todo += [at[len(at) // 2 :], at[: len(at) // 2]]
+    return out
+
+
 def _search(u: np.ndarray, graph: np.ndarray, seeds: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam searches in step for the rows of q: ids and cosines of the best `beam` nodes, the best first."""
     rows = np.arange(len(q))[:, None]
@@ -212,10 +229,10 @@ def nearest_vectors(df: DataFrame, k: int, floor: float, id_col: str = "vec_id",
         sizes[r["cell"]], reach[r["cell"]] = r["n"], r["asks"]
     parts = np.maximum(1, -(-sizes // SHARD))
     blocks = np.maximum(1, -(-reach // BLOCK))
-    plan = spark.sparkContext.broadcast((parts, blocks))
+    plan = spark.sparkContext.broadcast((parts, blocks, cells_together(shared.value)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, blocks = plan.value
+        parts, blocks, together = plan.value
         for b in batches:
             if not b.num_rows:
                 continue
@@ -242,12 +259,27 @@ def nearest_vectors(df: DataFrame, k: int, floor: float, id_col: str = "vec_id",
                     use = (asks | own) & (q < blocks[c])
                     rows.append((x[use], c[use], np.full(use.sum(), p), np.full(use.sum(), q), own[use], asks[use]))
             x, c, p, q, own, asks = (np.concatenate(z) for z in zip(*rows, strict=True))
-            arrays = [pa.array(c.astype(np.int64)), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(own), pa.array(asks), pa.array(cls[x, 0].view(np.int64)), pa.array(cls[x, 1].view(np.int64)), _lists(ids, first[x], np.where(own, last[x], first[x])), pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(v[x]))]).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["cell", "part", "block", "own", "asks", "hi", "lo", "ids", "v"])
-
-    def answer(group: pa.Table) -> pa.Table:
+            group = together[c]
+            order = np.lexsort((c, q, p, group, x))
+            x, c, p, q, own, asks, group = (z[order] for z in (x, c, p, q, own, asks, group))
+            new = np.ones(len(x), dtype=bool)
+            new[1:] = (x[1:] != x[:-1]) | (group[1:] != group[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+            begin = np.flatnonzero(new)
+            cells = _lists((c * 4 + own * 2 + asks).astype(np.int32), begin, np.append(begin[1:], len(x)))
+            mine = np.logical_or.reduceat(own, begin)
+            x, p, q, group = x[begin], p[begin], q[begin], group[begin]
+            arrays = [pa.array(group), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32)), cells, pa.array(cls[x, 0].view(np.int64)), pa.array(cls[x, 1].view(np.int64)), _lists(ids, first[x], np.where(mine, last[x], first[x])), pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(v[x]))]).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["shard", "part", "block", "cells", "hi", "lo", "ids", "v"])
+
+    def answers_of(group: pa.Table) -> pa.Table:
+        """The answers of each cell of a group; a code of a row is its cell, whether it is indexed there, and whether it asks."""
+        code, row = pa.compute.list_flatten(group.column("cells")).to_numpy(), pa.compute.list_parent_indices(group.column("cells")).to_numpy()
+        order = np.argsort(code >> 2, kind="stable")
+        each = np.split(order, np.flatnonzero(np.diff(code[order] >> 2)) + 1)
+        return pa.concat_tables([answer(group.take(pa.array(row[at])), (code[at] & 2) > 0, (code[at] & 1) > 0) for at in each])
+
+    def answer(group: pa.Table, own: np.ndarray, asks: np.ndarray) -> pa.Table:
         hi, lo = group.column("hi").to_numpy(), group.column("lo").to_numpy()
-        own, asks = group.column("own").to_numpy(), group.column("asks").to_numpy()
         v = np.frombuffer(b"".join(group.column("v").to_pylist()), dtype=np.float32).reshape(-1, dim)
         order = np.lexsort((lo, hi))
         new = np.ones(len(order), dtype=bool)
@@ -295,8 +327,8 @@ def nearest_vectors(df: DataFrame, k: int, floor: float, id_col: str = "vec_id",
         return pa.table({"hi": pa.array(hi[at]), "lo": pa.array(lo[at]), "found": found})
 
     kind = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))
-    routed = vectors.mapInArrow(route, "cell long, part int, block int, own boolean, asks boolean, hi long, lo long, ids array<long>, v binary")
-    answers = routed.groupBy("cell", "part", "block").applyInArrow(answer, "hi long, lo long, found array<struct<s: double, id: long>>")
+    routed = vectors.mapInArrow(route, "shard long, part int, block int, cells array<int>, hi long, lo long, ids array<long>, v binary")
+    answers = routed.groupBy("shard", "part", "block").applyInArrow(answers_of, "hi long, lo long, found array<struct<s: double, id: long>>")
     merged = answers.groupBy("hi", "lo").agg(F.flatten(F.collect_list("found")).alias("found"))  # one row per probed shard
     best = F.slice(F.array_sort(F.transform("found", lambda x: F.struct((-x["s"]).alias("s"), x["id"].alias("id")))), 1, k + 1)
     each = vectors.mapInArrow(members, "id long, hi long, lo long").join(merged.select("hi", "lo", best.alias("found")), ["hi", "lo"])

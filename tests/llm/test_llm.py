@@ -333,3 +333,14 @@ def test_containers(spark):
     assert all(sizes[i] == containers.count_tokens(t, path) for i, t, _ in data if t)
     assert all(len(g) == 1 for i, g in out.groupby("doc_id") if sizes[i] <= 512)
     assert containers.packed(df.limit(0), 512, path).count() == 0
+
+
+def test_vectors_are_sent_once_to_cells_that_lie_together(spark):
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(6, 16))
+    c = vector_graph.unit_rows(np.repeat(middle, 8, axis=0) + rng.normal(size=(48, 16)) * 0.01)
+    together = vector_graph.cells_together(c)
+    assert np.bincount(together).max() <= vector_graph.TOGETHER and len(together) == 48
+    assert vector_graph.cells_together(c[:1]).tolist() == [0] and vector_graph.cells_together(np.ones((20, 16))).max() >= 2
+    hit = c @ c.T >= 1 - vector_graph.MARGIN
+    assert sum(len(set(together[row])) for row in hit) < hit.sum() / 3
