@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidora.scratch import stored
+from evidora.scratch import dropped, stored
 
 #: Weight of a relation in the personalised rank; fixed values.
 RANK_WEIGHTS = {"CONTIDA_EM": 1.0, "PERTENCE_A_DOC": 0.4, "REPRESENTADA_EM": 1.0, "NEXT_CHUNK": 1.0, "SAME_PAGE": 0.3, "TEM_NOTA": 1.0, "TEM_TITULO": 1.0, "DESCRITA_EM": 1.0, "DICIONARIO_DE": 1.0, "SUSTENTADA_POR": 1.0}
@@ -114,11 +114,14 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.6, ro
     start = seeds.groupBy("query_id", "id").agg(F.sum(1.0 / (F.col("rank") + 1)).alias("s"))
     whole = start.groupBy("query_id").agg(F.sum("s").alias("all"))
     start = stored(start.join(whole, "query_id").select("query_id", "id", (F.col("s") / F.col("all")).alias("s")), "start")
-    now = start.select("query_id", "id", F.col("s").alias("score"))
+    now, last = start.select("query_id", "id", F.col("s").alias("score")), None
     for _ in range(rounds):
         moved = now.join(share, F.col("id") == F.col("a")).groupBy("query_id", F.col("b").alias("id")).agg(F.sum(alpha * F.col("score") * F.col("share")).alias("m"))
         back = start.select("query_id", "id", ((1 - alpha) * F.col("s")).alias("m"))
         now = stored(moved.union(back).groupBy("query_id", "id").agg(F.sum("m").alias("score")), "rank")
+        if last is not None:  # a round is read by the next one only
+            dropped(last)
+        last = now
     return now
 
 

@@ -545,6 +545,19 @@ def test_personal_rank_of_the_whole_graph(spark, tmp_path):
     assert set(got) == {k for k, v in want.items() if v > 0} and max(abs(got[k] - want[k]) for k in got) < 1e-6
 
 
+def test_personalised_rank_keeps_its_last_round_only(spark):
+    from pathlib import Path
+
+    from evidora.scratch import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    ranks = lambda: {p.name for p in shared.iterdir() if p.name.startswith("rank-")}
+    before = ranks()
+    edges = spark.createDataFrame([("a", "NEXT_CHUNK", "b"), ("b", "NEXT_CHUNK", "c")], "source_id string, label string, target_id string")
+    out = graph.personalised_rank(edges, spark.createDataFrame([(1, "a", 0)], "query_id long, id string, rank int"), rounds=3)
+    assert len(ranks() - before) == 1 and sum(r.score for r in out.collect()) == pytest.approx(1.0)
+
+
 def test_label_candidates_in_blocks(spark):
     from math import log
 
