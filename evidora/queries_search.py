@@ -141,8 +141,11 @@ def text_chains(spark, d):
     return gr.components(edges, "source_id", "target_id").groupBy("component").agg(F.count("*").alias("n"))
 
 
+_PLACED = ("node_id", "type", "source_file", "page", "chunk_id")
+
+
 def personal_rank(spark, d):
-    n = nodes_once(spark, d).where("type = 'text'")
+    n = stored(nodes_once(spark, d).where("type = 'text'").select(*_PLACED), "nodes")
     edges = gr.structural_edges(n)
     seeds = table(spark, d, "chunk_vectors").where("vec_id % 100 = 0").join(n.select("node_id"), "node_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("node_id").alias("id"), F.lit(0).alias("rank"))
     out = gr.personalised_rank(edges, seeds, rounds=3)
@@ -151,7 +154,7 @@ def personal_rank(spark, d):
 
 def personal_rank_all(spark, d):
     """Over the whole graph and to the reference's tolerance: 28 rounds leave at most 0.6 ** 28 < 1e-6 of the mass unsettled."""
-    n = nodes_once(spark, d)
+    n = stored(nodes_once(spark, d).select(*_PLACED), "nodes")
     seeds = table(spark, d, "chunk_vectors").where("vec_id % 100 = 0").join(n.select("node_id"), "node_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("node_id").alias("id"), F.lit(0).alias("rank"))
     out = gr.personalised_rank(gr.structural_edges(n), seeds, rounds=28)
     return out.where("score > 0").select("query_id", "id", F.round("score", 9).alias("score"))

@@ -558,6 +558,25 @@ def test_personalised_rank_keeps_its_last_round_only(spark):
     assert len(ranks() - before) == 1 and sum(r.score for r in out.collect()) == pytest.approx(1.0)
 
 
+def test_personalised_rank_gathers_components(spark, monkeypatch):
+    edges = [(f"f{f}:{i}", "NEXT_CHUNK", f"f{f}:{i + 1}") for f in range(3) for i in range(9 + f)] + [(f"f{f}:{i}", "PERTENCE_A_DOC", f"f{f}") for f in range(3) for i in range(0, 9, 2)] + [("f0:1", "SAME_PAGE", "f0:1"), ("f0:2", "CONTIDA_EM", None)]
+    seeds = [(q, f"f{f}:{i}", r) for q in range(5) for r, (f, i) in enumerate(((q % 3, q), (0, 3), (2, 8)))] + [(-1, "f0:5", 0), (7, "alone", 0), (8, "f1:4", 0), (8, "alone", 3)]
+    edges, seeds = spark.createDataFrame(edges, "source_id string, label string, target_id string"), spark.createDataFrame(seeds, "query_id long, id string, rank int")
+    named, rank, whole = [], graph.personalised_rank, graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name="table": named.append(name) or whole(df, name))
+    scores = lambda **k: {(r.query_id, r.id): r.score for r in rank(edges, seeds, rounds=6, **k).collect()}
+    want = scores(most=0)  # scores exchanged in each round
+    exchanged = named.count("rank")
+    named.clear()
+    for queries, held in ((128, 1 << 22), (2, 40)):
+        monkeypatch.setattr(graph, "QUERIES", queries)
+        monkeypatch.setattr(graph, "HELD", held)
+        got = scores()
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert scores(most=40) == pytest.approx(want, abs=1e-12)  # some gathered, some exchanged
+    assert exchanged == 7 and named[: named.index("rank") + 1].count("rank") == 1
+
+
 def test_label_candidates_in_blocks(spark):
     from math import log
 
