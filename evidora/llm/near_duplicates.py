@@ -10,6 +10,11 @@ which are sent once per pair and text.  At a similarity of exactly 0.6 a pair co
   posted there: of two collisions one is in another list.
 * Skips: pairs that may have met in such a list need one collision less; the check of their sets decides.
 * A list that is long for all that is divided into tiles of blocks of texts, so that no task holds it.
+* Sketches: pairs of unrelated texts grow as the square of the table, nearly all from lists of stock phrases.  A list of more than
+  SHORT texts hands on its members, not its pairs; they meet with a bitmap of their shingles.  A bit of one that the other lacks
+  stands for a shingle that the other lacks, so the bitmaps bound the similarity from above: pairs below the threshold are dropped
+  and none above it is.  Pairs with enough collisions pass the same bound before their sets are sent.
+* Rounds: lists are merged in rounds of at most ROUND postings, and the shuffle files of a round are removed after it.
 
 Postings leave the map stage as blocks of sorted keys, about eight bytes a posting.  Exact copies (equal sequences of folded
 words) form one class that is posted once per task, so that a class holding a third of all rows adds a text per task, not per
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,8 @@ BATCH, BLOCK_TEXTS = 256, 2048
 COUNTERS_LOG, CHUNKS = 20, 64
 #: Lists above LONG may be skipped, those above BLOCK are divided; postings of a merging task.
 LONG, BLOCK, POSTINGS = 256, 1024, 500_000
+#: Lists up to SHORT hand on their pairs; postings of a round; members of long lists in a task; bits of the largest bitmap.
+SHORT, ROUND, MEMBERS, BITS_LOG = 16, 200_000_000, 50_000, 16
 
 _rng = np.random.default_rng(20_24)
 _ODD = _rng.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -68,18 +76,18 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]
 
 
 def _signatures(words: int):
-    """Rows of up to BLOCK_TEXTS texts: a number, the documents, their classes, which are new to the task, and the keys of those."""
-    names = ["block", "docs", "classes", "fresh", "keys"]
+    """Rows of up to BLOCK_TEXTS texts: a number, the documents, their classes, which are new to the task; of those keys, sizes, bitmaps."""
+    names = ["block", "docs", "classes", "fresh", "keys", "sizes", "bits"]
 
     def run(batches):
         seen: set[int] = set()
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush():
-            docs, cls, fresh, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            docs, cls, fresh, keys, sizes, bits = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             number = mix(docs[:1].view(np.uint64)).view(np.int64) & ~np.int64(0xFFF)
-            raw = [x.tobytes() for x in (docs, cls, fresh, _planes(keys.ravel(), 5))]
+            raw = [x.tobytes() for x in (docs, cls, fresh, _planes(keys.ravel(), 5), sizes, bits)]
             return pa.RecordBatch.from_arrays([pa.array(number), *(pa.array([x]) for x in raw)], names=names)
 
         for ids, texts in _slices(batches):
@@ -97,7 +105,8 @@ def _signatures(words: int):
             key = np.broadcast_to(np.arange(1, COORDINATES + 1, dtype=np.uint64), (len(first), COORDINATES))
             for r in range(ROWS):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + minima[:, _SUBSETS[:, r]])
-            held.append((ids.to_numpy(zero_copy_only=False)[have], cls, fresh, key >> np.uint64(24)))
+            sizes = np.diff(np.append(first, len(s))).astype(np.int32)
+            held.append((ids.to_numpy(zero_copy_only=False)[have], cls, fresh, key >> np.uint64(24), sizes, _bitmaps(s, sizes)))
             if sum(len(x[0]) for x in held) > BLOCK_TEXTS - BATCH:
                 yield flush()
         if held:
@@ -106,6 +115,35 @@ def _signatures(words: int):
     return run
 
 
+def _widths(sizes: np.ndarray) -> np.ndarray:
+    """Bits of the bitmaps of sets: a power of two, two to four bits a shingle."""
+    return np.int64(1) << np.clip(np.ceil(np.log2(np.maximum(2 * sizes.astype(np.int64), 1))).astype(np.int64), 6, BITS_LOG)
+
+
+def _bitmaps(s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bitmaps of all sets one after the other; s has the shingles of each set in turn."""
+    width = _widths(sizes)
+    end = np.cumsum(width)
+    bits = np.zeros(end[-1] if len(end) else 0, dtype=np.uint8)
+    bits[np.repeat(end - width, sizes) + (s.astype(np.int64) & (np.repeat(width, sizes) - 1))] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, cls, size, bits) of the texts that are posted."""
+    for b in batches:
+        for block, classes, fresh, sizes, bits in zip(*(b.column(c).to_pylist() for c in ("block", "classes", "fresh", "sizes", "bits")), strict=True):
+            cls, sizes = np.frombuffer(classes, np.int64)[np.frombuffer(fresh, bool)], np.frombuffer(sizes, np.int32)
+            end = np.cumsum(_widths(sizes) // 8)
+            parts = [bits[i:j] for i, j in zip([0, *end[:-1]], end, strict=True)] if len(end) else []
+            yield pa.RecordBatch.from_arrays([pa.array(block | np.arange(len(cls))), pa.array(cls), pa.array(sizes), pa.array(parts, pa.binary())], names=["node", "cls", "size", "bits"])
+
+
+def _may_reach(common, one, other, percent: int):
+    """Whether sets of these sizes with at most `common` shingles in common may reach the threshold."""
+    return common * 100 >= percent * (one + other - common)
+
+
 def _planes(x: np.ndarray, n: int) -> np.ndarray:
     """The lowest n bytes of each number, as n planes of bytes."""
     return np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :n].T)
@@ -154,7 +192,7 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["chunk", "counts"])
 
 
-def _postings(buckets: int, lengths):
+def _postings(buckets: int, lengths, rounds: int = 1, now: int = 0):
     """Rows (bucket, block, postings): sorted keys, places in the block with flags, and fingerprints of classes.
 
     Flags: bit 12, a list was skipped; bits 13 and 14, the side of a tile where two blocks of a divided list meet.
@@ -173,6 +211,8 @@ def _postings(buckets: int, lengths):
                 skip = long[np.arange(len(keys)), most] > LONG
                 post = np.ones(keys.shape, dtype=bool)
                 post[skip, most[skip]] = False
+                if rounds > 1:
+                    post &= (keys >> np.uint64(40 - COUNTERS_LOG)) % np.uint64(rounds) == now
                 at = np.nonzero(post)[0]
                 key, long = keys[post], long[post]
                 flags = at | skip[at] * 0x1000
@@ -200,8 +240,11 @@ def _postings(buckets: int, lengths):
     return run
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    """(a, b, asked): a row for each collision in the lists of a bucket; copies of a class on a list count once, as the least node."""
+def _merged(table: pa.Table, buckets: int = 1) -> pa.Table:
+    """(a, b, asked): a row for each collision in the lists of a bucket; copies of a class on a list count once, as the least node.
+
+    A member of a list of more than SHORT texts is a row (list, node, -1 - flags) instead.
+    """
     table = table.sort_by("block")  # a class has the same node on all its lists, however rows arrive
     parts = [_split(raw) for raw in table.column("postings").to_pylist()]
     key, flags, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -217,7 +260,11 @@ def _merged(table: pa.Table) -> pa.Table:
     left = np.append(np.flatnonzero(start)[1:], len(key))[np.cumsum(start) - 1] - np.arange(len(key)) - 1
     side, skipped = flags >> np.uint64(13), (flags >> np.uint64(12) & np.uint64(1)).astype(np.int32)
     out: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
-    rows, step = np.flatnonzero(left > 0), 1
+    long = np.bincount(np.cumsum(start) - 1, minlength=1)[np.cumsum(start) - 1] > SHORT
+    if long.any():
+        list_ = key[long].astype(np.int64) * buckets + table.column("bucket")[0].as_py()
+        out.append((list_, node[long], -1 - (flags[long] >> np.uint64(12)).astype(np.int32)))
+    rows, step = np.flatnonzero((left > 0) & ~long), 1
     while len(rows):
         x, y = rows, rows + step
         fits = (side[x] == 0) | (side[x] != side[y])
@@ -228,6 +275,64 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.table(dict(zip(("a", "b", "asked"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
 
+def _met_in_long_lists(percent: int):
+    """Rows (a, b, asked) for each collision in long lists whose bitmaps do not keep the pair below the threshold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("list", "ascending"), ("node", "ascending")])
+        list_, node, size = (table.column(c).to_numpy() for c in ("list", "node", "size"))
+        flags = -1 - table.column("asked").to_numpy()
+        side, skipped, raw, width = flags >> 1, flags & 1, table.column("bits").to_pylist(), _widths(size)
+        out: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
+        first = np.flatnonzero(np.append(True, list_[1:] != list_[:-1]))
+        for i, j in zip(first, np.append(first[1:], len(list_)), strict=True):
+            of = {w: i + np.flatnonzero(width[i:j] == w) for w in np.unique(width[i:j]).tolist()}
+            for w, wide in of.items():
+                bits = np.frombuffer(b"".join(raw[k] for k in wide), np.uint64).reshape(len(wide), -1)
+                for v in (v for v in of if v <= w):  # wider bitmaps are folded to the width of the narrower
+                    folded = np.bitwise_or.reduce(bits.reshape(len(wide), w // v, -1), axis=1)
+                    ones = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+                    other = folded if v == w else np.frombuffer(b"".join(raw[k] for k in of[v]), np.uint64).reshape(len(of[v]), -1)
+                    others = ones if v == w else np.bitwise_count(other).sum(axis=1, dtype=np.int64)
+                    for k, x in enumerate(wide):
+                        y, at = (of[v][k + 1 :], slice(k + 1, None)) if v == w else (of[v], slice(None))
+                        both = np.bitwise_count(folded[k] & other[at]).sum(axis=1, dtype=np.int64)
+                        most = np.minimum(size[x] - (ones[k] - both), size[y] - (others[at] - both))
+                        y = y[_may_reach(most, size[x].astype(np.int64), size[y], percent) & ((side[x] == 0) | (side[x] != side[y]))]
+                        out.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), (MATCHES - (skipped[x] & skipped[y])).astype(np.int32)))
+        return pa.table(dict(zip(("a", "b", "asked"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
+
+    return run
+
+
+def _bounded(percent: int):
+    """Pairs whose bitmaps do not keep them below the threshold."""
+
+    def run(batches):
+        for b in batches:
+            near = []
+            for m, x, n, y in zip(*(b.column(c).to_pylist() for c in ("size_a", "bits_a", "size_b", "bits_b")), strict=True):
+                size, p, q = 8 * min(len(x), len(y)), int.from_bytes(x, "little"), int.from_bytes(y, "little")
+                p, q = _folded(p, size), _folded(q, size)
+                both = (p & q).bit_count()
+                near.append(_may_reach(min(m - p.bit_count(), n - q.bit_count()) + both, m, n, percent))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(near, pa.bool_())) for c in ("cls_a", "cls_b")], names=["cls_a", "cls_b"])
+
+    return run
+
+
+def _folded(bits: int, size: int) -> int:
+    out, low = 0, (1 << size) - 1
+    while bits:
+        out, bits = out | bits & low, bits >> size
+    return out
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of rows of a task."""
+    yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in batches)], pa.int64())], names=["n"])
+
+
 def _split(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw) // 10
     return _numbers(raw[: 5 * n], 5), _numbers(raw[5 * n : 7 * n], 2), _numbers(raw[7 * n :], 3)
@@ -266,23 +371,37 @@ def near_duplicate_classes(docs: DataFrame, id_col: str, text_col: str, percent:
     Texts that are null or have fewer than `words` folded words have no shingles and belong to no class.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    signed = stored(docs.mapInArrow(_signatures(words), "block long, docs binary, classes binary, fresh binary, keys binary"), "signatures")
+    kinds = "block long, docs binary, classes binary, fresh binary, keys binary, sizes binary, bits binary"
+    signed = stored(docs.mapInArrow(_signatures(words), kinds), "signatures")
     members = stored(signed.select("block", "docs", "classes", "fresh").mapInArrow(_members, "doc long, cls long, node long"), "copies")
+    sketches = stored(signed.select("block", "classes", "fresh", "sizes", "bits").mapInArrow(_sketches, "node long, cls long, size int, bits binary"), "sketches")
     sums = signed.select("keys").mapInArrow(_lengths, "chunk int, counts binary").repartition(CHUNKS, "chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk int, counts binary")
     counts = np.zeros((CHUNKS, (1 << COUNTERS_LOG) // CHUNKS), dtype=np.int64)
     for r in sums.collect():  # a fixed number of counters, 8 MB
         counts[r["chunk"]] = np.frombuffer(r["counts"], dtype=np.int64)
     counts = counts.ravel()
-    buckets = int(counts.sum()) // POSTINGS + 1
+    rounds = int(counts.sum()) // ROUND + 1
+    buckets = int(counts.sum()) // POSTINGS // rounds + 1
     usual = int(np.median(counts[counts > 0])) if counts.any() else 0  # other values that share a counter
     shared = docs.sparkSession.sparkContext.broadcast(np.maximum(counts - usual, 0).astype(np.int32))
-    posted = signed.select("block", "classes", "fresh", "keys").mapInArrow(_postings(buckets, shared), "bucket long, block long, postings binary")
-    met = posted.groupBy("bucket").applyInArrow(_merged, "a long, b long, asked int")
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("collisions"), F.max("asked").alias("asked")).where("collisions >= asked")
-    named = lambda x: members.where("node is not null").select(F.col("node").alias(x), F.col("cls").alias(f"cls_{x}"))
-    close = counted.select("a", "b").join(named("a"), "a").join(named("b"), "b").select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b"))
-    close = stored(close.where("cls_a < cls_b").distinct(), "close")
+    met = []
+    for now in range(rounds):
+        posted = signed.select("block", "classes", "fresh", "keys").mapInArrow(_postings(buckets, shared, rounds, now), "bucket long, block long, postings binary")
+        met.append(stored(posted.groupBy("bucket").applyInArrow(lambda t: _merged(t, buckets), "a long, b long, asked int"), "met"))
     dropped(signed)
+    met = reduce(DataFrame.union, met)
+    pairs = met.where("asked > 0")
+    in_long = sum(r["n"] for r in met.where("asked < 0").select("asked").mapInArrow(_number, "n long").collect())  # without a shuffle
+    if in_long:
+        long = met.where("asked < 0").select(F.col("a").alias("list"), F.col("b").alias("node"), "asked").join(sketches.select("node", "size", "bits"), "node")
+        long = long.withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(in_long // MEMBERS + 1)))
+        pairs = pairs.union(long.groupBy("bucket").applyInArrow(_met_in_long_lists(percent), "a long, b long, asked int"))
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("collisions"), F.max("asked").alias("asked")).where("collisions >= asked")
+    named = lambda x: sketches.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "size", "bits")))
+    close = counted.select("a", "b").join(named("a"), "a").join(named("b"), "b").drop("a", "b").mapInArrow(_bounded(percent), "cls_a long, cls_b long")
+    close = stored(close.select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).where("cls_a < cls_b").distinct(), "close")
+    dropped(met)
+    dropped(sketches)
     wanted = members.join(close.select(F.col("cls_a").alias("cls")).union(close.select("cls_b")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc").alias("doc"))
     sets = stored(docs.join(wanted.select("doc"), "doc", "left_semi").mapInArrow(_shingle_sets(words), "cls long, shingles binary"), "sets")
     side = lambda x: sets.select(F.col("cls").alias(f"cls_{x}"), F.col("shingles").alias(f"set_{x}"))

@@ -84,6 +84,46 @@ def test_postings_of_a_class_meet_as_one_node_in_any_order():
         assert set(zip(*(got.column(c).to_pylist() for c in ("a", "b")), strict=True)) == {(0x1000, 0x3000)}
 
 
+def test_unrelated_texts_of_a_long_list_do_not_meet():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    near, texts = near_duplicates, []
+    for i in range(60):
+        w = texts[-1].split() if i % 3 else "frase de praxe da casa".split() + [f"n{rng.randrange(10**6)}" for _ in range(rng.choice((40, 90, 300)))]
+        for _ in range(rng.randrange(6) if i % 3 else 0):
+            w[rng.randrange(len(w))] = f"m{rng.randrange(99)}"
+        texts.append(" ".join([*w, f"z{i}"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], names=["doc", "text"])
+    (signed,) = near._signatures(3)([batch])
+    sketches = pa.Table.from_batches(list(near._sketches([signed])))
+    nodes, sets = sketches.column("node").to_pylist(), [set(s) for s in (zip(w, w[1:], w[2:]) for w in (x.split() for x in texts))]
+    true = {(nodes[a], nodes[b]) for a in range(60) for b in range(a + 1, 60) if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])}
+    key, flags = np.full(60, 5, np.uint64), np.arange(60, dtype=np.uint64)
+    prints = np.arange(60, dtype=np.uint64)
+    posting = b"".join(near._planes(v, n).tobytes() for v, n in ((key, 5), (flags, 2), (prints, 3)))
+    table = pa.table({"bucket": [3], "block": [nodes[0]], "postings": [posting]})
+    met = near._merged(table, 10)
+    assert met.num_rows == 60 and set(met.column("a").to_pylist()) == {53} and max(met.column("asked").to_pylist()) < 0  # members, not 1,770 pairs
+    members = pa.table({"list": met.column("a"), "node": met.column("b"), "asked": met.column("asked")}).join(sketches.drop(["cls", "bits"]), "node")
+    bits = dict(zip(nodes, sketches.column("bits").to_pylist(), strict=True))
+    members = members.append_column("bits", pa.array([bits[n] for n in members.column("node").to_pylist()], pa.binary()))
+    got = near._met_in_long_lists(60)(members)
+    found = set(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True))
+    assert true and true <= found and len(found) < 2 * len(true) and set(got.column("asked").to_pylist()) == {2}
+    size = dict(zip(nodes, sketches.column("size").to_pylist(), strict=True))
+    every = [(a, b) for a in nodes for b in nodes if a < b]
+    kept = next(near._bounded(60)([pa.RecordBatch.from_pylist([{"cls_a": a, "cls_b": b, "size_a": size[a], "bits_a": bits[a], "size_b": size[b], "bits_b": bits[b]} for a, b in every])]))
+    assert set(zip(kept.column("cls_a").to_pylist(), kept.column("cls_b").to_pylist(), strict=True)) == found
+
+
+def test_near_duplicates_in_rounds_and_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "ROUND", 6_000)
+    monkeypatch.setattr(near_duplicates, "SHORT", 3)
+    monkeypatch.setattr(near_duplicates, "MEMBERS", 200)
+    test_near_duplicates_match_brute_force(spark)
+
+
 def test_near_duplicates_keep_no_shuffles_and_no_signatures(spark):
     from pathlib import Path
 
